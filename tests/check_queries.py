@@ -43,10 +43,10 @@ def _plain(v):
 
 def difference(spark_df, con, sql) -> str | None:
     """None when equal, else a short account of the difference."""
-    columns, ours = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]
     theirs_columns, theirs = rows_of(names, cursor.fetchall())
+    columns, ours = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     if columns != theirs_columns:
         return f"columns {columns} vs {theirs_columns}"
     if len(ours) != len(theirs):
@@ -80,6 +80,8 @@ def main() -> int:
     for name in names:
         started = time.time()
         try:
+            if name in oracles:
+                con.execute("EXPLAIN " + oracles[name])
             df = queries[name](spark, folder)
             if name in oracles:
                 problem = difference(df, con, oracles[name])

@@ -2,7 +2,7 @@
 
 Ranks come from a histogram of distinct values, never from a window over all rows: the
 population is pre-aggregated on the map side, only distinct values are ordered, and the result
-is joined back on the value. Distinct values are ordered in ranges, so no task sees all.
+is joined back on the value.
 """
 
 from __future__ import annotations
@@ -11,52 +11,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import half_even
+from ..session import cut
 
 _RANGES = 255
+ONE_TASK_ROWS = 1_000_000
 
 
-def running_count(hist: DataFrame, value: str, count: str, by: tuple[str, ...] = ()) -> DataFrame:
+def running_count(
+    hist: DataFrame, value: str, count: str, by: tuple[str, ...] = (), one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
     """Adds ``below`` (rows with a smaller value) and ``total`` per group to a histogram.
 
-    ``hist`` has one row per (by, value). Values are cut into ranges at approximate quantiles;
-    rows are summed inside a range in parallel, and the per-range totals (at most 256 per
-    group) are accumulated on top. The quantiles only place the cuts: the result is exact.
+    ``hist`` has one row per (by, value). It is written out once, which tells its size: counts and
+    whole metres have few distinct values, and a histogram of at most ``one_task_rows`` rows is
+    ordered by one window. A larger one (continuous values) is ordered in ranges.
     """
-    group = [F.col(c) for c in by]
+    hist = cut(hist)
+    if hist.count() > one_task_rows:
+        return _running_count_in_ranges(hist, value, count, by)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumns(
+        {"below": F.coalesce(F.sum(count).over(before), F.lit(0)), "total": F.sum(count).over(group)}
+    )
+
+
+def _running_count_in_ranges(hist: DataFrame, value: str, count: str, by: tuple[str, ...]) -> DataFrame:
+    """The same, spread over tasks: values are cut into ranges at approximate quantiles.
+
+    Rows are summed inside a range in parallel, and the per-range totals (at most 256 per group)
+    are accumulated on top. The quantiles only place the cuts: the result is exact.
+    """
+    keyed = hist if by else hist.withColumn("_all", F.lit(1))
+    keys = list(by) or ["_all"]
     points = F.array(*[F.lit((k + 1) / (_RANGES + 1)) for k in range(_RANGES)])
-    cuts = hist.groupBy(*by).agg(
+    cuts = keyed.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, points, F.lit(1000))).alias("_cuts")
     )
-    keys = list(by) or [F.lit(1).alias("_one")]
-    if by:
-        placed = hist.join(cuts, list(by))
-    else:
-        placed = hist.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one")
-        group = [F.col("_one")]
-        keys = ["_one"]
-    placed = placed.withColumn(
+    placed = keyed.join(cuts, keys).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
-    inside = Window.partitionBy(*group, "_range").orderBy(value)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_range").agg(F.sum(count).alias("_in_range"))
-    across = Window.partitionBy(*group)
+    before = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_range").agg(F.sum(count).alias("_n"))
+    across = Window.partitionBy(*keys)
+    earlier = across.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         "_range",
-        F.coalesce(
-            F.sum("_in_range").over(
-                across.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_offset"),
-        F.sum("_in_range").over(across).alias("total"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(across).alias("total"),
     )
     return (
         placed.withColumn("_below", F.coalesce(F.sum(count).over(before), F.lit(0)))
         .join(offsets, [*keys, "_range"])
         .withColumn("below", F.col("_below") + F.col("_offset"))
-        .drop("_below", "_offset", "_range", "_one")
+        .drop("_below", "_offset", "_range", "_all")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.display import summary_score
 from ..operators import areas, baseline, insights, radius, ranking, scoring
+from ..session import once
 from . import tables as t
 from .registry import query
 from .tables import sql_metres, with_ctes
@@ -17,7 +18,7 @@ PREFERENCES = {"subway": 5, "academy": 4, "hospital": 3, "cafe": 1, "hangang": 2
 
 SCORE_CTES = {
     "metric": "SELECT s.site_id, any_value(s.name) AS name, any_value(s.gu) AS gu, any_value(s.dong) AS dong, "
-    + ", ".join(f"count(d) FILTER (layer = '{k}') AS {v}" for k, v in CATEGORIES.items())
+    + ", ".join(f"count(p.d) FILTER (layer = '{k}') AS {v}" for k, v in CATEGORIES.items())
     + f", any_value(a.d) AS hangang FROM site s LEFT JOIN (SELECT s.site_id, p.layer, {sql_metres('s', 'p')} AS d "
     f"FROM site s, poi p WHERE {sql_metres('s', 'p')} <= 1000) p USING (site_id) LEFT JOIN ("
     f"SELECT s.site_id, min({sql_metres('s', 'a')}) AS d FROM site s, anchor a WHERE {sql_metres('s', 'a')} <= 3000 "
@@ -60,8 +61,13 @@ DOMAIN_CTES = {
 _BASE = "site poi anchor"
 
 
-def metrics(spark, d, limit_m: int = 3000):
-    """One row per site: places per layer within 1 km, and metres to the nearest anchor."""
+def metrics(spark, d):
+    """The written baseline: places per layer within 1 km, and metres to the nearest anchor."""
+    return once(spark, f"metrics:{d}", lambda: build_metrics(spark, d))
+
+
+def build_metrics(spark, d, limit_m: int = 3000):
+    """One row per site, from two distance joins."""
     sites = t.site(spark, d)
     counts = baseline.subtype_counts(
         sites.select("site_id", "name", "gu", "dong", "lat", "lng"), t.poi(spark, d), CATEGORIES, 1000, subtype="layer"
@@ -75,7 +81,12 @@ def metrics(spark, d, limit_m: int = 3000):
 
 
 def scores(spark, d):
-    """Long scores with the site columns."""
+    """The written scores, long, with the site columns."""
+    return once(spark, f"scores:{d}", lambda: build_scores(spark, d))
+
+
+def build_scores(spark, d):
+    """Mid-rank scores of every metric of the baseline."""
     wide = metrics(spark, d)
     long = scoring.mid_rank_long(wide, DIRECTIONS).withColumnRenamed("metric", "category")
     return long.join(wide.select("site_id", "name", "gu", "dong"), "site_id")
@@ -90,7 +101,7 @@ def domains(spark, d):
     with_ctes(_BASE, "SELECT * FROM scored", SCORE_CTES),
 )
 def midrank_all_metrics(spark, d):
-    found = scores(spark, d).where("value IS NOT NULL")
+    found = build_scores(spark, d).where("value IS NOT NULL")
     return found.select("site_id", "category", "value", "pct", "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read: built and written by the first one of the application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        path = f"{scratch_dir(spark)}/once-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
