@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sphere radius, grid origin, grid scale and bounds.
@@ -131,62 +131,70 @@ def _meridian(e2: float) -> tuple[float, float, float, float]:
     )
 
 
-def projected_to_wgs84(x, y, epsg: int) -> tuple[Column, Column]:
-    """``(lat, lng)`` columns from projected metres (inverse transverse Mercator series)."""
-    (a, f), lat0, lng0, k0, fe, fn = PROJECTIONS[epsg]
+def projected_to_wgs84(df: DataFrame, x: str, y: str, epsg: int, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Adds ``lat`` and ``lng`` in degrees from projected metres (inverse transverse Mercator series).
+
+    Every step is a projection over the columns of the step before, so each term is written and
+    computed once.
+    """
+    (a, f), lat0, lng0, k0, east, north = PROJECTIONS[epsg]
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
     c0, c2, c4, c6 = _meridian(e2)
     p0 = math.radians(lat0)
     m0 = a * (c0 * p0 - c2 * math.sin(2 * p0) + c4 * math.sin(4 * p0) - c6 * math.sin(6 * p0))
-    mu = (F.lit(m0) + (col(y).cast("double") - fn) / k0) / (a * c0)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    foot = (
-        mu
-        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(mu * 2)
-        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(mu * 4)
-        + (151 * e1**3 / 96) * F.sin(mu * 6)
-        + (1097 * e1**4 / 512) * F.sin(mu * 8)
-    )
-    sin_f, cos_f, tan_f = F.sin(foot), F.cos(foot), F.tan(foot)
-    c1 = ep2 * cos_f * cos_f
-    t1 = tan_f * tan_f
-    w = F.lit(1.0) - e2 * sin_f * sin_f
-    n1 = F.lit(a) / F.sqrt(w)
-    r1 = F.lit(a * (1 - e2)) / (w * F.sqrt(w))
-    d = (col(x).cast("double") - fe) / (n1 * k0)
-    lat = foot - (n1 * tan_f / r1) * (
-        d * d / 2
-        - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep2) * F.pow(d, 4) / 24
-        + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep2 - 3 * c1 * c1) * F.pow(d, 6) / 720
-    )
-    lng = F.lit(math.radians(lng0)) + (
-        d
-        - (1 + 2 * t1 + c1) * F.pow(d, 3) / 6
-        + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep2 + 24 * t1 * t1) * F.pow(d, 5) / 120
-    ) / cos_f
+    n = lambda value: f"{value!r}D"
+    steps = [
+        {"_mu": f"({n(m0)} + (cast({y} AS double) - {n(north)}) / {n(k0)}) / {n(a * c0)}"},
+        {
+            "_f": f"_mu + {n(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * _mu) + {n(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * _mu)"
+            f" + {n(151 * e1**3 / 96)} * sin(6 * _mu) + {n(1097 * e1**4 / 512)} * sin(8 * _mu)"
+        },
+        {"_c": f"{n(ep2)} * power(cos(_f), 2)", "_t": "power(tan(_f), 2)", "_w": f"1 - {n(e2)} * power(sin(_f), 2)"},
+        {"_n": f"{n(a)} / sqrt(_w)", "_r": f"{n(a * (1 - e2))} / power(_w, 1.5D)"},
+        {"_d": f"(cast({x} AS double) - {n(east)}) / (_n * {n(k0)})"},
+        {
+            "_lat": "_f - _n * tan(_f) / _r * (power(_d, 2) / 2"
+            f" - (5 + 3 * _t + 10 * _c - 4 * _c * _c - {n(9 * ep2)}) * power(_d, 4) / 24"
+            f" + (61 + 90 * _t + 298 * _c + 45 * _t * _t - {n(252 * ep2)} - 3 * _c * _c) * power(_d, 6) / 720)",
+            "_lng": f"{n(math.radians(lng0))} + (_d - (1 + 2 * _t + _c) * power(_d, 3) / 6"
+            f" + (5 - 2 * _c + 28 * _t - 3 * _c * _c + {n(8 * ep2)} + 24 * _t * _t) * power(_d, 5) / 120) / cos(_f)",
+        },
+    ]
     if epsg == 5174:
-        lat, lng = _bessel_to_wgs84(lat, lng)
-    return F.degrees(lat), F.degrees(lng)
+        steps += _bessel_to_wgs84(n)
+    keep = df.columns
+    for step in steps:
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    return df.select(*keep, F.degrees("_lat").alias(lat), F.degrees("_lng").alias(lng))
 
 
-def _bessel_to_wgs84(lat: Column, lng: Column) -> tuple[Column, Column]:
+def _bessel_to_wgs84(n) -> list[dict[str, str]]:
     """Datum shift through geocentric coordinates (position-vector rotation)."""
     a, f = BESSEL
     e2 = f * (2 - f)
-    n = F.lit(a) / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    gx, gy, gz = n * F.cos(lat) * F.cos(lng), n * F.cos(lat) * F.sin(lng), n * (1 - e2) * F.sin(lat)
     tx, ty, tz, rx, ry, rz, ppm = BESSEL_TO_WGS84
     arc = math.pi / (180 * 3600)
     rx, ry, rz, s = rx * arc, ry * arc, rz * arc, 1 + ppm * 1e-6
-    wx = tx + s * (gx - rz * gy + ry * gz)
-    wy = ty + s * (rz * gx + gy - rx * gz)
-    wz = tz + s * (-ry * gx + rx * gy + gz)
-    a, f = WGS84
-    e2 = f * (2 - f)
-    b = a * (1 - f)
-    p = F.sqrt(wx * wx + wy * wy)
-    theta = F.atan2(wz * a, p * b)
-    sin_t, cos_t = F.sin(theta), F.cos(theta)
-    out_lat = F.atan2(wz + (e2 / (1 - e2)) * b * F.pow(sin_t, 3), p - e2 * a * F.pow(cos_t, 3))
-    return out_lat, F.atan2(wy, wx)
+    b_a, b_f = WGS84
+    b_e2, b_b = b_f * (2 - b_f), b_a * (1 - b_f)
+    return [
+        {"_n": f"{n(a)} / sqrt(1 - {n(e2)} * power(sin(_lat), 2))"},
+        {
+            "_gx": "_n * cos(_lat) * cos(_lng)",
+            "_gy": "_n * cos(_lat) * sin(_lng)",
+            "_gz": f"_n * {n(1 - e2)} * sin(_lat)",
+        },
+        {
+            "_wx": f"{n(tx)} + {n(s)} * (_gx - {n(rz)} * _gy + {n(ry)} * _gz)",
+            "_wy": f"{n(ty)} + {n(s)} * ({n(rz)} * _gx + _gy - {n(rx)} * _gz)",
+            "_wz": f"{n(tz)} + {n(s)} * ({n(-ry)} * _gx + {n(rx)} * _gy + _gz)",
+        },
+        {"_p": "sqrt(_wx * _wx + _wy * _wy)"},
+        {"_th": f"atan2(_wz * {n(b_a)}, _p * {n(b_b)})"},
+        {
+            "_lat": f"atan2(_wz + {n(b_e2 / (1 - b_e2) * b_b)} * power(sin(_th), 3), _p - {n(b_e2 * b_a)} * power(cos(_th), 3))",
+            "_lng": "atan2(_wy, _wx)",
+        },
+    ]

@@ -104,13 +104,14 @@ def border_distance(inside: DataFrame, box: tuple[int, int, int, int], cell_m: i
         F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(j0), F.lit(j1))).alias("j")
     )
     known = box_cells.join(inside.select("i", "j", F.lit(True).alias("_in")).distinct(), ["i", "j"], "left")
-    along = Window.partitionBy("i").orderBy("j")
+    so_far = lambda key, order: (
+        Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    )
     out = F.when(F.col("_in").isNull(), F.col("j"))
-    before = F.last(out, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(out, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(out, ignorenulls=True).over(so_far("i", F.asc("j")))
+    after = F.last(out, ignorenulls=True).over(so_far("i", F.desc("j")))
     rows = known.select("i", "j", F.least(F.col("j") - before, after - F.col("j")).alias("g"))
-    down = Window.partitionBy("j").orderBy("i")
-    above = F.min(F.col("g") - F.col("i")).over(down.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")
-    beneath = F.min(F.col("g") + F.col("i")).over(down.rowsBetween(0, Window.unboundedFollowing)) - F.col("i")
+    above = F.min(F.col("g") - F.col("i")).over(so_far("j", F.asc("i"))) + F.col("i")
+    beneath = F.min(F.col("g") + F.col("i")).over(so_far("j", F.desc("i"))) - F.col("i")
     steps = F.coalesce(F.least(above, beneath), F.lit(0))
     return rows.select("i", "j", (steps * cell_m).cast("int").alias("border_m"))

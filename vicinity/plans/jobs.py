@@ -7,6 +7,7 @@ import traceback
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.geo import CITY_BOUNDS, POI_MARGIN_DEG, bbox_cells
 from ..operators import graph, grid, polygons
@@ -33,25 +34,31 @@ def build_grid(
     viewport reads only its files and row groups. ``pois`` has ``layer, subtype, weight, radius_m``.
     """
     spark = sites.sparkSession
-    write(grid.cell_sites(sites), f"{path}/members", cluster=("i", "j"))
+    write(grid.cell_sites(sites), f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
     districts = polygons.rasterize(district_edges)
     border = graph.border_distance(districts, box or region_box())
-    write(grid.zone_cells(members, districts, border), f"{path}/zone", cluster=("i", "j"))
+    write(grid.zone_cells(members, districts, border), f"{path}/zone")
     zone = spark.read.parquet(f"{path}/zone")
-    write(grid.point_counts(pois, zone), f"{path}/cell", by="layer", cluster=("layer", "i", "j"))
-    write(grid.coverage(pois, zone), f"{path}/coverage", by="layer", cluster=("layer", "i", "j"))
+    write(grid.point_counts(pois, zone), f"{path}/cell", by="layer")
+    write(grid.coverage(pois, zone), f"{path}/coverage", by="layer")
     near = grid.cell_nearest(zone, pois, [x for x in nearest_layers if x in radius])
-    write(near, f"{path}/nearest", by="layer", cluster=("layer", "i", "j"))
-    write(grid.household_coverage(sites, zone, sorted(set(radius.values()))), f"{path}/household", cluster=("radius_m", "i", "j"))
-    write(sites, f"{path}/sites")
+    write(near, f"{path}/nearest", by="layer")
+    write(grid.household_coverage(sites, zone, sorted(set(radius.values()))), f"{path}/household")
+    write(sites, f"{path}/sites", cells=False)
     return open_grid(spark, path, radius)
 
 
-def write(df: DataFrame, path: str, by: str | None = None, cluster: Sequence[str] = ()) -> None:
-    """Parquet; range-partitioned and sorted by ``cluster``, so that file statistics can prune."""
-    if cluster:
-        df = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
+def write(df: DataFrame, path: str, by: str | None = None, cells: bool = True) -> None:
+    """Parquet, partitioned by ``by``; rows of a grid tile lie together, sorted by cell.
+
+    File statistics can then skip tiles. The rebalance hint splits a tile that is too large for one
+    file and merges small ones; nothing is sampled first.
+    """
+    if cells:
+        keys = [*([by] if by else []), "_ti", "_tj"]
+        tiled = df.withColumns({"_ti": F.floor(F.col("i") / 64), "_tj": F.floor(F.col("j") / 64)})
+        df = tiled.hint("rebalance", *keys).sortWithinPartitions(*([by] if by else []), "i", "j").drop("_ti", "_tj")
     out = df.write.mode("overwrite")
     (out.partitionBy(by) if by else out).parquet(path)
 
