@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.geo import half_even
 from ..functions.similarity import similar_pairs, similarity
+from ..session import cut
 from .search import containment_join
 
 # Confidences (verified, candidate) per branch, and the thresholds.
@@ -281,8 +282,9 @@ def match_sites(
     """The mapping: overrides, then approved aliases, then the cascade; rejects, tenure and risk last.
 
     ``overrides``: ``site_id, cand_name, cand_road, cand_jibun``; ``rejects``: ``site_id, cand_name``.
+    Give written tables: they are read by every branch. The cascade is written before the rest.
     """
-    base = cascade(sites, cands)
+    base = cut(cascade(sites, cands))
     alias = alias_approvals(sites, cands).select(
         "site_id", F.struct(*_CANDIDATE).alias("_alias"), half_even("similarity", 2).alias("_score")
     )
@@ -396,7 +398,7 @@ def best_names(sites: DataFrame, cands: DataFrame, threshold: float = NAME_RELAT
 
 
 def audit(mapping: DataFrame, cands: DataFrame) -> DataFrame:
-    """Status, address evidence and reason per mapping row."""
+    """Status, address evidence and reason per row of a written mapping."""
     lots = lot_blocks(mapping, cands).select("site_id", "lot_count")
     dongs = cands.groupBy("gu", "dong_norm").agg(F.count("*").alias("dong_count"))
     names = best_names(mapping.select("site_id", "gu", "dong_norm", "bonbun", "bubun", "name_norm"), cands)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import deals, matching, search
+from ..session import once
 from . import tables as t
 from .registry import query
 from .tables import with_ctes
@@ -279,14 +280,14 @@ def match_sites_table(spark, d):
     """Sites with addresses: a third has a road address, the rest a road number, a lot, or a name only."""
     key = F.col("c_custkey")
     text = lambda c: c.cast("string")
+    lot = F.when(key % 9 == 8, text(key % 1500 + 100)).when(key % 3 == 2, text(key % 40 + 1))
     return t.read(spark, d, "customer").select(
         key.alias("site_id"), F.concat(F.lit("단지"), text(key % 400), F.lit("마을 "), text(F.floor(key / 400))).alias("name"),
         F.concat(F.lit("구"), text(key % 5)).alias("gu"), F.concat(F.lit("동"), text(key % 7)).alias("dong"),
         F.when(key % 3 == 0, F.concat(F.lit("서울특별시 구"), text(key % 5), F.lit(" 길"), text(key % 300))).alias("road_address"),
         F.when(key % 6 == 1, F.concat(F.lit("길"), text(key % 60))).alias("road_name"),
         F.when(key % 6 == 1, text(key % 50 + 1)).alias("road_detail"),
-        F.when(key % 3 == 2, text(key % 40 + 1)).alias("bonbun"), F.when(key % 4 == 3, text(key % 2)).alias("bubun"),
-        F.when(key % 3 == 2, text(key % 40 + 1)).alias("jibun"), (key % 11 == 0).alias("is_rental"),
+        lot.alias("bonbun"), F.when(key % 4 == 3, text(key % 2)).alias("bubun"), lot.alias("jibun"), (key % 11 == 0).alias("is_rental"),
     )
 
 
@@ -297,11 +298,11 @@ def match_deals_table(spark, d):
     stem = F.concat(F.lit("단지"), text(key % 400), F.lit("마을"))
     return t.read(spark, d, "orders").select(
         F.when(o % 4 == 0, F.concat(stem, text(F.floor(key / 400)), F.lit("아파트")))
-        .when(o % 4 == 1, stem).when(o % 4 == 2, F.concat(F.lit("신"), stem)).otherwise(F.concat(F.lit("동"), text(key % 7), stem)).alias("apartment_name"),
+        .when(o % 4 == 1, stem).when(o % 4 == 2, F.concat(F.lit("신"), stem, text(F.floor(key / 400)))).otherwise(F.concat(F.lit("동"), text(key % 7), stem)).alias("apartment_name"),
         F.concat(F.lit("구"), text(key % 5)).alias("gu"), F.concat(F.lit("동"), text(key % 7)).alias("dong"),
         F.concat(F.lit("길"), text(key % 60)).alias("road_name"),
-        F.when(o % 3 == 0, F.concat(F.lit("서울특별시 구"), text(key % 5), F.lit(" 길"), text(key % 300))).alias("road_address"),
-        text(key % 40 + 1).alias("bonbun"), F.when(key % 4 == 3, text(key % 2)).alias("bubun"),
+        F.when((o % 3 == 0) & (o % 4 != 2), F.concat(F.lit("서울특별시 구"), text(key % 5), F.lit(" 길"), text(key % 300))).alias("road_address"),
+        F.when(o % 4 == 2, text(key % 1500 + 100)).otherwise(text(key % 40 + 1)).alias("bonbun"), F.when(key % 4 == 3, text(key % 2)).alias("bubun"),
         F.when(o % 2 == 0, "trade").otherwise("rent").alias("transaction_type"),
     )
 
@@ -309,13 +310,13 @@ def match_deals_table(spark, d):
 _SITE_SQL = """SELECT c_custkey AS site_id, '단지' || (c_custkey % 400) || '마을' || (c_custkey // 400) AS name_norm, '구' || (c_custkey % 5) AS gu, '동' || (c_custkey % 7) AS dong_norm,
   CASE WHEN c_custkey % 3 = 0 THEN '구' || (c_custkey % 5) || '길' || (c_custkey % 300) ELSE '' END AS road_norm,
   CASE WHEN c_custkey % 6 = 1 THEN '길' || (c_custkey % 60) ELSE '' END AS road_name_norm, CASE WHEN c_custkey % 6 = 1 THEN (c_custkey % 50 + 1)::VARCHAR ELSE '' END AS detail_norm,
-  CASE WHEN c_custkey % 3 = 2 THEN (c_custkey % 40 + 1)::VARCHAR END AS bonbun, CASE WHEN c_custkey % 4 = 3 THEN (c_custkey % 2)::VARCHAR ELSE '' END AS bubun, c_custkey % 11 = 0 AS is_rental FROM customer"""
-_DEAL_SQL = """SELECT CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) || '아파트' WHEN 1 THEN stem WHEN 2 THEN '신' || stem ELSE '동' || (o_custkey % 7) || stem END AS apartment_name,
-  CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) WHEN 1 THEN stem WHEN 2 THEN '신' || stem ELSE '동' || (o_custkey % 7) || stem END AS cand_norm,
+  CASE WHEN c_custkey % 9 = 8 THEN (c_custkey % 1500 + 100)::VARCHAR WHEN c_custkey % 3 = 2 THEN (c_custkey % 40 + 1)::VARCHAR END AS bonbun, CASE WHEN c_custkey % 4 = 3 THEN (c_custkey % 2)::VARCHAR ELSE '' END AS bubun, c_custkey % 11 = 0 AS is_rental FROM customer"""
+_DEAL_SQL = """SELECT CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) || '아파트' WHEN 1 THEN stem WHEN 2 THEN '신' || stem || (o_custkey // 400) ELSE '동' || (o_custkey % 7) || stem END AS apartment_name,
+  CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) WHEN 1 THEN stem WHEN 2 THEN '신' || stem || (o_custkey // 400) ELSE '동' || (o_custkey % 7) || stem END AS cand_norm,
   '구' || (o_custkey % 5) AS gu, '동' || (o_custkey % 7) AS dong_norm, '길' || (o_custkey % 60) AS road_name,
-  CASE WHEN o_orderkey % 3 = 0 THEN '서울특별시 구' || (o_custkey % 5) || ' 길' || (o_custkey % 300) END AS road_address,
-  CASE WHEN o_orderkey % 3 = 0 THEN '구' || (o_custkey % 5) || '길' || (o_custkey % 300) ELSE '' END AS road_norm,
-  (o_custkey % 40 + 1)::VARCHAR AS cand_bonbun, CASE WHEN o_custkey % 4 = 3 THEN (o_custkey % 2)::VARCHAR ELSE '' END AS cand_bubun,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 2 THEN '서울특별시 구' || (o_custkey % 5) || ' 길' || (o_custkey % 300) END AS road_address,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 2 THEN '구' || (o_custkey % 5) || '길' || (o_custkey % 300) ELSE '' END AS road_norm,
+  CASE WHEN o_orderkey % 4 = 2 THEN (o_custkey % 1500 + 100)::VARCHAR ELSE (o_custkey % 40 + 1)::VARCHAR END AS cand_bonbun, CASE WHEN o_custkey % 4 = 3 THEN (o_custkey % 2)::VARCHAR ELSE '' END AS cand_bubun,
   CASE WHEN o_orderkey % 2 = 0 THEN 'trade' ELSE 'rent' END AS transaction_type FROM (SELECT *, '단지' || (o_custkey % 400) || '마을' AS stem FROM orders)"""
 _CAND_SQL = """SELECT gu, dong_norm, cand_norm, road_norm, cand_bonbun, cand_bubun, min(apartment_name) AS cand_name, min(road_address) AS cand_road, min(road_name) AS cand_road_name_norm,
   count(*) FILTER (transaction_type = 'trade') AS trade_count, count(*) FILTER (transaction_type = 'rent') AS rent_count,
@@ -324,7 +325,9 @@ _MATCH_CTES = {"ms": _SITE_SQL, "md": _DEAL_SQL, "mc": _CAND_SQL}
 
 
 def prepared(spark, d):
-    return matching.prepare_sites(match_sites_table(spark, d)), matching.candidates(match_deals_table(spark, d))
+    """The written matching keys of the sites, and the written candidates."""
+    sites = once(spark, f"match-sites:{d}", lambda: matching.prepare_sites(match_sites_table(spark, d)))
+    return sites, once(spark, f"candidates:{d}", lambda: matching.candidates(match_deals_table(spark, d)))
 
 
 @query("match_candidates", with_ctes("", "SELECT gu, dong_norm, cand_norm, road_norm, cand_bonbun, cand_bubun, cand_name, trade_count, rent_count FROM mc", _MATCH_CTES))
@@ -423,6 +426,11 @@ def match_cascade(spark, d):
 
 
 def mapping(spark, d):
+    """The written mapping; reports read it."""
+    return once(spark, f"mapping:{d}", lambda: build_mapping(spark, d))
+
+
+def build_mapping(spark, d):
     sites, cands = prepared(spark, d)
     overrides = match_sites_table(spark, d).where("site_id % 50 = 1").select(
         "site_id", F.concat(F.lit("확정"), "name").alias("cand_name"), F.col("road_address").alias("cand_road"),
@@ -434,7 +442,7 @@ def mapping(spark, d):
 
 @query("match_mapping")
 def match_mapping(spark, d):
-    return mapping(spark, d).select("site_id", "cand_name", "match_type", "match_confidence", "verified", "manual_override")
+    return build_mapping(spark, d).select("site_id", "cand_name", "match_type", "match_confidence", "verified", "manual_override")
 
 
 @query("match_aliases")
@@ -444,12 +452,17 @@ def match_aliases(spark, d):
 
 
 def audited(spark, d):
+    """The written audit; review reports read it."""
+    return once(spark, f"audit:{d}", lambda: build_audit(spark, d))
+
+
+def build_audit(spark, d):
     return matching.audit(mapping(spark, d), prepared(spark, d)[1])
 
 
 @query("match_audit")
 def match_audit(spark, d):
-    return audited(spark, d).select(
+    return build_audit(spark, d).select(
         "site_id", "status", "reason", "evidence", "recommended_action", "lot_count", "dong_count", "best_similarity"
     )
 
