@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_deals, queries_grid, queries_scores, queries_sites, queries_text  # noqa: F401
+from . import queries_deals, queries_grid, queries_scores, queries_search, queries_sites, queries_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
