@@ -66,17 +66,16 @@ def compatible(c) -> Column:
     letters = "".join(chr(k) for k in range(0x24D0, 0x24EA)) + "".join(chr(k) for k in range(0x24B6, 0x24D0))
     digits = "123456789"
     alphabet = "".join(chr(k) for k in range(97, 123)) * 2
-    text = F.translate(clean(c), full + circled + letters + "　", plain + digits + alphabet + " ")
-    # Compatibility forms of roman numerals and unit signs.
+    text = F.lower(F.translate(clean(c), full + circled + letters + "　ⅠⅤⅩⅰⅴⅹ", plain + digits + alphabet + " ivxivx"))
+    # Compatibility forms (in lower case) of roman numerals and unit signs.
     many = {
-        "ⅷ": "viii", "Ⅷ": "viii", "ⅶ": "vii", "Ⅶ": "vii", "ⅲ": "iii", "Ⅲ": "iii", "ⅻ": "xii",
-        "Ⅻ": "xii", "ⅱ": "ii", "Ⅱ": "ii", "ⅳ": "iv", "Ⅳ": "iv", "ⅵ": "vi", "Ⅵ": "vi",
-        "ⅸ": "ix", "Ⅸ": "ix", "ⅺ": "xi", "Ⅺ": "xi", "ⅰ": "i", "Ⅰ": "i", "ⅴ": "v", "Ⅴ": "v",
-        "ⅹ": "x", "Ⅹ": "x", "㎡": "m2", "㎏": "kg", "㎞": "km",
+        "ⅷ": "viii", "ⅶ": "vii", "ⅲ": "iii", "ⅻ": "xii", "ⅱ": "ii", "ⅳ": "iv", "ⅵ": "vi", "ⅸ": "ix", "ⅺ": "xi",
+        "㎡": "m2", "㎏": "kg", "㎞": "km",
     }
+    spelled = text
     for sign, replacement in many.items():
-        text = F.replace(text, F.lit(sign), F.lit(replacement))
-    return F.lower(text)
+        spelled = F.replace(spelled, F.lit(sign), F.lit(replacement))
+    return F.when(text.rlike("[" + "".join(many) + "]"), spelled).otherwise(text)
 
 
 def _no_brackets(text: Column) -> Column:

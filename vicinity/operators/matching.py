@@ -51,10 +51,16 @@ def candidates(deals: DataFrame) -> DataFrame:
     """Distinct recorded complexes with their deal counts.
 
     ``deals``: ``apartment_name, gu, dong, road_name, road_address, bonbun, bubun,
-    transaction_type``. Spellings of one key keep the smallest text.
+    transaction_type``. Spellings of one key keep the smallest text. Deals are counted per spelling
+    first: only distinct spellings are normalised.
     """
-    keyed = deals.where(tx.clean("apartment_name").isNotNull()).select(
-        "gu", "dong", "apartment_name", "road_address", "transaction_type",
+    raw = ["gu", "dong", "apartment_name", "road_address", "road_name", "bonbun", "bubun"]
+    spelled = deals.groupBy(*raw).agg(
+        F.count_if(F.col("transaction_type") == "trade").alias("trades"),
+        F.count_if(F.col("transaction_type") == "rent").alias("rents"),
+    )
+    keyed = spelled.where(tx.clean("apartment_name").isNotNull()).select(
+        "gu", "apartment_name", "road_address", "trades", "rents",
         tx.normalize_dong("dong").alias("dong_norm"),
         tx.normalize_name("apartment_name").alias("cand_norm"),
         tx.normalize_address("road_address").alias("road_norm"),
@@ -66,8 +72,8 @@ def candidates(deals: DataFrame) -> DataFrame:
         F.min("apartment_name").alias("cand_name"),
         F.min("road_address").alias("cand_road"),
         F.min("cand_road_name_norm").alias("cand_road_name_norm"),
-        F.count_if(F.col("transaction_type") == "trade").alias("trade_count"),
-        F.count_if(F.col("transaction_type") == "rent").alias("rent_count"),
+        F.sum("trades").alias("trade_count"),
+        F.sum("rents").alias("rent_count"),
     )
     return rolled.withColumn(
         "cand_jibun", F.coalesce(tx.compose_lot("cand_bonbun", "cand_bubun"), F.lit(""))
@@ -622,20 +628,21 @@ def attach_deals(mapping: DataFrame, deals: DataFrame) -> DataFrame:
 
     ``mapping``: ``site_id, gu, dong, cand_name, cand_road`` and trust columns; ``deals``:
     ``gu, dong, apartment_name, road_address`` and the rest. Which of the three holds is decided
-    on distinct keys; the deals are then joined once, on the key that won.
+    on distinct spellings; the deals are then joined once, on their own text.
     """
     wanted = mapping.where(trusted()).select(
         "site_id", "gu", tx.normalize_dong("dong").alias("dong_norm"),
         tx.normalize_name("cand_name").alias("_name"), tx.normalize_address("cand_road").alias("_road"),
     ).where("_name <> ''")
-    keyed = deals.withColumns(
+    raw = ["gu", "dong", "apartment_name", "road_address"]
+    spelled = deals.select(*raw).distinct().withColumns(
         {
             "dong_norm": tx.normalize_dong("dong"),
             "_name": tx.normalize_name("apartment_name"),
             "_road": tx.normalize_address("road_address"),
         }
     )
-    keys = keyed.select("gu", "dong_norm", "_name", "_road").distinct()
+    keys = spelled.select("gu", "dong_norm", "_name", "_road").distinct()
     full = wanted.join(keys, ["gu", "dong_norm", "_name", "_road"], "left_semi").withColumn("how", F.lit("full_key"))
     left = wanted.join(full.select("site_id"), "site_id", "left_anti")
     same_dong = left.drop("_road").join(keys, ["gu", "dong_norm", "_name"]).withColumn("how", F.lit("same_dong"))
@@ -650,7 +657,12 @@ def attach_deals(mapping: DataFrame, deals: DataFrame) -> DataFrame:
     )
     cols = ["site_id", "gu", "dong_norm", "_name", "_road", "how"]
     chosen = full.select(cols).unionByName(same_dong.select(cols)).unionByName(rescued.select(cols))
-    return chosen.join(keyed, ["gu", "dong_norm", "_name", "_road"]).drop("dong_norm", "_name", "_road")
+    texts = chosen.join(spelled, ["gu", "dong_norm", "_name", "_road"]).select("site_id", "how", *raw)
+    same = F.lit(True)
+    for c in raw:
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"d.{c}"))
+    joined = deals.alias("d").join(texts.alias("t"), same)
+    return joined.select("t.site_id", "t.how", "d.*")
 
 
 def dong_mismatch(mapping: DataFrame, deals: DataFrame) -> DataFrame:

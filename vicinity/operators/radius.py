@@ -62,6 +62,11 @@ def radius_join(
     """
     usable = "lat IS NOT NULL AND lng IS NOT NULL"
     sites, pois = sites.where(usable), pois.where(usable)
+    cores = sites.sparkSession.sparkContext.defaultParallelism
+    if replicate == "sites":
+        sites = sites.repartition(cores)
+    else:
+        pois = pois.repartition(cores)
     if replicate == "sites":
         left, right = _with_reached_cells(sites, radius_m), _with_cell(pois, radius_m)
     else:

@@ -17,10 +17,9 @@ def resolve_site(
     when they leave some. One ordered top row says all of that.
     """
     hits = sites.where(F.contains("name", F.lit(name)))
-    wrong = lambda column, wanted: (F.col(column) != wanted).cast("int") if wanted else F.lit(0)
-    return hits.orderBy(
-        (F.col("name") != name).cast("int"), wrong("gu", gu), wrong("dong", dong), order
-    ).limit(1)
+    wanted = {"name": name, "gu": gu, "dong": dong}
+    misses = [F.col(column) != value for column, value in wanted.items() if value]
+    return hits.orderBy(*misses, order).limit(1)
 
 
 def lookup_site(
