@@ -137,6 +137,14 @@ def projected_to_wgs84(df: DataFrame, x: str, y: str, epsg: int, lat: str = "lat
     Every step is a projection over the columns of the step before, so each term is written and
     computed once.
     """
+    keep = df.columns
+    for step in projection_steps(x, y, epsg):
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    return df.select(*keep, F.degrees("_lat").alias(lat), F.degrees("_lng").alias(lng))
+
+
+def projection_steps(x: str, y: str, epsg: int) -> list[dict[str, str]]:
+    """The columns of each step as SQL; the last ones are ``_lat`` and ``_lng`` in radians."""
     (a, f), lat0, lng0, k0, east, north = PROJECTIONS[epsg]
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
@@ -164,10 +172,7 @@ def projected_to_wgs84(df: DataFrame, x: str, y: str, epsg: int, lat: str = "lat
     ]
     if epsg == 5174:
         steps += _bessel_to_wgs84(n)
-    keep = df.columns
-    for step in steps:
-        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
-    return df.select(*keep, F.degrees("_lat").alias(lat), F.degrees("_lng").alias(lng))
+    return steps
 
 
 def _bessel_to_wgs84(n) -> list[dict[str, str]]:

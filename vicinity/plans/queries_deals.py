@@ -280,12 +280,15 @@ def match_sites_table(spark, d):
     """Sites with addresses: a third has a road address, the rest a road number, a lot, or a name only."""
     key = F.col("c_custkey")
     text = lambda c: c.cast("string")
+    lone = (key % 13 == 5) & (key % 3 == 1)
     lot = F.when(key % 9 == 8, text(key % 1500 + 100)).when(key % 3 == 2, text(key % 40 + 1))
     return t.read(spark, d, "customer").select(
-        key.alias("site_id"), F.concat(F.lit("단지"), text(key % 400), F.lit("마을 "), text(F.floor(key / 400))).alias("name"),
+        key.alias("site_id"),
+        F.when(lone, F.concat(F.lit("무명"), text(key)))
+        .otherwise(F.concat(F.lit("단지"), text(key % 400), F.lit("마을 "), text(F.floor(key / 400)))).alias("name"),
         F.concat(F.lit("구"), text(key % 5)).alias("gu"), F.concat(F.lit("동"), text(key % 7)).alias("dong"),
         F.when(key % 3 == 0, F.concat(F.lit("서울특별시 구"), text(key % 5), F.lit(" 길"), text(key % 300))).alias("road_address"),
-        F.when(key % 6 == 1, F.concat(F.lit("길"), text(key % 60))).alias("road_name"),
+        F.when((key % 6 == 1) & ~lone, F.concat(F.lit("길"), text(key % 60))).alias("road_name"),
         F.when(key % 6 == 1, text(key % 50 + 1)).alias("road_detail"),
         lot.alias("bonbun"), F.when(key % 4 == 3, text(key % 2)).alias("bubun"), lot.alias("jibun"), (key % 11 == 0).alias("is_rental"),
     )
@@ -307,9 +310,9 @@ def match_deals_table(spark, d):
     )
 
 
-_SITE_SQL = """SELECT c_custkey AS site_id, '단지' || (c_custkey % 400) || '마을' || (c_custkey // 400) AS name_norm, '구' || (c_custkey % 5) AS gu, '동' || (c_custkey % 7) AS dong_norm,
+_SITE_SQL = """SELECT c_custkey AS site_id, CASE WHEN c_custkey % 13 = 5 AND c_custkey % 3 = 1 THEN '무명' || c_custkey ELSE '단지' || (c_custkey % 400) || '마을' || (c_custkey // 400) END AS name_norm, '구' || (c_custkey % 5) AS gu, '동' || (c_custkey % 7) AS dong_norm,
   CASE WHEN c_custkey % 3 = 0 THEN '구' || (c_custkey % 5) || '길' || (c_custkey % 300) ELSE '' END AS road_norm,
-  CASE WHEN c_custkey % 6 = 1 THEN '길' || (c_custkey % 60) ELSE '' END AS road_name_norm, CASE WHEN c_custkey % 6 = 1 THEN (c_custkey % 50 + 1)::VARCHAR ELSE '' END AS detail_norm,
+  CASE WHEN c_custkey % 6 = 1 AND c_custkey % 13 <> 5 THEN '길' || (c_custkey % 60) ELSE '' END AS road_name_norm, CASE WHEN c_custkey % 6 = 1 THEN (c_custkey % 50 + 1)::VARCHAR ELSE '' END AS detail_norm,
   CASE WHEN c_custkey % 9 = 8 THEN (c_custkey % 1500 + 100)::VARCHAR WHEN c_custkey % 3 = 2 THEN (c_custkey % 40 + 1)::VARCHAR END AS bonbun, CASE WHEN c_custkey % 4 = 3 THEN (c_custkey % 2)::VARCHAR ELSE '' END AS bubun, c_custkey % 11 = 0 AS is_rental FROM customer"""
 _DEAL_SQL = """SELECT CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) || '아파트' WHEN 1 THEN stem WHEN 2 THEN '신' || stem || (o_custkey // 400) ELSE '동' || (o_custkey % 7) || stem END AS apartment_name,
   CASE o_orderkey % 4 WHEN 0 THEN stem || (o_custkey // 400) WHEN 1 THEN stem WHEN 2 THEN '신' || stem || (o_custkey // 400) ELSE '동' || (o_custkey % 7) || stem END AS cand_norm,
@@ -418,11 +421,31 @@ def match_by_containment(spark, d):
     return _shown(matching.contains_branch(sites, cands, 4))
 
 
-@query("match_cascade")
+_NAME_SQL = """SELECT site_id, cand_name, CASE WHEN sure THEN 'gu_dong_name_exact_address_confirmed' ELSE 'gu_dong_name_exact_candidate' END AS match_type,
+  CASE WHEN sure THEN 0.94e0 ELSE 0.72e0 END AS match_confidence FROM (SELECT site_id, cand_name, (ms.road_norm <> '' AND ms.road_norm = mc.road_norm) OR coalesce(cand_bonbun = bonbun AND cand_bubun = bubun, false) AS sure
+  FROM ms JOIN mc ON mc.gu = ms.gu AND mc.dong_norm = ms.dong_norm AND cand_norm = name_norm
+  QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY cand_name DESC, cand_road DESC NULLS LAST, cand_jibun DESC, cand_norm DESC, cand_bonbun DESC, cand_bubun DESC) = 1)"""
+_HELD_SQL = f"""SELECT site_id, cand_name, 'same_dong_contains_candidate' AS match_type, 0.78e0 AS match_confidence FROM ms JOIN mc ON mc.gu = ms.gu AND mc.dong_norm = ms.dong_norm
+  AND length(name_norm) >= 4 AND length(cand_norm) >= 4 AND (contains(cand_norm, name_norm) OR contains(name_norm, cand_norm))
+  QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY {_C_ORDER}) = 1"""
+_ROAD_SQL = """SELECT site_id, CASE WHEN n = 1 OR same THEN cand_name END AS cand_name,
+  'road_address_exact' || CASE WHEN n = 1 THEN '' WHEN same THEN '_name_confirmed' ELSE '_score_verified' END AS match_type,
+  CASE WHEN n = 1 THEN 0.98e0 ELSE 0.86e0 END AS match_confidence FROM (
+  SELECT *, count(*) OVER (PARTITION BY site_id) AS n, cand_norm = name_norm AS same FROM ms JOIN mc ON mc.gu = ms.gu AND mc.road_norm = ms.road_norm WHERE ms.road_norm <> '')
+  QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY same DESC, trade_count + rent_count DESC, cand_name DESC, cand_road DESC, cand_jibun DESC) = 1"""
+_CASCADE_SQL = f"""SELECT ms.site_id, CASE WHEN match_type <> 'road_address_exact_score_verified' THEN cand_name END AS cand_name, coalesce(match_type, 'unmatched') AS match_type,
+  coalesce(match_confidence, 0) AS match_confidence, CASE WHEN starts_with(match_type, 'road_address') OR ends_with(match_type, '_confirmed') OR match_type IN ('gu_dong_road_number_exact', 'gu_dong_jibun_exact') THEN 'Y' ELSE 'N' END AS verified
+  FROM ms LEFT JOIN (SELECT * FROM ({_ROAD_SQL.replace('SELECT site_id,', 'SELECT 0 AS p, site_id,', 1)})
+  UNION ALL SELECT 1, * FROM ({_NUMBER_SQL}) UNION ALL SELECT 2, * FROM ({_LOT_SQL}) UNION ALL SELECT 3, * FROM ({_NAME_SQL}) UNION ALL SELECT 4, * FROM ({_HELD_SQL})) b
+  ON b.site_id = ms.site_id QUALIFY row_number() OVER (PARTITION BY ms.site_id ORDER BY p) = 1"""
+
+
+@query("match_cascade", with_ctes("", _CASCADE_SQL, _MATCH_CTES))
 def match_cascade(spark, d):
-    """All five branches; the road branch measures similarity, which SQL has not."""
+    """All five branches. The name that similarity chose is left out: SQL cannot measure it."""
     found = matching.cascade(*prepared(spark, d))
-    return found.select("site_id", "cand_name", "match_type", "match_confidence", "verified")
+    by_rule = F.when(F.col("match_type") != "road_address_exact_score_verified", F.col("cand_name"))
+    return found.select("site_id", by_rule.alias("cand_name"), "match_type", "match_confidence", "verified")
 
 
 def mapping(spark, d):

@@ -237,14 +237,6 @@ def layer_compare(spark, d):
     return grid.compare_layers(built(spark, d), "academy", "hospital", 3, bounds=BOX)
 
 
-_CC = """label(i, j, cid) USING KEY (i, j) AS (
-  SELECT i, j, (CAST(i AS BIGINT) << 31) + j + 1073741824 AS cid FROM flagged
-  UNION SELECT i, j, min(cid) FROM (
-    SELECT n.i, n.j, l.cid FROM label l
-    JOIN flagged n ON abs(n.i - l.i) + abs(n.j - l.j) = 1 AND n.i BETWEEN l.i - 1 AND l.i + 1
-    JOIN recurring.label o ON o.i = n.i AND o.j = n.j WHERE l.cid < o.cid) GROUP BY i, j)"""
-
-
 def _flagged(spark, d):
     """Cells that at least two hospitals reach."""
     return grid.cell_values(built(spark, d), "hospital", "coverage").where("value >= 2").select(
@@ -252,18 +244,82 @@ def _flagged(spark, d):
     )
 
 
-@query("components")
+_STEPS = "SELECT i + 1 AS i, j, cid FROM label UNION ALL SELECT i - 1, j, cid FROM label UNION ALL SELECT i, j + 1, cid FROM label UNION ALL SELECT i, j - 1, cid FROM label"
+
+
+def _components_sql(ctes: str, flagged: str, extra: dict[str, str], body: str) -> str:
+    """Smallest labels spread cell by cell until nothing changes."""
+    start = "SELECT i, j, (CAST(i AS BIGINT) << 31) + j + 1073741824 AS cid FROM flagged"
+    spread = (
+        f"SELECT n.i, n.j, min(n.cid) AS cid FROM ({_STEPS}) n JOIN recurring.label o ON o.i = n.i AND o.j = n.j "
+        "WHERE n.cid < o.cid GROUP BY n.i, n.j"
+    )
+    text = with_ctes(ctes, body, {**extra, "flagged": flagged, "label(i, j, cid) USING KEY (i, j)": f"{start} UNION {spread}"})
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "components",
+    _components_sql(
+        GRID_CTES + " cov", f"SELECT gi AS i, gj AS j FROM ({_values_sql('hospital', 'coverage', 1)}) WHERE value >= 2", {},
+        "SELECT i, j, cid FROM label",
+    ),
+)
 def components(spark, d):
     return graph.components(_flagged(spark, d))
 
 
-@query("imbalance_clusters")
+def _described_sql(stats: str, min_cells: int) -> str:
+    return f"""SELECT cid, count(*) AS cells, round_even(count(*) * 0.01e0 * 1000, 0) / 1000e0 AS area_km2, {stats},
+    round_even((37.4e0 + min(i) * (100e0 / 111000e0)) * 1e6, 0) / 1e6 AS min_lat, round_even((37.4e0 + (max(i) + 1) * (100e0 / 111000e0)) * 1e6, 0) / 1e6 AS max_lat,
+    round_even((126.75e0 + min(j) * (100e0 / 88800e0)) * 1e6, 0) / 1e6 AS min_lng, round_even((126.75e0 + (max(j) + 1) * (100e0 / 88800e0)) * 1e6, 0) / 1e6 AS max_lng
+    FROM label JOIN flagged USING (i, j) GROUP BY 1 HAVING count(*) >= {min_cells}"""
+
+
+def _places_sql(rows: str, weight: str) -> str:
+    return f"""SELECT cid, string_agg(gu || ':' || dong || ':' || n, '|' ORDER BY rn) AS places FROM (
+    SELECT *, row_number() OVER (PARTITION BY cid ORDER BY n DESC, gu, dong) AS rn FROM (SELECT cid, gu, dong, CAST({weight} AS BIGINT) AS n FROM ({rows}) GROUP BY 1, 2, 3)) WHERE rn <= 3 GROUP BY 1"""
+
+
+_INSIDE = "SELECT DISTINCT cid, site_id, gu, dong FROM label JOIN member USING (i, j)"
+_LIVING = f"SELECT l.cid, s.site_id, s.gu, s.dong, s.households FROM label l JOIN (SELECT *, {SQL_CI} AS i, {SQL_CJ} AS j FROM site) s USING (i, j)"
+
+
+@query(
+    "imbalance_clusters",
+    _components_sql(
+        GRID_CTES + " cov",
+        f"SELECT CAST(gi AS INT) AS i, CAST(gj AS INT) AS j, diff FROM ({_compare_sql('academy', 'hospital', edge=True)}) "
+        "WHERE diff >= 30 AND (gi, gj) IN (SELECT (i, j) FROM zone WHERE border_m >= 1000)",
+        _two_breaks("academy", "hospital"),
+        f"""SELECT d.*, coalesce(n, 0) AS site_count, places FROM ({_described_sql('round_even(avg(diff) * 10, 0) / 10e0 AS mean_diff, max(diff) AS max_diff', 5)}) d
+        LEFT JOIN (SELECT cid, count(*) AS n FROM ({_INSIDE}) GROUP BY 1) USING (cid) LEFT JOIN ({_places_sql(_INSIDE, 'count(*)')}) USING (cid)
+        ORDER BY cells DESC, cid LIMIT 40""",
+    ),
+)
 def imbalance_clusters(spark, d):
     found = grid.imbalance_clusters(built(spark, d), "academy", "hospital", threshold=30, min_cells=5)
     return found.withColumns({c: half_even(c, 6) for c in ("min_lat", "max_lat", "min_lng", "max_lng")})
 
 
-@query("transit_gap")
+_GAP_SQL = f"""SELECT i, j, coalesce(distance_m, 3000) AS distance_m FROM (
+  SELECT gi AS i, gj AS j FROM ({_values_sql('bus_stop', 'coverage', 1, edge=True)}), brk WHERE value >= b[51])
+  LEFT JOIN (SELECT * FROM near WHERE layer = 'subway') USING (i, j) WHERE coalesce(distance_m, 3000) > 800
+  AND (i, j) NOT IN (SELECT (i, j) FROM cov WHERE layer = 'bus_stop' AND subtype = 'PROMO')"""
+
+
+@query(
+    "transit_gap",
+    _components_sql(
+        GRID_CTES + " cov near", _GAP_SQL, {"brk": _breaks_sql("bus_stop", "coverage")},
+        f"""SELECT *, CAST(sum(households) OVER () AS BIGINT) AS total_households, CAST(sum(site_count) OVER () AS BIGINT) AS total_sites,
+        round_even(sum(area_km2) OVER () * 10, 0) / 10e0 AS total_area_km2, count(*) OVER () AS cluster_count FROM (
+        SELECT d.*, coalesce(h, 0) AS households, coalesce(n, 0) AS site_count, places FROM (
+        {_described_sql('max(distance_m) AS max_distance_m, list_sort(list(distance_m))[count(*) // 2 + 1] AS median_distance_m', 5)}) d
+        LEFT JOIN (SELECT cid, CAST(sum(households) AS BIGINT) AS h, count(*) AS n FROM ({_LIVING}) GROUP BY 1) USING (cid)
+        LEFT JOIN ({_places_sql(_LIVING, 'sum(households)')}) USING (cid)) ORDER BY households DESC, cid LIMIT 30""",
+    ),
+)
 def transit_gap(spark, d):
     found = grid.transit_gap(
         built(spark, d), min_cells=5, min_distance_m=800, bus_percentile=50, corridor="PROMO",

@@ -5,11 +5,13 @@ Words that the rules look for are put on the given rows by key: row k carries th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import display, rules, text as tx
-from ..functions.geo import PROJECTIONS, half_even, has_coordinates, in_bounds, projected_to_wgs84
+from ..functions.geo import PROJECTIONS, half_even, has_coordinates, in_bounds, projected_to_wgs84, projection_steps
 from ..operators import stations
 from . import tables as t
 from .registry import query
@@ -534,7 +536,22 @@ def bounds_filter(spark, d):
     )
 
 
-@query("projected_coordinates")
+def _projected_sql() -> str:
+    """The same series as nested selects."""
+    source = f"SELECT poi_id, (lng - 127) * 88000 + 200000 AS x, (lat - 38) * 111000 AS y FROM ({t.CTES['poi']})"
+    out = []
+    for epsg, (*_, north) in PROJECTIONS.items():
+        text = f"SELECT *, y + {north} AS n FROM ({source})"
+        for step in projection_steps("x", "n", epsg):
+            named = ", ".join(f"{re.sub(r'(?<=[0-9])D', 'e0', e).replace('e0e0', 'e0')} AS {name}" for name, e in step.items())
+            hidden = " EXCLUDE (" + ", ".join(step) + ")" if "_lat" in step and "_gx" in text else " EXCLUDE (_n)" if "_n" in step and "_lat" in text else ""
+            text = f"SELECT *{hidden}, {named} FROM ({text})"
+        rounded = ", ".join(f"round_even(degrees({c}) * 1e7, 0) / 1e7 AS {n}_{epsg}" for c, n in (("_lat", "lat"), ("_lng", "lng")))
+        out.append(f"(SELECT poi_id, {rounded} FROM ({text}))")
+    return f"SELECT * FROM {out[0]} JOIN {out[1]} USING (poi_id) JOIN {out[2]} USING (poi_id)"
+
+
+@query("projected_coordinates", _projected_sql())
 def projected_coordinates(spark, d):
     """Projected metres around every place, in all three systems, to degrees."""
     rows = t.poi(spark, d).selectExpr("poi_id", "(lng - 127) * 88000 + 200000 AS x", "(lat - 38) * 111000 AS y")
