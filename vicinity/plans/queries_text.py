@@ -536,6 +536,13 @@ def bounds_filter(spark, d):
     )
 
 
+_double = re.compile(r"([0-9][0-9.]*(?:e[+-]?[0-9]+)?)D")
+
+
+def _literal(match: re.Match) -> str:
+    return match[1] if "e" in match[1] else match[1] + "e0"
+
+
 def _projected_sql() -> str:
     """The same series as nested selects."""
     source = f"SELECT poi_id, (lng - 127) * 88000 + 200000 AS x, (lat - 38) * 111000 AS y FROM ({t.CTES['poi']})"
@@ -543,7 +550,7 @@ def _projected_sql() -> str:
     for epsg, (*_, north) in PROJECTIONS.items():
         text = f"SELECT *, y + {north} AS n FROM ({source})"
         for step in projection_steps("x", "n", epsg):
-            named = ", ".join(f"{re.sub(r'(?<=[0-9])D', 'e0', e).replace('e0e0', 'e0')} AS {name}" for name, e in step.items())
+            named = ", ".join(f"{_double.sub(_literal, e)} AS {name}" for name, e in step.items())
             hidden = " EXCLUDE (" + ", ".join(step) + ")" if "_lat" in step and "_gx" in text else " EXCLUDE (_n)" if "_n" in step and "_lat" in text else ""
             text = f"SELECT *{hidden}, {named} FROM ({text})"
         rounded = ", ".join(f"round_even(degrees({c}) * 1e7, 0) / 1e7 AS {n}_{epsg}" for c, n in (("_lat", "lat"), ("_lng", "lng")))
