@@ -314,3 +314,30 @@ def test_latest_and_cap(spark):
     df = spark.createDataFrame(rows, schema).withColumn("deal_date", F.col("d").cast("date"))
     assert deals.latest_deals(df).first()["deal_amount"] == 104
     assert [r["deal_amount"] for r in deals.capped_deals(df, 2).orderBy("rank").collect()] == [104, 103]
+
+
+def test_registries(spark):
+    from vicinity.plans import registries
+
+    assert registries.layer_table(spark).count() == 10
+    assert registries.metric_table(spark).where("ranked").count() == 18
+    assert registries.layer_radius(["cctv"]) == {"cctv": 200}
+    with pytest.raises(ValueError):
+        registries.layer_radius(["academy", "cafe"])
+
+
+def test_baseline_jobs_write_and_check(spark, tmp_path):
+    from vicinity.operators import quality
+    from vicinity.plans.registries import CATEGORIES
+
+    sites = spark.createDataFrame([(1, "a", "g", "d", 37.5, 127.0), (2, "b", "g", "d", 37.52, 127.0)], "site_id int, name string, gu string, dong string, lat double, lng double")
+    places = spark.createDataFrame([(1, "스타벅스", "스타벅스", 37.5001, 127.0), (2, "이디야", "이디야", 37.5002, 127.0)], "poi_id int, name string, subtype string, lat double, lng double")
+    report = jobs.run_jobs(spark, jobs.baseline_jobs(sites, {"cafe": places, "park": places}, str(tmp_path)))
+    assert {(r["job"], r["status"], r["rows"]) for r in report.collect()} == {("cafe", "success", 2), ("park", "success", 2)}
+    cafe = spark.read.parquet(str(tmp_path / "cafe"))
+    got = {r["site_id"]: (r["cafe_access_raw"], r["cafe_access_raw_score"]) for r in cafe.collect()}
+    assert got == {1: (6, 75.0), 2: (0, 25.0)}
+    checks = quality.dq_checks(cafe, CATEGORIES["cafe"].spec())
+    assert checks.where("level = 'ERROR'").count() == 0
+    far = {r["site_id"]: r["nearest_distance"] for r in spark.read.parquet(str(tmp_path / "park")).collect()}
+    assert far[1] == 11 and far[2] > 2000

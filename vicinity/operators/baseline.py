@@ -137,6 +137,21 @@ def items(
     return out.withColumn("items", F.coalesce("items", empty))
 
 
+def display_items(sites: DataFrame, parts: Sequence[tuple[DataFrame, float]], cap: int, fields: Sequence[str] = ("name", "subtype"), *, rounding: str = "after") -> DataFrame:
+    """One list from several sources, each within its own radius, nearest first (ties: source, id)."""
+    points = site_points(sites)
+    union = None
+    for k, (pois, radius_m) in enumerate(parts):
+        near = radius_join(points, pois.select("poi_id", "lat", "lng", *fields), radius_m, rounding=rounding)
+        near = near.select("lat", "lng", "distance_m", F.lit(k).alias("part"), "poi_id", *fields)
+        union = near if union is None else union.unionByName(near)
+    order = Window.partitionBy("lat", "lng").orderBy("distance_m", "part", "poi_id")
+    top = union.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap)
+    entry = F.struct("_rank", F.col("distance_m").alias("distance"), "part", "poi_id", *fields)
+    listed = top.groupBy("lat", "lng").agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    return sites.join(listed.withColumn("items", F.transform("items", lambda x: x.dropFields("_rank"))), ["lat", "lng"], "left")
+
+
 def line_counts(sites: DataFrame, stations: DataFrame, radii: Sequence[int] = (500, 1000)) -> DataFrame:
     """Distinct lines and transfer stations around each site; ``stations`` has ``lines`` arrays."""
     pairs = radius_join(

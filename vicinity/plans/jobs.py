@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import CITY_BOUNDS, POI_MARGIN_DEG, bbox_cells
-from ..operators import graph, grid, polygons
+from ..operators import baseline, graph, grid, polygons, radius
 from ..operators.grid import Grid
 from ..operators.scoring import mid_rank
+from ..session import cut
+from ..sources.sinks import write_baseline
+from .registries import CATEGORIES, Category
 
 NEAREST_LAYERS = ("subway", "school", "hospital", "pharmacy", "child_zone")
 
@@ -25,7 +28,7 @@ def region_box() -> tuple[int, int, int, int]:
 
 
 def build_grid(
-    sites: DataFrame, pois: DataFrame, radius: Mapping[str, int], district_edges: DataFrame, path: str,
+    sites: DataFrame, pois: DataFrame, reach: Mapping[str, int], district_edges: DataFrame, path: str,
     nearest_layers: Sequence[str] = NEAREST_LAYERS, box: tuple[int, int, int, int] | None = None,
 ) -> Grid:
     """Builds every grid table and writes it, then opens what was written.
@@ -42,11 +45,11 @@ def build_grid(
     zone = spark.read.parquet(f"{path}/zone")
     write(grid.point_counts(pois, zone), f"{path}/cell", by="layer")
     write(grid.coverage(pois, zone), f"{path}/coverage", by="layer")
-    near = grid.cell_nearest(zone, pois, [x for x in nearest_layers if x in radius])
+    near = grid.cell_nearest(zone, pois, [x for x in nearest_layers if x in reach])
     write(near, f"{path}/nearest", by="layer")
-    write(grid.household_coverage(sites, zone, sorted(set(radius.values()))), f"{path}/household")
+    write(grid.household_coverage(sites, zone, sorted(set(reach.values()))), f"{path}/household")
     write(sites, f"{path}/sites", cells=False)
-    return open_grid(spark, path, radius)
+    return open_grid(spark, path, reach)
 
 
 def write(df: DataFrame, path: str, by: str | None = None, cells: bool = True) -> None:
@@ -63,20 +66,66 @@ def write(df: DataFrame, path: str, by: str | None = None, cells: bool = True) -
     (out.partitionBy(by) if by else out).parquet(path)
 
 
-def open_grid(spark: SparkSession, path: str, radius: Mapping[str, int]) -> Grid:
+def open_grid(spark: SparkSession, path: str, reach: Mapping[str, int]) -> Grid:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Grid(
         zone=read("zone"), coverage=read("coverage"), cell=read("cell"), nearest=read("nearest"),
-        household=read("household"), members=read("members"), sites=read("sites"), radius=dict(radius),
+        household=read("household"), members=read("members"), sites=read("sites"), radius=dict(reach),
     )
 
 
-def bake_scores(baseline: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+def bake_scores(table: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     """Adds ``{metric}_pct`` and ``{metric}_score`` for every metric (``higher`` or ``lower`` is better)."""
     for metric, better in metrics.items():
-        scored = mid_rank(baseline, metric, better)
-        baseline = scored.withColumnsRenamed({"pct": f"{metric}_pct", "score": f"{metric}_score"})
-    return baseline
+        scored = mid_rank(table, metric, better)
+        table = scored.withColumnsRenamed({"pct": f"{metric}_pct", "score": f"{metric}_score"})
+    return table
+
+
+def category_baseline(sites: DataFrame, pois: DataFrame, category: Category) -> DataFrame:
+    """One category's table: counts per radius, subtype columns, nearest, items, baked score.
+
+    Counts, subtypes and nearest come from one join; the item list needs names and has its own.
+    ``pois``: ``poi_id, name, subtype, lat, lng``.
+    """
+    key = category.key
+    out = sites
+    if category.radii:
+        counts = baseline.radius_counts(
+            sites.select("site_id", "lat", "lng"), pois, category.radii, rounding=category.rounding
+        ).drop("lat", "lng")
+        renamed = {f"count_{r}m": f"{key}_count_{r}m" for r in category.radii}
+        out = out.join(counts.withColumnsRenamed(renamed), "site_id")
+    if category.unbounded:
+        near = radius.nearest(sites, pois).select("site_id", F.col("distance_m").alias("nearest_distance"))
+        out = (out.drop("nearest_distance")).join(near, "site_id", "left")
+    if category.subtypes:
+        kinds = baseline.subtype_counts(
+            sites.select("site_id", "lat", "lng"), pois, category.subtypes, category.subtype_radius, rounding=category.rounding
+        ).drop("lat", "lng", "total")
+        out = out.join(kinds, "site_id")
+        if category.metric == "cafe_access_raw":
+            names = [f"{stem}_count" for stem in category.subtypes.values()]
+            out = out.withColumn("cafe_access_raw", baseline.cafe_access(names))
+    if category.items:
+        listed = baseline.items(
+            sites.select("site_id", "lat", "lng"), pois, category.item_radius, category.items, rounding=category.rounding
+        )
+        out = out.join(listed.select("site_id", F.to_json("items").alias("items_json")), "site_id")
+    return bake_scores(cut(out), {category.metric: category.better})
+
+
+def baseline_jobs(sites: DataFrame, pois: Mapping[str, DataFrame], folder: str) -> dict[str, Callable[[], DataFrame]]:
+    """A job per category with a source: builds its table, writes it and opens what was written."""
+
+    def job(category: Category) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            write_baseline(category_baseline(sites, pois[category.key], category), folder, category.key)
+            return sites.sparkSession.read.parquet(f"{folder}/{category.key}")
+
+        return run
+
+    return {key: job(c) for key, c in CATEGORIES.items() if key in pois}
 
 
 def run_jobs(spark: SparkSession, jobs: Mapping[str, Callable[[], DataFrame | None]]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions.rules import BUS_TYPES, bus_type
 from ..operators import baseline, cameras, radius, scoring
-from . import tables as t
+from . import jobs, tables as t
+from .registries import CATEGORIES
 from .registry import query
 from .tables import sql_metres, sql_raw_metres, with_ctes
 
@@ -461,3 +463,65 @@ def percentile_of_breaks(spark, d):
     return sites.select(
         "site_id", scoring.percentile_of("households", cuts).cast("long").alias("percentile")
     )
+
+
+@query(
+    "display_items",
+    with_ctes(
+        "site poi",
+        """SELECT s.site_id, coalesce(string_agg(part || ':' || poi_id || ':' || d, '|' ORDER BY d, part, poi_id), '') AS items FROM site s LEFT JOIN (
+        SELECT *, CASE layer WHEN 'hospital' THEN 0 WHEN 'subway' THEN 1 ELSE 2 END AS part FROM pair
+        WHERE (layer = 'hospital' AND raw <= 500) OR (layer = 'subway' AND raw <= 3000) OR (layer = 'cafe' AND raw <= 1000)
+        QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY d, part, poi_id) <= 12) USING (site_id) GROUP BY 1""",
+        {"pair": f"SELECT s.site_id, p.poi_id, p.layer, {sql_metres('s', 'p')} AS d, {sql_raw_metres('s', 'p')} AS raw FROM site s, poi p"},
+    ),
+)
+def display_items(spark, d):
+    """Three layers in one list, each within its own radius."""
+    sites = t.site(spark, d).select("site_id", "lat", "lng")
+    poi = t.poi(spark, d)
+    parts = [(poi.where(F.col("layer") == x), r) for x, r in (("hospital", 500), ("subway", 3000), ("cafe", 1000))]
+    text = F.transform("items", lambda x: F.concat_ws(":", x["part"], x["poi_id"], x["distance"]))
+    listed = baseline.display_items(sites, parts, 12)
+    return listed.select("site_id", F.coalesce(F.array_join(text, "|"), F.lit("")).alias("items"))
+
+
+@query(
+    "category_baseline",
+    with_ctes(
+        "site poi",
+        _SQL_MIDRANK.format(
+            cols="site_id, n5 AS academy_count_500m, v AS academy_count_1000m, near AS nearest_distance, items", better="n-below-ties", part="", both="PARTITION BY"
+        ),
+        {
+            **_PAIRS,
+            "base": "SELECT s.site_id, count(d) FILTER (d<=500) AS n5, count(d) AS v, min(d) AS near, count(d) AS items FROM site s "
+            "LEFT JOIN (SELECT * FROM pair WHERE layer='academy' AND d<=1000) USING (site_id) GROUP BY 1",
+        },
+    ),
+)
+def category_baseline(spark, d):
+    """The whole chain of one category job."""
+    sites = t.site(spark, d).select("site_id", "name", "gu", "dong", "lat", "lng")
+    table = jobs.category_baseline(sites, t.poi(spark, d).where("layer = 'academy'"), CATEGORIES["academy"])
+    return table.select(
+        "site_id", "academy_count_500m", "academy_count_1000m", "nearest_distance",
+        F.json_array_length("items_json").cast("long").alias("items"),
+        F.col("academy_count_1000m_pct").alias("pct"), F.col("academy_count_1000m_score").alias("score"),
+    )
+
+
+@query(
+    "complex_info",
+    """SELECT o_orderkey, '60㎡ 이하 ' || format('{:,}', o_orderkey % 3000) || '세대 / 60~85㎡ ' || format('{:,}', o_custkey) || '세대 / 85~135㎡ 0세대 / 135㎡ 초과 0세대' AS mix,
+    CASE WHEN o_custkey % 4 > 0 THEN round_even((o_orderkey % 500)::DOUBLE / nullif(o_custkey % 4 * 100, 0) * 100, 0) / 100e0 END AS parking FROM orders WHERE o_orderkey % 500 > 0""",
+)
+def complex_info(spark, d):
+    """Area mix text and parking places per household."""
+    rows = t.read(spark, d, "orders").where("o_orderkey % 500 > 0").selectExpr(
+        "o_orderkey", "o_orderkey % 3000 AS a", "o_custkey AS b", "0 AS c", "cast(null as int) AS e",
+        "o_orderkey % 500 AS p", "nullif(o_custkey % 4 * 100, 0) AS h",
+    )
+    return rows.select(
+        "o_orderkey", display.area_mix_text(["a", "b", "c", "e"]).alias("mix"), display.parking_per_household("p", "h").alias("parking")
+    )
