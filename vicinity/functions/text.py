@@ -66,16 +66,16 @@ def compatible(c) -> Column:
     letters = "".join(chr(k) for k in range(0x24D0, 0x24EA)) + "".join(chr(k) for k in range(0x24B6, 0x24D0))
     digits = "123456789"
     alphabet = "".join(chr(k) for k in range(97, 123)) * 2
-    text = F.lower(F.translate(clean(c), full + circled + letters + "　ⅠⅤⅩⅰⅴⅹ", plain + digits + alphabet + " ivxivx"))
+    plain_text = F.regexp_replace(F.trim(col(c).cast("string")), "(?i)^(nan|none|null)$", "")
+    text = F.lower(F.translate(plain_text, full + circled + letters + "　ⅠⅤⅩⅰⅴⅹ", plain + digits + alphabet + " ivxivx"))
     # Compatibility forms (in lower case) of roman numerals and unit signs.
     many = {
         "ⅷ": "viii", "ⅶ": "vii", "ⅲ": "iii", "ⅻ": "xii", "ⅱ": "ii", "ⅳ": "iv", "ⅵ": "vi", "ⅸ": "ix", "ⅺ": "xi",
         "㎡": "m2", "㎏": "kg", "㎞": "km",
     }
-    spelled = text
     for sign, replacement in many.items():
-        spelled = F.replace(spelled, F.lit(sign), F.lit(replacement))
-    return F.when(text.rlike("[" + "".join(many) + "]"), spelled).otherwise(text)
+        text = F.replace(text, F.lit(sign), F.lit(replacement))
+    return text
 
 
 def _no_brackets(text: Column) -> Column:

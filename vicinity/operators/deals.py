@@ -32,29 +32,38 @@ def normalise(raw: DataFrame, first_year: int) -> DataFrame:
     housing types, years before ``first_year``, rows without name, date, or price (deposit).
     """
     sido, gu, dong = tx.split_region("region")
-    lot = F.coalesce(tx.clean("lot"), tx.compose_lot("bonbun", "bubun"))
-    own_main = tx.lot_part("bonbun")
-    main = F.coalesce(own_main, tx.lot_part(F.split(lot, "-")[0]))
-    sub = F.when(own_main.isNotNull(), tx.lot_part("bubun")).otherwise(
-        tx.lot_part(F.try_element_at(F.split(lot, "-", 2), F.lit(2)))
-    )
     trade = F.col("transaction_type") == "trade"
-    monthly = F.coalesce(tx.money("monthly"), F.lit(0))
-    road = tx.road_address(sido, gu, "road_name")
-    rows = raw.where(F.coalesce(tx.clean("housing_type"), F.lit("아파트")) == "아파트").select(
+    parts = raw.where(F.coalesce(tx.clean("housing_type"), F.lit("아파트")) == "아파트").withColumns(
+        {
+            "_sido": sido, "_gu": gu, "_dong": dong, "_lot": F.coalesce(tx.clean("lot"), tx.compose_lot("bonbun", "bubun")),
+            "_main": tx.lot_part("bonbun"), "_monthly": F.coalesce(tx.money("monthly"), F.lit(0)),
+        }
+    )
+    halves = F.split("_lot", "-", 2)
+    parts = parts.withColumns(
+        {
+            "_sub": F.when(F.col("_main").isNotNull(), tx.lot_part("bubun")).otherwise(
+                tx.lot_part(F.try_element_at(halves, F.lit(2)))
+            ),
+            "_first": F.coalesce("_main", tx.lot_part(F.get(halves, F.lit(0)))),
+            "_road": tx.road_address("_sido", "_gu", "road_name"),
+        }
+    )
+    rows = parts.select(
         "transaction_type",
-        F.when(trade, "매매").when(monthly > 0, "월세").otherwise("전세").alias("deal_type"),
-        sido.alias("sido"), gu.alias("gu"), dong.alias("dong"),
-        lot.alias("jibun"), main.alias("bonbun"), F.when(sub != "0", sub).alias("bubun"),
-        tx.clean("road_name").alias("road_name"), road.alias("road_address"),
-        tx.normalize_address(road).alias("normalized_road_address"),
+        F.when(trade, "매매").when(F.col("_monthly") > 0, "월세").otherwise("전세").alias("deal_type"),
+        F.col("_sido").alias("sido"), F.col("_gu").alias("gu"), F.col("_dong").alias("dong"),
+        F.col("_lot").alias("jibun"), F.col("_first").alias("bonbun"),
+        F.when(F.col("_sub") != "0", F.col("_sub")).alias("bubun"),
+        tx.clean("road_name").alias("road_name"), F.col("_road").alias("road_address"),
+        tx.normalize_address("_road").alias("normalized_road_address"),
         tx.clean("apartment_name").alias("apartment_name"),
         tx.normalize_name("apartment_name").alias("normalized_apartment_name"),
         tx.contract_date("year_month", "day").alias("deal_date"),
         tx.number("area").alias("area_m2"), tx.whole("floor").alias("floor"), tx.whole("built").alias("built_year"),
         F.when(trade, tx.money("price")).alias("deal_amount"),
         F.when(~trade, tx.money("deposit")).alias("deposit_amount"),
-        F.when(~trade, monthly).alias("monthly_rent"),
+        F.when(~trade, F.col("_monthly")).alias("monthly_rent"),
         "source_file",
     )
     usable = (
