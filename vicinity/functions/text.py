@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from .geo import col
 
-# Tokens that mean "missing".
-NULL_TOKENS = ("nan", "none", "null")
-
-
 def clean(c) -> Column:
     """Trimmed text; blank and null tokens become NULL."""
-    text = F.trim(col(c).cast("string"))
-    return F.when((text == "") | F.lower(text).isin(*NULL_TOKENS), F.lit(None)).otherwise(text)
+    text = F.regexp_replace(F.trim(col(c).cast("string")), "(?i)^(nan|none|null)$", "")
+    return F.nullif(text, F.lit(""))
 
 
 def first_of(*columns) -> Column:
@@ -38,9 +34,9 @@ def alias_of(available: list[str], *names: str) -> str | None:
 
 def number(c) -> Column:
     """Finite double from text with thousands commas; anything else NULL."""
-    text = F.regexp_replace(clean(c), ",", "")
-    value = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text)
-    return value.try_cast("double")
+    text = F.regexp_replace(F.trim(col(c).cast("string")), ",", "")
+    digits = F.regexp_extract(text, r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", 0)
+    return digits.try_cast("double")
 
 
 def whole(c) -> Column:
@@ -50,7 +46,7 @@ def whole(c) -> Column:
 
 def money(c) -> Column:
     """Whole units of 10,000 from text such as ``12,500만원``."""
-    return whole(F.regexp_replace(clean(c), r"[, ]|만원", ""))
+    return whole(F.regexp_replace(col(c).cast("string"), r"[, ]|만원", ""))
 
 
 def compatible(c) -> Column:
@@ -112,10 +108,8 @@ def squeeze(c) -> Column:
 
 def lot_part(c) -> Column:
     """One half of a lot number without leading zeros; ``-`` is missing."""
-    text = clean(c)
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    trimmed = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    return F.when(text == "-", F.lit(None)).when(digits != "", trimmed).otherwise(text)
+    digits = F.regexp_replace(F.regexp_replace(col(c).cast("string"), "[^0-9]", ""), "^0+(?=[0-9])", "")
+    return F.when(digits != "", digits).otherwise(F.nullif(clean(c), F.lit("-")))
 
 
 def split_lot(c) -> tuple[Column, Column]:
