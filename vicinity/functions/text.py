@@ -150,9 +150,7 @@ def road_address(sido, gu, road) -> Column:
 
 
 def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(
-        F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"
-    )
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
 
 def deal_date(full, year=None, month=None, day=None) -> Column:
