@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as tx
-from ..operators import events, explore, quality, ranking, search, snapshots  # noqa: F401
+from ..operators import events, explore, quality, search, snapshots
 from ..operators.grid import point_counts, with_cell
 from . import tables as t
 from .queries_scores import SCORE_CTES, metrics
