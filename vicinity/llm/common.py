@@ -36,13 +36,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, key: str, n: int, sort: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder in ``n`` buckets of ``key``; later groupings and joins on it don't shuffle it."""
+def bucketed(df: DataFrame, key: str, n: int, distinct: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder in ``n`` buckets of ``key``; later groupings and joins on it don't shuffle it.
+
+    With ``distinct`` (columns that hold ``key``), one row of each is kept, which needs no further shuffle.
+    """
     spark = df.sparkSession
     name = f"llm_{uuid.uuid4().hex}"
-    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key)
-    if sort:
-        writer = writer.sortBy(sort)
+    dealt = df.repartition(n, key)
+    if distinct:
+        dealt = dealt.dropDuplicates(distinct)
+    writer = dealt.write.format("parquet").option("compression", "zstd").bucketBy(n, key)
     writer.option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     release(spark)
     return spark.table(name)
@@ -138,6 +142,14 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         k = min(to, n)
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, which bounds what a task holds at once."""
+    for batch in batches:
+        _, offsets = flat(batch[column])
+        for a, b in pieces(offsets, most):
+            yield batch.slice(a, b - a)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts, with hashes; ``fold``: A-Z count as a-z."""
     n = len(data)

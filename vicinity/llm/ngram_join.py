@@ -5,11 +5,15 @@ point. The overlap of two sets is at most the sum of the smaller coordinates of
 can't be similar.
 
 *Index.* A plain R-tree over all coordinates prunes nothing here: boxes around random texts overlap in every
-coordinate. So the tree is laid out by subspaces. Its first level are bands of set sizes (similar sets differ in size
-by a ninth at most), its second level blocks of ``GROUPS`` coordinates. Sets of Jaccard 0.9 and sizes up to s differ in
-at most s / 9 shingles, which touch as many blocks; with more blocks than that, two similar sets agree in all
-coordinates of at least one block. There the box of a leaf is a point, and a search is an equi-join on (band, block,
-counts). Blocks with few shingles, where unlike sets agree by chance, are left out where enough others must agree.
+coordinate. So the tree is laid out by subspaces. Its first level are bands of set sizes, its second level blocks of
+coordinates. Sets of similarity t and sizes up to s differ in at most s * (1 - t) / t =: D shingles, which touch as many
+blocks; with more blocks than that, two similar sets agree in all coordinates of some block. There the box of a leaf is
+a point, and a search is an equi-join on (band, block, counts). Blocks without shingles say nothing; they are left out
+where enough others must agree.
+
+*Two passes.* D + 1 blocks and a few more show which sets can have a partner at all. Only these get a finer tree of
+four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
+one of these. So sets at the rim of a large group of copies, which have many blocks of their own, don't meet it.
 
 *Pairs.* A leaf is not expanded into all its pairs. Its most connected member is compared with the others first;
 linked members are then one component, and only pairs across components of a leaf are still open. After a few such
@@ -24,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import merge_labels
-from .common import all_words, cut, mix, release
+from .common import NO_ID, all_words, bucketed, cut, mix, partitions, release, small
 
-GROUPS, POINT, BAND = 64, 256, 1.35
-_WEAK = 2
-_GROUP = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Coordinates of a block (as bits), coordinates for the bound of a pair, ratio of sizes in a band.
+GROUP_BITS, POINT, BAND = 20, 256, 1.35
+#: Blocks of the finer tree for each one that may differ.
+FINER = 4
 _ODD = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -67,59 +72,66 @@ def _band(n: int) -> int:
     return k
 
 
-def _leaves(own: np.ndarray, k: int) -> np.ndarray:
-    """Keys of a set's leaves in band ``k``."""
-    differing = _band_top(k) // 9
-    spare = 1 + differing // 10
-    blocks = differing + 1 + spare
+def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> np.ndarray:
+    """Keys of a set's leaves in band ``k``; empty blocks go if there are at most ``spare``."""
     block = ((own >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     edge = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
     sums = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(_GROUP[(own & np.uint64(GROUPS - 1)).astype(np.int64)], out=sums[1:])
+    np.cumsum(mix((own & np.uint64((1 << GROUP_BITS) - 1)) * _ODD[0] + _ODD[1]), out=sums[1:])
     n = np.diff(edge)
     number = np.arange(blocks, dtype=np.uint64)
     keys = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(np.uint64) * _ODD[0] + number * _ODD[1] + np.uint64(k) * _ODD[2])
-    weak = n <= _WEAK
-    return keys[~weak] if weak.sum() <= spare else keys
+    return keys[n > 0] if (n == 0).sum() <= spare else keys
+
+
+def _searched(own: np.ndarray, percent: int, finer: int) -> list[np.ndarray]:
+    """Keys of the leaves where a set meets all that may be similar: in its band, and as the larger one in the band below."""
+    n, k = len(own), _band(len(own))
+    found = [np.empty(0, np.int64)] * 2
+    for which, band in enumerate((k, k - 1)):
+        if which == 0 or band >= 0 and percent * n <= 100 * _band_top(band):
+            differing = _band_top(band) * (100 - percent) // percent
+            spare = 0 if finer > 1 else 1 + differing // 10
+            found[which] = _leaves(own, band, finer * (differing + 1) + spare, spare).view(np.int64)
+    return found
 
 
-def _points(size: int, fold: bool):
+def _points(size: int, fold: bool, percent: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
-        for batch in batches:
+        for batch in small(batches, "_text"):
             rows = []
             for own in _sets(batch["_text"], size, fold):
-                n = len(own)
-                if not n:
-                    rows.append((0, 0, 0, [], []))
-                    continue
-                k = _band(n)
-                leaves = [_leaves(own, k)]
-                if k and 9 * n <= 10 * _band_top(k - 1):
-                    leaves.append(_leaves(own, k - 1))
-                point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
                 signs = own.sum(dtype=np.uint64), mix(own ^ _ODD[1]).sum(dtype=np.uint64)
-                rows.append((n, *(int(x.astype(np.int64)) for x in signs), point.astype(np.int32), np.concatenate(leaves).view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=["id", "n", "s1", "s2", "point", "leaves"])
+                leaves = np.concatenate(_searched(own, percent, 1)) if len(own) else []
+                rows.append((len(own), *(int(x.astype(np.int64)) for x in signs), leaves))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=["id", "n", "s1", "s2", "leaves"])
 
     return read
 
 
-def _whole(size: int, fold: bool):
+def _whole(size: int, fold: bool, percent: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")  # hashes wrap around
-        for batch in batches:
-            sets = [x.view(np.int64) for x in _sets(batch["_text"], size, fold)]
-            yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(sets, pa.list_(pa.int64()))], names=["id", "own"])
+        np.seterr(over="ignore")
+        for batch in small(batches, "_text"):
+            rows = []
+            for own in _sets(batch["_text"], size, fold):
+                point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
+                sign = int(own.sum(dtype=np.uint64).astype(np.int64))
+                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *_searched(own, percent, FINER)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            names = ["id", "n", "s1", "point", "own", "leaves", "below"]
+            yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=names)
 
     return read
 
 
-def _linked(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that are similar: first by the bound over points, then by the sets themselves."""
-    side = lambda x: points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     least = f"{100 + percent} * {{}} >= {percent} * (na + nb)"
     near = cut(
         pairs.join(side("a"), "a").join(side("b"), "b").where(least.format("least(na, nb)"))
@@ -134,7 +146,7 @@ def _linked(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int)
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, fold: bool = True,
-    rounds: int = 3,
+    rounds: int = 4,
 ) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)``: components of documents that link by the Jaccard of their shingles.
 
@@ -142,26 +154,34 @@ def jaccard_components(
     shorter text is one shingle, a text without words (or none) has no set and no link. Two documents link when
     ``100 * intersection >= percent * union``. ``class_id`` is the smallest id with an equal set, ``component_id`` the
     smallest id that links lead to. Rows that share an id are one document with all their links; a missing id is one
-    as well and sorts first (its class is missing then). ``percent`` is 90 or more, for which the blocks are laid out.
+    as well and sorts first (its class is missing then). Other columns aren't read; an empty table gives an empty one.
     """
-    if percent < 90:
-        raise ValueError("the blocks are laid out for a similarity of 0.9 or more")
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
     spark = docs.sparkSession
-    no_id = F.lit(-(1 << 63)).cast("long")
+    shares = partitions(spark)
+    no_id = F.lit(NO_ID).cast("long")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    base = cut(texts.mapInArrow(_points(size, fold), "id long, n long, s1 long, s2 long, point array<int>, leaves array<long>"))
+    base = cut(texts.mapInArrow(_points(size, fold, percent), "id long, n long, s1 long, s2 long, leaves array<long>"))
     classes = cut(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    first = base.join(classes, ["n", "s1", "s2"]).where("id = rep")
+    first = base.join(classes.hint("merge"), ["n", "s1", "s2"]).where("id = rep")
     entries = first.select("id", F.explode("leaves").alias("leaf"))
     shared = entries.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-    members = cut(entries.join(shared, "leaf"))
+    able = cut(entries.join(shared.hint("merge"), "leaf", "left_semi").select("id").distinct())
     release(spark)
-    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
-    points = cut(base.join(degree, "id", "left_semi").select("id", "n", "point").distinct())
-    sets = cut(texts.join(degree.select(F.col("id").alias("_id")), "_id", "left_semi").mapInArrow(_whole(size, fold), "id long, own array<long>").distinct())
+    sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
+    kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<long>, below array<long>"
+    sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
+    entries = sets.select("id", "n", "s1", F.explode(F.expr("concat(transform(leaves, x -> struct(0 AS role, x AS leaf)), transform(below, x -> struct(1 AS role, x AS leaf)))")).alias("e"))
+    entries = entries.select("id", "n", "s1", "e.role", "e.leaf")
+    often = entries.groupBy("leaf").agg(F.count("*").alias("members"))
+    own = Window.partitionBy("id", "s1", "role")
+    ranked = entries.join(often, "leaf").select(
+        "id", "n", "leaf", "members", F.row_number().over(own.orderBy("members", "leaf")).alias("place"), F.sum("members").over(own).alias("degree")
+    )
+    ranked = cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).select("leaf", "id", "degree"))
     release(spark)
-    links, known, open_members, rank = [], None, members.join(degree, "id").select("leaf", "id", "degree"), F.col("degree")
-    label = F.col("id")
+    links, known, open_members, rank, label = [], None, ranked, F.col("degree"), F.col("id")
     for turn in range(rounds + 1):
         open_members = cut(open_members.withColumn("comp", label))
         parts = open_members.groupBy("leaf", "comp").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "id")).alias("top"))
@@ -170,15 +190,14 @@ def jaccard_components(
         n_open, n_members = leaves.agg(F.sum("open"), F.sum("n")).first()
         if not n_open:
             break
-        last = turn == rounds or n_open <= 4 * n_members
+        last = turn == rounds or n_open <= 2 * n_members
         live = open_members.join(leaves.select("leaf", "pivot"), "leaf")
         if last:
             other = live.select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
             pairs = live.join(other, "leaf").where("comp < other_comp").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         else:
             pairs = live.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        found = _linked(cut(pairs.distinct()), points, sets, percent)
-        links.append(found)
+        links.append(_linked(cut(pairs.distinct()), sets, percent))
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
@@ -187,8 +206,7 @@ def jaccard_components(
         if last:
             break
         open_members = live.select("leaf", "id", "degree").join(known.withColumnRenamed("node", "id"), "id", "left")
-        label = F.coalesce("root", "id")
-        rank = F.xxhash64("id", F.lit(turn))
+        label, rank = F.coalesce("root", "id"), F.xxhash64("id", F.lit(turn))
     result = base.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     if known is not None:
         result = result.join(known, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("root", "rep"))
