@@ -95,6 +95,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Letters: those of ASCII, and all bytes of longer characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
 @dataclass
 class Words:
     """Words of several texts, one after the other. ``first[k]:first[k + 1]`` are those of text ``k``."""
@@ -150,12 +155,12 @@ def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -
             yield batch.slice(a, b - a)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of texts, with hashes; ``fold``: A-Z count as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, inside: np.ndarray = ~_SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts, with hashes; ``fold``: A-Z count as a-z. ``inside``: the bytes of words."""
     n = len(data)
     if not n:
         return Words(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
-    word = ~_SPACE[data]
+    word = inside[data]
     begin, stop = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     stop[:-1] &= ~word[1:]
@@ -168,6 +173,17 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     return Words(start, end, mix((sums[end] - sums[start]) * _power("down", n)[start]), np.searchsorted(start, offsets))
 
 
+def beginnings(data: np.ndarray, w: Words, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of words, A-Z as a-z; 0 for words that aren't longer."""
+    out = np.zeros(len(w.hash), np.uint64)
+    long = np.flatnonzero(w.end - w.start > size)
+    value = np.zeros(len(long), np.uint64)
+    for k in range(size):
+        value = value * _BASE + _FOLDED[data[w.start[long] + k]]
+    out[long] = mix(value + np.uint64(size))
+    return out
+
+
 def all_words(column: pa.Array | pa.ChunkedArray, fold: bool = False) -> Words:
     """Words of a whole column; positions are those in its bytes. Memory is bounded by reading a few MB at a time."""
     data, offsets = flat(column)
