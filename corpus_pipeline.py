@@ -1,36 +1,65 @@
-"""Stages that turn ``documents`` into clean, tokenised training rows."""
+"""Stages that turn ``documents`` into clean, tokenised training rows.
+
+Every stage works on all rows that its predecessor kept, written as Parquet and read again. All but the last return
+the columns of ``documents``; the last one returns each remaining document with its tokens.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinity.llm import bpe, decontaminate, exact, ngram_join, toxicity
 from vicinity.llm.common import cut, release, table
-from vicinity.llm.exact import drop_copies
-from vicinity.llm.ngram_join import jaccard_components
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Toxicity and tokens have no SQL; tests compare the stages with brute force.
+#: Alignment and tokens can't be said in SQL; tests compare every stage with a plain version of it.
 ORACLE_SQL = None
 
+#: Near duplicates: words in a shingle, and the similarity in percent.
+SHINGLE, SIMILAR = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go. Learns from the labelled rows among ``docs``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the smallest id stays."""
+    return exact.drop_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near duplicates, the smallest id stays; texts without words stay all."""
+    groups = ngram_join.jaccard_components(docs, size=SHINGLE, percent=SIMILAR)
+    gone = groups.where("doc_id > component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, whole or edited, go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
-    groups = jaccard_components(docs, size=5, percent=80)
-    stay = groups.where("doc_id <=> component_id").select("doc_id")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, token_ids, decoded)`` of every document that is left."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("near_dedup", near)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("ngram_jaccard_join", drop_near),
+    ("decontamination", drop_contaminated), ("byte_bpe", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents`` in ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))

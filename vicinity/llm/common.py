@@ -184,16 +184,16 @@ def beginnings(data: np.ndarray, w: Words, size: int) -> np.ndarray:
     return out
 
 
-def all_words(column: pa.Array | pa.ChunkedArray, fold: bool = False) -> Words:
+def all_words(column: pa.Array | pa.ChunkedArray, fold: bool = False, inside: np.ndarray = ~_SPACE) -> Words:
     """Words of a whole column; positions are those in its bytes. Memory is bounded by reading a few MB at a time."""
     data, offsets = flat(column)
     parts, before = [], 0
     for a, b in pieces(offsets):
-        w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold)
+        w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold, inside)
         parts.append((w.start + offsets[a], w.end + offsets[a], w.hash, w.first[:-1] + before))
         before += len(w.hash)
     if not parts:
-        return words(data, offsets)
+        return words(data, offsets, fold, inside)
     start, end, hashes, first = (np.concatenate(x) for x in zip(*parts))
     return Words(start, end, hashes, np.append(first, before))
 
