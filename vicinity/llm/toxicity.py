@@ -1,9 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features are densities of lexicon words, how near they are to second-person words, and rates of capitals, punctuation
-and obfuscation. The lexicon holds whole words and word beginnings that are much more frequent in toxic documents; it
-is learnt from one half of a bounded sample of labelled documents, the trees from the other half, so that the trees
-see the lexicon as it is on unseen text. Calibration uses margins of trees that did not see the document.
+and obfuscation. Besides a short fixed lexicon there is a learnt one: whole words and word beginnings that are much
+more frequent in toxic documents. It is learnt from a bounded sample of labelled documents in folds, so that the trees
+see the features of a document with a lexicon that didn't see it. Calibration uses margins of trees that didn't either.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ BEGINNINGS = (4, 6)
 NEAR, LOCAL = 5, 40
 #: Second-person words of the languages of the corpus, lower case.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "ti", "usted", "ustedes", "vosotros", "tus")
+#: Common insults, lower case.
+INSULTS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "imbecile", "jerk", "idiota", "estúpido", "estúpida", "imbécil", "tonto", "idiote", "stupide", "imbécile", "crétin", "dumm", "dummkopf", "blödmann", "trottel", "arschloch")
+#: Parts of the sample, and the least log ratio of a learnt term.
+FOLDS, LEAST_RATIO = 4, 1.6
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _DIGIT = np.zeros(256, bool)
@@ -36,7 +40,7 @@ def _hashes(text: str) -> np.ndarray:
     return words(data, np.array([0, len(data)]), True, LETTERS).hash
 
 
-_YOU = np.sort(np.concatenate([_hashes(w) for w in SECOND_PERSON]))
+_YOU, _INSULTS = (np.sort(np.concatenate([_hashes(w) for w in x])) for x in (SECOND_PERSON, INSULTS))
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
@@ -53,7 +57,11 @@ def _held(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _dense(data: np.ndarray, offsets: np.ndarray, lexicon: list[np.ndarray]) -> np.ndarray:
+#: Sorted hashes of the terms of a kind, and the log of how much more frequent each is in toxic documents.
+Lexicon = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _dense(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """The features of each text."""
     n = len(offsets) - 1
     w, kinds = _terms(data, offsets)
@@ -65,12 +73,18 @@ def _dense(data: np.ndarray, offsets: np.ndarray, lexicon: list[np.ndarray]) ->
     def count(mask: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
 
-    hits = [_held(table, kind) & (kind != 0) for table, kind in zip(lexicon, kinds)]
-    either = np.logical_or.reduce(hits)
-    columns = []
-    for hit in (*hits, either):
+    either, columns = _held(_INSULTS, w.hash), []
+    found = np.bincount(of[either], minlength=n)
+    columns += [np.log1p(found), found * per_word]
+    weight = either * 3.0
+    for (table, ratio), kind in zip(lexicon, kinds):
+        hit = _held(table, kind) & (kind != 0)
         found = np.bincount(of[hit], minlength=n)
         columns += [np.log1p(found), found * per_word]
+        weight[hit] = np.maximum(weight[hit], ratio[np.searchsorted(table, kind[hit])])
+        either |= hit
+    total = np.bincount(of, weight, n)
+    columns += [np.log1p(total), total * per_word]
     at = np.flatnonzero(either)
     pair = np.unique(np.stack([of[at], w.hash[at].view(np.int64)], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
     columns.append(np.log1p(np.bincount(pair[:, 0], minlength=n)))
@@ -94,7 +108,7 @@ def _dense(data: np.ndarray, offsets: np.ndarray, lexicon: list[np.ndarray]) ->
 
 @dataclass
 class Model:
-    lexicon: list[np.ndarray]
+    lexicon: Lexicon
     trees: Trees | None
     calibration: Isotonic | None
     prior: float
@@ -109,30 +123,48 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """One row for each kind of term and distinct term of a document."""
     for batch in small(batches, "_text"):
         w, kinds = _terms(*flat(batch["_text"]))
-        of, label = w.text_of(), np.array(batch["_label"].to_pylist(), np.int32)
+        of = w.text_of()
         for k, kind in enumerate(kinds):
             pair = np.unique(np.stack([of, kind.view(np.int64)], 1), axis=0)
             pair = pair[pair[:, 1] != 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), k, np.int32)), pa.array(pair[:, 1]), pa.array(label[pair[:, 0]])], names=["kind", "term", "label"])
+            at = pa.array(pair[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), k, np.int32)), pa.array(pair[:, 1]), batch["_label"].take(at), batch["_fold"].take(at)], names=["kind", "term", "_label", "_fold"])
 
 
-def _features(lexicon: list[np.ndarray]):
+def _features(lexicons: list[Lexicon]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "_text"):
-            x = _dense(*flat(batch["_text"]), lexicon)
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_label"], pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_label", "x"])
+            fold = np.array(batch["_fold"].to_pylist(), np.int64)
+            x = np.stack([_dense(*flat(batch["_text"]), own) for own in lexicons])[fold, np.arange(len(fold))]
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_label"], batch["_fold"], pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_label", "_fold", "x"])
 
     return read
 
 
+def _lexicon(terms: list, counts: dict[int, int], without: int | None) -> Lexicon:
+    """The lexicon of all folds, or of all but one."""
+    own = [k for k in range(FOLDS) if k != without]
+    share = len(own) / FOLDS
+    out = []
+    for kind in range(1 + len(BEGINNINGS)):
+        rows = [(r["term"], sum(r[f"t{k}"] for k in own), sum(r[f"c{k}"] for k in own)) for r in terms if r["kind"] == kind]
+        term, toxic, clean = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        ratio = np.log((toxic + 0.5) / (counts[1] * share + 1)) - np.log((clean + 0.5) / (counts[0] * share + 1))
+        good = (toxic >= max(2, 0.004 * counts[1])) & (ratio >= LEAST_RATIO)
+        hashes = term[good].view(np.uint64)
+        order = np.argsort(hashes)
+        out.append((hashes[order], ratio[good][order]))
+    return out
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_label: int = 4000, least_docs: int = 4, least_ratio: float = 6.0, most_terms: int = 4000,
+    per_label: int = 4000, most_terms: int = 4000,
 ) -> Model:
     """A model from at most ``per_label`` documents of each label, chosen by their ids' hash among those to learn from.
 
-    The lexicon takes the terms that at least ``least_docs`` toxic documents hold and that are ``least_ratio`` times as
-    frequent in these, at most ``most_terms`` of each kind. Documents weigh as their label does among all labelled ones.
+    The lexicon takes at most ``most_terms`` terms of each kind, those of most toxic documents first. Documents weigh
+    as their label does among all labelled ones.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(learn_rows("_id"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -143,19 +175,18 @@ def fit(
     order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     chosen = known.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_label)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 * per_label ids
-    first, second = rows.where("_at % 2 = 1").select("_text", "_label"), rows.where("_at % 2 = 0").select("_id", "_label", "_text")
-    halves = {k: max(1, (min(v, per_label) + 1) // 2) for k, v in counts.items()}
-    terms = first.mapInArrow(_distinct_terms, "kind int, term long, label int").groupBy("kind", "term").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
+    rows = rows.select("_id", "_text", "_label", (F.col("_at") % FOLDS).cast("int").alias("_fold"))
+    in_fold = lambda c, k: F.sum(F.when(F.col("_fold") == k, c).otherwise(0))
+    terms = rows.mapInArrow(_distinct_terms, "kind int, term long, _label int, _fold int").groupBy("kind", "term").agg(
+        F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"),
+        *(in_fold(F.col("_label"), k).alias(f"t{k}") for k in range(FOLDS)), *(in_fold(1 - F.col("_label"), k).alias(f"c{k}") for k in range(FOLDS)),
     )
-    ratio = ((F.col("toxic") + 0.5) / halves[1]) / ((F.col("clean") + 0.5) / halves[0])
+    counts = {k: min(v, per_label) for k, v in counts.items()}
+    ratio = F.log((F.col("toxic") + 0.5) / (counts[1] + 1)) - F.log((F.col("clean") + 0.5) / (counts[0] + 1))
     best = Window.partitionBy("kind").orderBy(F.desc("toxic"), "term")
-    terms = terms.where((F.col("toxic") >= least_docs) & (ratio >= least_ratio)).withColumn("at", F.row_number().over(best)).where(F.col("at") <= most_terms)
-    lexicon: list[list[int]] = [[] for _ in range(1 + len(BEGINNINGS))]
-    for r in terms.collect():
-        lexicon[r["kind"]].append(r["term"])
-    tables = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in lexicon]
-    seen = second.mapInArrow(_features(tables), "_id long, _label int, x array<double>").collect()
+    terms = terms.where((F.col("toxic") >= 2) & (ratio >= LEAST_RATIO / 2)).withColumn("at", F.row_number().over(best)).where(F.col("at") <= most_terms).collect()
+    lexicons = [_lexicon(terms, counts, k) for k in range(FOLDS)]
+    seen = rows.mapInArrow(_features(lexicons), "_id long, _label int, _fold int, x array<double>").collect()
     seen.sort(key=lambda r: (r["_id"] is None, r["_id"], r["x"]))
     y = np.array([r["_label"] for r in seen], float)
     if len(set(y.tolist())) < 2:
@@ -163,12 +194,12 @@ def fit(
     x = np.array([r["x"] for r in seen])
     weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     weight /= weight.mean()
-    margin, part = np.zeros(len(y)), np.arange(len(y)) % 4
-    for k in range(4):
+    margin, part = np.zeros(len(y)), np.array([r["_fold"] for r in seen])
+    for k in range(FOLDS):
         own = part == k
         if own.any() and len(set(y[~own].tolist())) == 2:
             margin[own] = Trees().fit(x[~own], y[~own], weight[~own]).margin(x[own])
-    return Model(tables, Trees().fit(x, y, weight), Isotonic().fit(margin, y, weight), prior)
+    return Model(_lexicon(terms, counts, None), Trees().fit(x, y, weight), Isotonic().fit(margin, y, weight), prior)
 
 
 def _score(model: Model):
