@@ -17,14 +17,16 @@ one of these. So sets at the rim of a large group of copies, which have many blo
 
 *Pairs.* A leaf is not expanded into all its pairs. Its most connected member is compared with the others first;
 linked members are then one component, and only pairs across components of a leaf are still open. After a few such
-rounds, or at once when they are few, all open pairs are compared, so no link between components is lost. Pairs must
-pass the bound of summed minima over ``POINT`` coordinates, then the exact sets are compared.
+rounds, or at once when they are few, all open pairs are looked at, so no link between components is lost. A pair is
+taken in the rarest leaf that it shares, unless too many rarer blocks differ already; it must pass the bound of summed
+minima over ``POINT`` coordinates, then the exact sets are compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,41 +174,50 @@ def jaccard_components(
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<long>, below array<long>"
     sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
-    entries = sets.select("id", "n", "s1", F.explode(F.expr("concat(transform(leaves, x -> struct(0 AS role, x AS leaf)), transform(below, x -> struct(1 AS role, x AS leaf)))")).alias("e"))
-    entries = entries.select("id", "n", "s1", "e.role", "e.leaf")
+    entries = sets.select("id", "n", "s1", F.explode(F.expr("concat(transform(leaves, (x, i) -> struct(0 AS role, i AS block, x AS leaf)), transform(below, (x, i) -> struct(1 AS role, i AS block, x AS leaf)))")).alias("e"))
+    entries = entries.select("id", "n", "s1", "e.role", "e.block", "e.leaf")
     often = entries.groupBy("leaf").agg(F.count("*").alias("members"))
     own = Window.partitionBy("id", "s1", "role")
+    order = own.orderBy("members", "leaf")
+    bit = "CASE WHEN pmod(block, 256) DIV 64 = {0} THEN shiftleft(1L, block % 64) ELSE 0L END"
+    earlier = [F.coalesce(F.bit_or(F.expr(bit.format(k))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"e{k}") for k in range(4)]
     ranked = entries.join(often, "leaf").select(
-        "id", "n", "leaf", "members", F.row_number().over(own.orderBy("members", "leaf")).alias("place"), F.sum("members").over(own).alias("degree")
+        "id", "n", "leaf", "members", F.row_number().over(order).alias("place"), F.sum("members").over(own).alias("degree"), *earlier
     )
-    ranked = cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).select("leaf", "id", "degree"))
+    ranked = cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).drop("members", "place"))
     release(spark)
-    links, known, open_members, rank, label = [], None, ranked, F.col("degree"), F.col("id")
+    # At the rarest leaf that two sets share, all rarer blocks of both differ; too many of them rule the pair out there.
+    differing = " + ".join(f"bit_count(e{k} | f{k})" for k in range(4))
+    possible = F.expr(f"{differing} <= (n + m) * {100 - percent} DIV {100 + percent} AND {100 + percent} * least(n, m) >= {percent} * (n + m)")
+    links, open_members, rank, label = [], ranked, F.col("degree"), F.col("id")
     for turn in range(rounds + 1):
         open_members = cut(open_members.withColumn("comp", label))
-        parts = open_members.groupBy("leaf", "comp").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "id")).alias("top"))
-        leaves = parts.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max("top").alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        leaves = cut(leaves.select("leaf", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("open"), F.col("top.id").alias("pivot")))
-        n_open, n_members = leaves.agg(F.sum("open"), F.sum("n")).first()
+        parts = open_members.groupBy("leaf", "comp").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "id", F.col("n").alias("m"), *(F.col(f"e{k}").alias(f"f{k}") for k in range(4)))).alias("top"))
+        leaves = parts.groupBy("leaf").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max("top").alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        leaves = cut(leaves.select("leaf", "rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("open"), F.col("top.id").alias("other"), *(f"top.{c}" for c in ("m", "f0", "f1", "f2", "f3"))))
+        n_open, n_members = leaves.agg(F.sum("open"), F.sum("rows")).first()
         if not n_open:
             break
-        last = turn == rounds or n_open <= 2 * n_members
-        live = open_members.join(leaves.select("leaf", "pivot"), "leaf")
+        last = turn == rounds or n_open <= 50 * n_members
+        live = open_members.join(leaves.select("leaf"), "leaf", "left_semi")
         if last:
-            other = live.select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = live.join(other, "leaf").where("comp < other_comp").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+            other = live.select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("m"), *(F.col(f"e{k}").alias(f"f{k}") for k in range(4)))
+            met = live.join(other, (live["leaf"] == other["leaf"]) & F.expr("comp < other_comp") & possible)
         else:
-            pairs = live.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        links.append(_linked(cut(pairs.distinct()), sets, percent))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        known = cut(merge_labels(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            met = live.join(leaves, (live["leaf"] == leaves["leaf"]) & F.expr("id <> other") & possible)
+        pairs = cut(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        links.append(_linked(pairs, sets, percent))
         release(spark)
         if last:
             break
-        open_members = live.select("leaf", "id", "degree").join(known.withColumnRenamed("node", "id"), "id", "left")
-        label, rank = F.coalesce("root", "id"), F.xxhash64("id", F.lit(turn))
+        # Members of one label are linked through it; more than that isn't needed to leave their pairs out.
+        ends = [x.select(F.col(u).alias("id"), F.col(v).alias("to")) for x in links for u, v in (("a", "b"), ("b", "a"))]
+        near = reduce(DataFrame.unionByName, ends).groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("label"))
+        open_members = live.select(*ranked.columns).join(near, "id", "left")
+        label, rank = F.coalesce("label", "id"), F.xxhash64("id", F.lit(turn))
+    known = None
+    if links:
+        known = cut(merge_labels(reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v"))))
     result = base.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     if known is not None:
         result = result.join(known, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("root", "rep"))
