@@ -11,8 +11,8 @@ blocks; with more blocks than that, two similar sets agree in all coordinates of
 a point, and a search is an equi-join on (band, block, counts). Blocks without shingles say nothing; they are left out
 where enough others must agree.
 
-*Two passes.* D + 1 blocks and a few more show which sets can have a partner at all. Only these get a finer tree of
-four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
+*Two passes.* D + 1 blocks and a few more show which sets can have a partner at all; their leaves travel as packed
+arrays, one entry for each leaf of a batch. Only those sets get a finer tree of up to four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
 one of these. So sets at the rim of a large group of copies, which have many blocks of their own, don't meet it.
 
 *Pairs.* A leaf is not expanded into all its pairs. Its most connected member is compared with the others first;
@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import merge_labels
-from .common import NO_ID, all_words, bucketed, cut, mix, partitions, release, small
+from .common import NO_ID, all_words, bucketed, cut, mix, partitions, release, small, text_bytes
+from .common import shares as number_of
 
 #: Coordinates of a block (as bits), coordinates for the bound of a pair, ratio of sizes in a band.
 GROUP_BITS, POINT, BAND = 20, 256, 1.35
-#: Blocks of the finer tree for each one that may differ.
+#: Blocks of the finer tree for each one that may differ, at most.
 FINER = 4
 _ODD = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)]
 
@@ -98,23 +99,73 @@ def _searched(own: np.ndarray, percent: int, finer: int) -> list[np.ndarray]:
     return found
 
 
-def _points(size: int, fold: bool, percent: int):
+def _signs(size: int, fold: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
         for batch in small(batches, "_text"):
             rows = []
             for own in _sets(batch["_text"], size, fold):
                 signs = own.sum(dtype=np.uint64), mix(own ^ _ODD[1]).sum(dtype=np.uint64)
-                leaves = np.concatenate(_searched(own, percent, 1)) if len(own) else []
-                rows.append((len(own), *(int(x.astype(np.int64)) for x in signs), leaves))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=["id", "n", "s1", "s2", "leaves"])
+                rows.append((len(own), *(int(x.astype(np.int64)) for x in signs)))
+            columns = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, pa.int64()) for x in columns)], names=["id", "n", "s1", "s2"])
 
     return read
 
 
+def _searches(size: int, fold: bool, percent: int, buckets: int):
+    """Rows of bucket -1: ids that share a leaf within a batch. Other rows: each leaf of the batch, with one id."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in small(batches, "_text", 8 << 20):
+            found = [np.concatenate(_searched(own, percent, 1)) if len(own) else np.empty(0, np.int64) for own in _sets(batch["_text"], size, fold)]
+            number = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            leaf = np.concatenate(found).view(np.uint64)
+            order = np.argsort(leaf, kind="stable")
+            leaf, number = leaf[order], number[order]
+            new = np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)]
+            alone = new & np.append(new[1:], True)[: len(leaf)]
+            ids = batch["_id"].to_numpy()
+            rows = [(-1, ids[np.unique(number[~alone])].astype("<i8").tobytes())]
+            leaf, number = leaf[new], number[new]
+            bucket = ((leaf >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+            order = np.lexsort((number, bucket))
+            bucket, leaf, number = bucket[order], leaf[order], number[order]
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
+            for k in range(buckets):
+                own, of = leaf[edge[k] : edge[k + 1]], number[edge[k] : edge[k + 1]]
+                if len(own):
+                    parts = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), ids[of].astype("<i8")
+                    rows.append((k, b"".join(x.tobytes() for x in parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["bucket", "payload"])
+
+    return read
+
+
+def _meet(sent: pa.Table) -> pa.Table:
+    """The ids of a bucket that share a leaf."""
+    keys, ids = [], []
+    for payload in sent["payload"].to_pylist():
+        n = len(payload) // 14
+        keys.append(np.frombuffer(payload, "<u4", n).astype(np.uint64) | (np.frombuffer(payload, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)))
+        ids.append(np.frombuffer(payload, "<i8", n, 6 * n))
+    key, own = np.concatenate(keys), np.concatenate(ids)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    alone = new & np.append(new[1:], True)
+    return pa.table({"id": np.unique(own[order[~alone]])})
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["payload"].to_pylist()), "<i8"))], names=["id"])
+
+
 def _whole(size: int, fold: bool, percent: int):
+    finer = max(2, min(FINER, percent // (2 * (100 - percent) or 1)))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in small(batches, "_text"):
@@ -122,7 +173,7 @@ def _whole(size: int, fold: bool, percent: int):
             for own in _sets(batch["_text"], size, fold):
                 point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
                 sign = int(own.sum(dtype=np.uint64).astype(np.int64))
-                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *_searched(own, percent, FINER)))
+                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *_searched(own, percent, finer)))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = list(zip(*rows)) if rows else [()] * 6
             names = ["id", "n", "s1", "point", "own", "leaves", "below"]
@@ -164,12 +215,14 @@ def jaccard_components(
     shares = partitions(spark)
     no_id = F.lit(NO_ID).cast("long")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    base = cut(texts.mapInArrow(_points(size, fold, percent), "id long, n long, s1 long, s2 long, leaves array<long>"))
+    base = cut(texts.mapInArrow(_signs(size, fold), "id long, n long, s1 long, s2 long"))
     classes = cut(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    first = base.join(classes.hint("merge"), ["n", "s1", "s2"]).where("id = rep")
-    entries = first.select("id", F.explode("leaves").alias("leaf"))
-    shared = entries.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-    able = cut(entries.join(shared.hint("merge"), "leaf", "left_semi").select("id").distinct())
+    total = text_bytes(texts, "_text")
+    sent = texts.mapInArrow(_searches(size, fold, percent, parts := number_of(total, 16 << 20, shares)), "bucket int, payload binary")
+    sent = cut(sent)
+    meet = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet, "id long")
+    able = meet.unionByName(sent.where("bucket < 0").select("payload").mapInArrow(_local, "id long")).distinct()
+    able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<long>, below array<long>"
