@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import small
 
 #: Pieces that a worker remembers, pieces in one query, and the largest vocabulary file that is sent to the tasks.
-REMEMBERED, AT_ONCE, LARGEST = 700_000, 25_000, 64 << 20
+REMEMBERED, AT_ONCE, LARGEST = 300_000, 15_000, 64 << 20
 
 _ENCODE = """
 WITH RECURSIVE state AS (
@@ -56,12 +56,13 @@ class Tables:
         import duckdb
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
-        #: Pieces with their tokens, and those that don't decode to themselves; both are forgotten when there are too many.
+        #: Pieces with their tokens, those met in more than one batch, and those that don't decode to themselves.
         self.known: dict[str, bytes] = {}
+        self.met: set[str] = set()
         self.unlike: dict[str, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], m) for t, m in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
         vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
@@ -85,6 +86,13 @@ class Tables:
         order = np.lexsort((np.concatenate([done["pos"].to_numpy(), np.zeros(len(whole), np.int64)]), piece))
         return piece[order], token[order].astype("<u4")
 
+    def forget(self) -> None:
+        """Keeps the pieces that were met again, unless these are too many as well."""
+        if len(self.met) > REMEMBERED // 2:
+            self.met.clear()
+        self.known = {p: self.known[p] for p in self.met}
+        self.unlike = {p: d for p, d in self.unlike.items() if p in self.met}
+
     def decode(self, piece: np.ndarray, token: np.ndarray, n: int) -> list[bytes]:
         """The bytes of each of ``n`` runs of tokens that are given in order."""
         self.con.register("tokens", pa.table({"piece": piece, "pos": np.arange(len(piece)), "token": token.astype(np.int32)}))
@@ -111,14 +119,14 @@ def _encoder(shared, pattern: str):
         import regex
 
         tables, cut = _tables(shared.value), regex.compile(pattern)
-        ids, back = tables.known, tables.unlike
-        for batch in small(batches, "_text", 4 << 20):
+        for batch in small(batches, "_text", 3 << 20):
             texts = [cut.findall(t or "") for t in batch["_text"].to_pylist()]
-            new = list(set(chain.from_iterable(texts)).difference(ids))
-            if len(ids) + len(new) > REMEMBERED:
-                ids.clear()
-                back.clear()
-                new = list(set(chain.from_iterable(texts)))
+            new = set(chain.from_iterable(texts))
+            tables.met.update(new.intersection(tables.known))
+            if len(tables.known) + len(new) > REMEMBERED:
+                tables.forget()
+            ids, back = tables.known, tables.unlike
+            new = list(new.difference(ids))
             for at in range(0, len(new), AT_ONCE):
                 some = [p.encode() for p in new[at : at + AT_ONCE]]
                 piece, token = tables.encode(some)
@@ -136,6 +144,7 @@ def _encoder(shared, pattern: str):
                 [batch["_id"], pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary()), pa.array(decoded, pa.binary())],
                 names=["_id", "n_tokens", "token_ids", "decoded"],
             )
+        tables.forget()
 
     return read
 

@@ -11,8 +11,8 @@ blocks; with more blocks than that, two similar sets agree in all coordinates of
 a point, and a search is an equi-join on (band, block, counts). Blocks without shingles say nothing; they are left out
 where enough others must agree.
 
-*Two passes.* D + 1 blocks and a few more show which sets can have a partner at all; their leaves travel as packed
-arrays, one entry for each leaf of a batch. Only those sets get a finer tree of up to four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
+*Two passes.* D + 1 blocks and a few more show which sets can have a partner at all: as many leaves as there are more
+blocks must be shared. These leaves travel as packed arrays, one entry for each leaf of a batch. Only those sets get a finer tree of up to four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
 one of these. So sets at the rim of a large group of copies, which have many blocks of their own, don't meet it.
 
 *Pairs.* A leaf is not expanded into all its pairs. Its most connected member is compared with the others first;
@@ -75,8 +75,11 @@ def _band(n: int) -> int:
     return k
 
 
-def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> np.ndarray:
-    """Keys of a set's leaves in band ``k``; empty blocks go if there are at most ``spare``."""
+def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> tuple[np.ndarray, int]:
+    """Keys of a set's leaves in band ``k``, without those of empty blocks if at most ``spare`` are empty.
+
+    With the number of them that a similar set must share: ``spare + 1`` blocks agree, some of which may have gone.
+    """
     block = ((own >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     edge = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
     sums = np.zeros(len(own) + 1, np.uint64)
@@ -84,18 +87,20 @@ def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> np.ndarray:
     n = np.diff(edge)
     number = np.arange(blocks, dtype=np.uint64)
     keys = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(np.uint64) * _ODD[0] + number * _ODD[1] + np.uint64(k) * _ODD[2])
-    return keys[n > 0] if (n == 0).sum() <= spare else keys
+    empty = int((n == 0).sum())
+    return (keys[n > 0], spare + 1 - empty) if empty <= spare else (keys, spare + 1)
 
 
-def _searched(own: np.ndarray, percent: int, finer: int) -> list[np.ndarray]:
-    """Keys of the leaves where a set meets all that may be similar: in its band, and as the larger one in the band below."""
+def _searched(own: np.ndarray, percent: int, finer: int) -> list[tuple[np.ndarray, int]]:
+    """Leaves where a set meets all that may be similar: in its band, and as the larger one in the band below."""
     n, k = len(own), _band(len(own))
-    found = [np.empty(0, np.int64)] * 2
+    found = [(np.empty(0, np.int64), 1)] * 2
     for which, band in enumerate((k, k - 1)):
         if which == 0 or band >= 0 and percent * n <= 100 * _band_top(band):
             differing = _band_top(band) * (100 - percent) // percent
-            spare = 0 if finer > 1 else 1 + differing // 10
-            found[which] = _leaves(own, band, finer * (differing + 1) + spare, spare).view(np.int64)
+            spare = 0 if finer > 1 else 1 + differing // 4
+            keys, needed = _leaves(own, band, finer * (differing + 1) + spare, spare)
+            found[which] = keys.view(np.int64), needed
     return found
 
 
@@ -113,21 +118,28 @@ def _signs(size: int, fold: bool):
     return read
 
 
+_SHARED = pa.schema([("id", pa.int64()), ("role", pa.int8()), ("needed", pa.int64()), ("leaves", pa.int64())])
+
+
 def _searches(size: int, fold: bool, percent: int, buckets: int):
-    """Rows of bucket -1: ids that share a leaf within a batch. Other rows: each leaf of the batch, with one id."""
+    """Rows of bucket -1: for every set of a batch, what it needs and how many leaves it shares within the batch.
+
+    Other rows: each leaf of the batch once, with one of its sets.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in small(batches, "_text", 8 << 20):
-            found = [np.concatenate(_searched(own, percent, 1)) if len(own) else np.empty(0, np.int64) for own in _sets(batch["_text"], size, fold)]
-            number = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            leaf = np.concatenate(found).view(np.uint64)
+            found = [x for own in _sets(batch["_text"], size, fold) for x in (_searched(own, percent, 1) if len(own) else [(np.empty(0, np.int64), 1)] * 2)]
+            ids = np.repeat(batch["_id"].to_numpy(), 2)
+            number = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+            leaf = np.concatenate([x for x, _ in found]).view(np.uint64)
             order = np.argsort(leaf, kind="stable")
             leaf, number = leaf[order], number[order]
             new = np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)]
             alone = new & np.append(new[1:], True)[: len(leaf)]
-            ids = batch["_id"].to_numpy()
-            rows = [(-1, ids[np.unique(number[~alone])].astype("<i8").tobytes())]
+            here = np.bincount(number[~alone], minlength=len(found))
+            rows = [(-1, b"".join(x.tobytes() for x in (ids, np.array([n for _, n in found], "<i8"), here.astype("<i8"))))]
             leaf, number = leaf[new], number[new]
             bucket = ((leaf >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
             order = np.lexsort((number, bucket))
@@ -136,7 +148,7 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
             for k in range(buckets):
                 own, of = leaf[edge[k] : edge[k + 1]], number[edge[k] : edge[k + 1]]
                 if len(own):
-                    parts = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), ids[of].astype("<i8")
+                    parts = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), ids[of].astype("<i8"), (of & 1).astype(np.int8)
                     rows.append((k, b"".join(x.tobytes() for x in parts)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["bucket", "payload"])
 
@@ -144,23 +156,31 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
 
 
 def _meet(sent: pa.Table) -> pa.Table:
-    """The ids of a bucket that share a leaf."""
-    keys, ids = [], []
+    """How many leaves of a bucket each set shares."""
+    keys, ids, roles = [], [], []
     for payload in sent["payload"].to_pylist():
-        n = len(payload) // 14
+        n = len(payload) // 15
         keys.append(np.frombuffer(payload, "<u4", n).astype(np.uint64) | (np.frombuffer(payload, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)))
         ids.append(np.frombuffer(payload, "<i8", n, 6 * n))
-    key, own = np.concatenate(keys), np.concatenate(ids)
+        roles.append(np.frombuffer(payload, np.int8, n, 14 * n))
+    key, own, role = np.concatenate(keys), np.concatenate(ids), np.concatenate(roles)
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
     alone = new & np.append(new[1:], True)
-    return pa.table({"id": np.unique(own[order[~alone]])})
+    met = order[~alone]
+    met = met[np.lexsort((role[met], own[met]))]
+    own, role = own[met], role[met]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (role[1:] != role[:-1]))[: len(own)])
+    return pa.table([own[first], role[first], np.zeros(len(first), np.int64), np.diff(np.append(first, len(own)))], schema=_SHARED)
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["payload"].to_pylist()), "<i8"))], names=["id"])
+        for payload in batch["payload"].to_pylist():
+            n = len(payload) // 24
+            ids, needed, here = np.frombuffer(payload, "<i8").reshape(3, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, np.arange(n) % 2, needed, here), _SHARED.types)], schema=_SHARED)
 
 
 def _whole(size: int, fold: bool, percent: int):
@@ -173,7 +193,7 @@ def _whole(size: int, fold: bool, percent: int):
             for own in _sets(batch["_text"], size, fold):
                 point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
                 sign = int(own.sum(dtype=np.uint64).astype(np.int64))
-                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *_searched(own, percent, finer)))
+                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *(x for x, _ in _searched(own, percent, finer))))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = list(zip(*rows)) if rows else [()] * 6
             names = ["id", "n", "s1", "point", "own", "leaves", "below"]
@@ -220,8 +240,10 @@ def jaccard_components(
     total = text_bytes(texts, "_text")
     sent = texts.mapInArrow(_searches(size, fold, percent, parts := number_of(total, 16 << 20, shares)), "bucket int, payload binary")
     sent = cut(sent)
-    meet = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet, "id long")
-    able = meet.unionByName(sent.where("bucket < 0").select("payload").mapInArrow(_local, "id long")).distinct()
+    kinds = "id long, role byte, needed long, leaves long"
+    meet = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet, kinds)
+    counts = meet.unionByName(sent.where("bucket < 0").select("payload").mapInArrow(_local, kinds)).groupBy("id", "role")
+    able = counts.agg(F.sum("leaves").alias("leaves"), F.max("needed").alias("needed")).where("leaves >= needed").select("id").distinct()
     able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")

@@ -121,7 +121,7 @@ class Model:
 
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each kind of term and distinct term of a document."""
-    for batch in small(batches, "_text"):
+    for batch in small(batches, "_text", 1 << 20):
         w, kinds = _terms(*flat(batch["_text"]))
         of = w.text_of()
         for k, kind in enumerate(kinds):
@@ -133,7 +133,7 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _features(lexicons: list[Lexicon]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "_text"):
+        for batch in small(batches, "_text", 1 << 20):
             fold = np.array(batch["_fold"].to_pylist(), np.int64)
             x = np.stack([_dense(*flat(batch["_text"]), own) for own in lexicons])[fold, np.arange(len(fold))]
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_label"], batch["_fold"], pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_label", "_fold", "x"])
@@ -204,7 +204,7 @@ def fit(
 
 def _score(model: Model):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "_text"):
+        for batch in small(batches, "_text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(model.score(*flat(batch["_text"])), pa.float64())], names=["_id", "score"])
 
     return read
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _keep(model: Model, text: str, threshold: float):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, text):
+        for batch in small(batches, text, 1 << 20):
             yield batch.filter(pa.array(model.score(*flat(batch[text])) < threshold))
 
     return read
