@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
 
@@ -21,55 +22,81 @@ from pyspark.sql import functions as F
 from .common import small
 
 #: Pieces that a worker remembers, pieces in one query, and the largest vocabulary file that is sent to the tasks.
-REMEMBERED, AT_ONCE, LARGEST = 300_000, 15_000, 64 << 20
+REMEMBERED, AT_ONCE, LARGEST = 240_000, 12_000, 64 << 20
 
 _ENCODE = """
 WITH RECURSIVE state AS (
-    SELECT piece, pos, before, token, merged, min((merged::BIGINT << 32) + pos) OVER (PARTITION BY piece) AS best
-    FROM (
-        SELECT p.*, m.merged FROM (
+    (WITH j AS (
+        SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
             SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
             FROM pieces WINDOW run AS (PARTITION BY piece ORDER BY pos)
         ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.after
-    )
+    ), b AS (SELECT piece, min((merged::BIGINT << 32) + pos) AS best FROM j WHERE merged IS NOT NULL GROUP BY piece)
+    SELECT j.*, b.best FROM j LEFT JOIN b ON b.piece = j.piece)
     UNION ALL
-    SELECT piece, pos, before, token, merged, min((merged::BIGINT << 32) + pos) OVER (PARTITION BY piece) AS best
-    FROM (
-        SELECT p.*, m.merged FROM (
+    (WITH kept AS (
+        SELECT piece, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END AS token
+        FROM state WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
+    ), j AS (
+        SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
             SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
-            FROM (
-                SELECT piece, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END AS token
-                FROM state WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
-            ) WINDOW run AS (PARTITION BY piece ORDER BY pos)
+            FROM kept WINDOW run AS (PARTITION BY piece ORDER BY pos)
         ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.after
-    )
+    ), b AS (SELECT piece, min((merged::BIGINT << 32) + pos) AS best FROM j WHERE merged IS NOT NULL GROUP BY piece)
+    SELECT j.*, b.best FROM j LEFT JOIN b ON b.piece = j.piece)
 )
 SELECT piece, pos, token FROM state WHERE best IS NULL
 """
 _DECODE = "SELECT t.piece, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.piece ORDER BY t.piece"
 
 
+@dataclass
+class Vocabulary:
+    """Ranks of the tokens, and every way to make a token of two others; what is sent to the tasks."""
+
+    ranks: dict[bytes, int]
+    merges: np.ndarray
+
+    @classmethod
+    def read(cls, path: str) -> Vocabulary:
+        content = Path(path).read_bytes()
+        if len(content) > LARGEST:
+            raise ValueError("the vocabulary is too large to be sent to every task")
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+        pairs = [(ranks[t[:k]], ranks[t[k:]], m) for t, m in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        return cls(ranks, np.array(pairs, np.int32).reshape(-1, 3).T)
+
+
 class Tables:
-    """A vocabulary as DuckDB tables: tokens with their bytes, and every way to make a token of two others."""
+    """A vocabulary as DuckDB tables, for the time of a task."""
+
+    #: Pieces with their tokens, those met in more than one batch, and those that don't decode to themselves. A worker
+    #: process serves one task after the other and keeps them; ``owner`` tells vocabularies apart.
+    known: dict[str, bytes] = {}
+    met: set[str] = set()
+    unlike: dict[str, bytes] = {}
+    owner = None
 
-    def __init__(self, ranks_file: bytes):
+    def __init__(self, vocabulary: Vocabulary, pattern: str | None = None):
         import duckdb
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
-        #: Pieces with their tokens, those met in more than one batch, and those that don't decode to themselves.
-        self.known: dict[str, bytes] = {}
-        self.met: set[str] = set()
-        self.unlike: dict[str, bytes] = {}
+        owner = (pattern, len(vocabulary.ranks), int(vocabulary.merges.sum(dtype=np.int64)))
+        if pattern is not None and Tables.owner != owner:
+            Tables.known, Tables.met, Tables.unlike, Tables.owner = {}, set(), {}, owner
+        self.ranks = vocabulary.ranks
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], m) for t, m in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
-        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+        merges = pa.table(dict(zip(("l", "r", "merged"), vocabulary.merges)))
+        tokens = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        for name, rows in (("merges", merges), ("vocabulary", tokens)):
             self.con.register("given", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
 
+    def close(self) -> None:
+        self.con.close()
+        self.forget()
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the piece and token, in order. A piece that is a token stays one, as every encoder does it."""
         whole = [(k, self.ranks[p]) for k, p in enumerate(pieces) if p in self.ranks]
@@ -89,9 +116,9 @@ class Tables:
     def forget(self) -> None:
         """Keeps the pieces that were met again, unless these are too many as well."""
         if len(self.met) > REMEMBERED // 2:
-            self.met.clear()
-        self.known = {p: self.known[p] for p in self.met}
-        self.unlike = {p: d for p, d in self.unlike.items() if p in self.met}
+            Tables.met = set()
+        Tables.known = {p: self.known[p] for p in self.met}
+        Tables.unlike = {p: d for p, d in self.unlike.items() if p in self.met}
 
     def decode(self, piece: np.ndarray, token: np.ndarray, n: int) -> list[bytes]:
         """The bytes of each of ``n`` runs of tokens that are given in order."""
@@ -104,22 +131,12 @@ class Tables:
         return out
 
 
-_TABLES: dict[int, Tables] = {}
-
-
-def _tables(ranks_file: bytes) -> Tables:
-    """The tables of a worker process, which serves several tasks."""
-    if (key := hash(ranks_file)) not in _TABLES:
-        _TABLES[key] = Tables(ranks_file)
-    return _TABLES[key]
-
-
 def _encoder(shared, pattern: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        tables, cut = _tables(shared.value), regex.compile(pattern)
-        for batch in small(batches, "_text", 3 << 20):
+        tables, cut = Tables(shared.value, pattern), regex.compile(pattern)
+        for batch in small(batches, "_text", 2 << 20):
             texts = [cut.findall(t or "") for t in batch["_text"].to_pylist()]
             new = set(chain.from_iterable(texts))
             tables.met.update(new.intersection(tables.known))
@@ -144,28 +161,26 @@ def _encoder(shared, pattern: str):
                 [batch["_id"], pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary()), pa.array(decoded, pa.binary())],
                 names=["_id", "n_tokens", "token_ids", "decoded"],
             )
-        tables.forget()
+        tables.close()
 
     return read
 
 
 def _decoder(shared):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(shared.value)
+        tables = Tables(shared.value)
         for batch in small(batches, "_ids", 4 << 20):
             runs = [np.frombuffer(x or b"", "<u4") for x in batch["_ids"].to_pylist()]
             number = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
             out = tables.decode(number, np.concatenate(runs), len(runs))
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(out, pa.binary())], names=["_id", "decoded"])
+        tables.close()
 
     return read
 
 
 def _shared(docs: DataFrame, path: str):
-    content = Path(path).read_bytes()
-    if len(content) > LARGEST:
-        raise ValueError("the vocabulary is too large to be sent to every task")
-    return docs.sparkSession.sparkContext.broadcast(content)
+    return docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

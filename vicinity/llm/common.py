@@ -138,7 +138,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes together; a longer text is a run of its own."""
     k, n = 0, len(offsets) - 1
     while k < n:
