@@ -118,11 +118,33 @@ def _signs(size: int, fold: bool):
     return read
 
 
-_SHARED = pa.schema([("id", pa.int64()), ("role", pa.int8()), ("needed", pa.int64()), ("leaves", pa.int64())])
+def _counted(ids: np.ndarray, roles: np.ndarray, needed: np.ndarray, leaves: np.ndarray, shares: int) -> Iterator[tuple[int, bytes]]:
+    """Share of the ids and packed counts: what a set needs, and how many shared leaves were found."""
+    share = (mix(ids.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    edge = np.searchsorted(share[order], np.arange(shares + 1))
+    for k in range(shares):
+        own = order[edge[k] : edge[k + 1]]
+        if len(own):
+            yield k, b"".join(x[own].astype(t).tobytes() for x, t in zip((ids, roles, needed, leaves), ("<i8", "<i4", "<i4", "<i8")))
+
+
+def _able(sent: pa.Table) -> pa.Table:
+    """The ids of a share that found as many leaves as they need in one of their roles."""
+    parts = []
+    for payload in sent["payload"].to_pylist():
+        n = len(payload) // 24
+        parts.append([np.frombuffer(payload, t, n, at * n) for t, at in (("<i8", 0), ("<i4", 8), ("<i4", 12), ("<i8", 16))])
+    ids, roles, needed, leaves = map(np.concatenate, zip(*parts))
+    order = np.lexsort((roles, ids))
+    ids, roles = ids[order], roles[order]
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (roles[1:] != roles[:-1])))
+    enough = np.add.reduceat(leaves[order], first) >= np.maximum(1, np.maximum.reduceat(needed[order], first))
+    return pa.table({"id": np.unique(ids[first][enough])})
 
 
 def _searches(size: int, fold: bool, percent: int, buckets: int):
-    """Rows of bucket -1: for every set of a batch, what it needs and how many leaves it shares within the batch.
+    """Rows of a negative bucket: what each set of a batch needs and how many leaves it shares within the batch.
 
     Other rows: each leaf of the batch once, with one of its sets.
     """
@@ -139,7 +161,8 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
             new = np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)]
             alone = new & np.append(new[1:], True)[: len(leaf)]
             here = np.bincount(number[~alone], minlength=len(found))
-            rows = [(-1, b"".join(x.tobytes() for x in (ids, np.array([n for _, n in found], "<i8"), here.astype("<i8"))))]
+            counts = _counted(ids, np.arange(len(ids)) % 2, np.array([n for _, n in found]), here, buckets)
+            rows = [(-1 - k, payload) for k, payload in counts]
             leaf, number = leaf[new], number[new]
             bucket = ((leaf >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
             order = np.lexsort((number, bucket))
@@ -155,32 +178,28 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
     return read
 
 
-def _meet(sent: pa.Table) -> pa.Table:
-    """How many leaves of a bucket each set shares."""
-    keys, ids, roles = [], [], []
-    for payload in sent["payload"].to_pylist():
-        n = len(payload) // 15
-        keys.append(np.frombuffer(payload, "<u4", n).astype(np.uint64) | (np.frombuffer(payload, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)))
-        ids.append(np.frombuffer(payload, "<i8", n, 6 * n))
-        roles.append(np.frombuffer(payload, np.int8, n, 14 * n))
-    key, own, role = np.concatenate(keys), np.concatenate(ids), np.concatenate(roles)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.append(True, key[1:] != key[:-1])
-    alone = new & np.append(new[1:], True)
-    met = order[~alone]
-    met = met[np.lexsort((role[met], own[met]))]
-    own, role = own[met], role[met]
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (role[1:] != role[:-1]))[: len(own)])
-    return pa.table([own[first], role[first], np.zeros(len(first), np.int64), np.diff(np.append(first, len(own)))], schema=_SHARED)
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for payload in batch["payload"].to_pylist():
-            n = len(payload) // 24
-            ids, needed, here = np.frombuffer(payload, "<i8").reshape(3, n)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, np.arange(n) % 2, needed, here), _SHARED.types)], schema=_SHARED)
+def _meet(buckets: int):
+    def count(sent: pa.Table) -> pa.Table:
+        """How many leaves of a bucket each set shares."""
+        keys, ids, roles = [], [], []
+        for payload in sent["payload"].to_pylist():
+            n = len(payload) // 15
+            keys.append(np.frombuffer(payload, "<u4", n).astype(np.uint64) | (np.frombuffer(payload, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)))
+            ids.append(np.frombuffer(payload, "<i8", n, 6 * n))
+            roles.append(np.frombuffer(payload, np.int8, n, 14 * n))
+        key, own, role = np.concatenate(keys), np.concatenate(ids), np.concatenate(roles)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        alone = new & np.append(new[1:], True)
+        met = order[~alone]
+        met = met[np.lexsort((role[met], own[met]))]
+        own, role = own[met], role[met]
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (role[1:] != role[:-1]))[: len(own)])
+        rows = list(_counted(own[first], role[first], np.zeros(len(first)), np.diff(np.append(first, len(own))), buckets))
+        return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["share", "payload"])
+
+    return count
 
 
 def _whole(size: int, fold: bool, percent: int):
@@ -240,10 +259,9 @@ def jaccard_components(
     total = text_bytes(texts, "_text")
     sent = texts.mapInArrow(_searches(size, fold, percent, parts := number_of(total, 16 << 20, shares)), "bucket int, payload binary")
     sent = cut(sent)
-    kinds = "id long, role byte, needed long, leaves long"
-    meet = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet, kinds)
-    counts = meet.unionByName(sent.where("bucket < 0").select("payload").mapInArrow(_local, kinds)).groupBy("id", "role")
-    able = counts.agg(F.sum("leaves").alias("leaves"), F.max("needed").alias("needed")).where("leaves >= needed").select("id").distinct()
+    counts = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet(parts), "share int, payload binary")
+    counts = counts.unionByName(sent.where("bucket < 0").select((-1 - F.col("bucket")).alias("share"), "payload"))
+    able = counts.groupBy("share").applyInArrow(_able, "id long")
     able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
