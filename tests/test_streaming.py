@@ -76,3 +76,42 @@ def test_snapshots_accumulate(spark, tmp_path):
     clicks.accumulate_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     listed = snapshots.list_snapshots(spark.read.parquet(str(tmp_path / "out"))).orderBy("taken_on").collect()
     assert [r["pois"] for r in listed] == [3.0, 5.0]
+
+
+def test_a_date_in_two_batches_and_a_replay(spark, tmp_path):
+    """Both files of a date count, each in a micro-batch of its own; running again adds nothing."""
+    source = tmp_path / "in"
+    for k, count in enumerate((2, 40)):
+        spark.createDataFrame([("2024-01-01", "cafe", 1, 1, count)], "taken_on string, layer string, i int, j int, count long").coalesce(1).write.mode("append").parquet(str(source))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for _ in range(2):
+        stream = spark.readStream.schema("taken_on string, layer string, i int, j int, count long").option("maxFilesPerTrigger", 1).parquet(str(source))
+        clicks.accumulate_snapshots(stream, out, check).awaitTermination(120)
+    assert [r["count"] for r in snapshots.read_snapshots(spark, out).collect()] == [42]
+
+
+def test_missing_district_does_not_win(spark):
+    from vicinity.operators import search
+
+    sites = spark.createDataFrame([(1, "Park", None, None), (2, "Park", "A", "B")], "site_id int, name string, gu string, dong string")
+    assert search.resolve_site(sites, "Park", "A", "B").first()["site_id"] == 2
+
+
+def test_charger_station_is_one_real_row(spark):
+    from vicinity.operators import stations
+
+    rows = [("S", "B side", "addr2", 37.6, 126.9), ("S", "A side", "addr9", 37.5, 127.1)]
+    df = spark.createDataFrame(rows, "station_id string, name string, address string, lat double, lng double").selectExpr(
+        "*", "'op' AS operator", "'' AS use_time", "'01' AS kind", "true AS fast", "false AS restricted", "true AS free", "true AS available"
+    )
+    row = stations.charger_stations(df).first()
+    assert (row["name"], row["address"], row["lat"], row["lng"], row["charger_count"]) == ("A side", "addr9", 37.5, 127.1, 2)
+
+
+def test_wide_deal_files_keep_all_cells(spark, tmp_path):
+    from vicinity.sources import deal_files
+
+    names = ["시군구", "번지", "단지명"] + [f"x{k}" for k in range(70)] + ["층"] + ['계약년월']
+    (tmp_path / "apt_trade.csv").write_text(",".join(names) + "\n" + ",".join(["a b c", "1", "Tower"] + ["0"] * 70 + ["17"] + ["1"] * 1) + "\n")
+    assert set(deal_files.HEADER_TOKENS) <= set(names)
+    assert deal_files.read_deals(spark, str(tmp_path)).first()["floor"] == "17"

@@ -129,7 +129,7 @@ def compose_lot(bonbun, bubun) -> Column:
 def split_region(c) -> tuple[Column, Column, Column]:
     """``(sido, gu, dong)`` of a blank-separated region text; dong keeps its blanks."""
     parts = F.split(squeeze(c), " ")
-    dong = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, 3, 100), " "))
+    dong = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), " "))
     return F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)), dong
 
 

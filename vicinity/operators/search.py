@@ -18,7 +18,7 @@ def resolve_site(
     """
     hits = sites.where(F.contains("name", F.lit(name)))
     wanted = {"name": name, "gu": gu, "dong": dong}
-    misses = [F.col(column) != value for column, value in wanted.items() if value]
+    misses = [F.coalesce(F.col(column) != value, F.lit(True)) for column, value in wanted.items() if value]
     return hits.orderBy(*misses, order).limit(1)
 
 

@@ -34,6 +34,11 @@ def append_snapshot(cells: DataFrame, path: str, taken_on: str) -> bool:
     dated.write.mode("append").partitionBy("taken_on").parquet(path)
     return True
 
+def read_snapshots(spark, path: str) -> DataFrame:
+    """All dated snapshots under ``path``; what several micro-batches brought for one cell is added up."""
+    history = spark.read.parquet(path)
+    return history.groupBy("taken_on", "layer", "i", "j").agg(F.sum("count").alias("count"))
+
 def list_snapshots(history: DataFrame) -> DataFrame:
     return history.groupBy("taken_on").agg(
         F.count_distinct("layer").alias("layers"), F.sum("count").alias("pois")

@@ -74,15 +74,17 @@ def charger_stations(rows: DataFrame) -> DataFrame:
     """
     place = F.concat_ws("|", "name", F.format_string("%.6f", "lat"), F.format_string("%.6f", "lng"))
     keyed = rows.withColumn("station", F.coalesce(tx.clean("station_id"), place))
-    first = lambda c: F.min(c).alias(c)
-    return keyed.groupBy("station").agg(
-        first("name"), first("address"), first("lat"), first("lng"), first("operator"), first("use_time"),
+    place_of = ["name", "address", "lat", "lng", "operator", "use_time"]
+    rolled = keyed.groupBy("station").agg(
+        F.min(F.struct(*place_of)).alias("_row"),  # one real row, never a mixture
         F.count("*").alias("charger_count"),
         F.count_if("fast").alias("fast_count"), F.count_if(~F.col("fast")).alias("slow_count"),
         F.count_if("restricted").alias("restricted_count"), F.count_if(~F.col("restricted")).alias("public_count"),
         F.count_if("free").alias("free_parking_count"), F.count_if("available").alias("available_count"),
         F.array_join(F.array_sort(F.collect_set(tx.clean("kind"))), ", ").alias("charger_types"),
     )
+    counters = [c for c in rolled.columns if c not in ("station", "_row")]
+    return rolled.select("station", *(f"_row.{c}" for c in place_of), *counters)
 
 
 def charger_access(near_300, near_500, near_1k, fast_1k, public_1k, restricted_1k) -> Column:

@@ -138,7 +138,7 @@ def run_jobs(spark: SparkSession, jobs: Mapping[str, Callable[[], DataFrame | No
             rows = made.count() if made is not None else None
             report.append((name, "success", rows, None, round(time.time() - started, 3)))
         except Exception as error:
-            last = traceback.format_exception_only(error)[-1].strip()[:500]
+            last = traceback.format_exception_only(error)[-1].strip()
             report.append((name, "failed", None, last, round(time.time() - started, 3)))
     return spark.createDataFrame(report, "job string, status string, rows long, error string, seconds double")
 

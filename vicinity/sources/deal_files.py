@@ -19,7 +19,6 @@ COLUMNS = {
     "deposit": ("보증금(만원)", "보증금", "보증금액"), "monthly": ("월세금(만원)", "월세금", "월세"), "floor": ("층",),
     "built": ("건축년도", "건축연도"), "housing_type": ("주택유형", "건물용도"),
 }
-_WIDEST = 60
 
 
 def read_deals(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +33,10 @@ def read_deals(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
         F.regexp_replace("value", "^﻿", "").alias("value"),
     )
-    cells = F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(_WIDEST))))
-    lines = lines.withColumn("cells", F.array(*[cells[f"c{k}"] for k in range(_WIDEST)]))
+    # a line has at most as many cells as commas and one
+    widest = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(widest))))
+    lines = lines.withColumn("cells", F.array(*[cells[f"c{k}"] for k in range(widest)]))
     folded = F.transform("cells", lambda c: F.regexp_replace(F.coalesce(tx.clean(c), F.lit("")), r"\s+", ""))
     is_header = F.lit(True)
     for token in HEADER_TOKENS:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.display import local_day, visitor_hash
 from ..functions.rules import is_bot
 from ..operators.events import PAGE, RESULT, SEARCH
-from ..operators.snapshots import append_snapshot
 
 CLICK_SCHEMA = (
     "ts timestamp, event_type string, ip string, user_agent string, path string, apartment string, apartment_gu string, "
@@ -72,14 +71,15 @@ def combo_counts(events: DataFrame, event_type: str = SEARCH) -> DataFrame:
 def accumulate_snapshots(cells: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Dated snapshots from a stream of ``(taken_on, layer, i, j, count)``.
 
-    A date is added once: a batch that is replayed after a failure finds it there and is skipped.
+    Each micro-batch is written under its date and its own number, and a replay overwrites just that; so a date may
+    arrive in any number of batches. ``snapshots.read_snapshots`` adds the batches of a date up.
     """
 
-    def add(batch: DataFrame, _batch_id: int) -> None:
-        dates = [r["taken_on"] for r in batch.select("taken_on").distinct().collect()]
-        for taken_on in sorted(dates):
-            day = batch.where(F.col("taken_on") == F.lit(taken_on)).groupBy("layer", "i", "j")
-            append_snapshot(day.agg(F.sum("count").alias("count")), path, str(taken_on))
+    def add(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy("taken_on", "layer", "i", "j").agg(F.sum("count").alias("count"))
+        sums.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("taken_on", "batch").parquet(path)
 
     return (
         cells.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
