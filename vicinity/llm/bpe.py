@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import small
 
 #: Pieces that a worker remembers, pieces in one query, and the largest vocabulary file that is sent to the tasks.
-REMEMBERED, AT_ONCE, LARGEST = 240_000, 12_000, 64 << 20
+REMEMBERED, AT_ONCE, LARGEST = 240_000, 32_000, 64 << 20
 
 _ENCODE = """
 WITH RECURSIVE state AS (
-    (WITH j AS (
+    (WITH j AS MATERIALIZED (
         SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
             SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
             FROM pieces WINDOW run AS (PARTITION BY piece ORDER BY pos)
@@ -37,7 +37,7 @@ WITH RECURSIVE state AS (
     (WITH kept AS (
         SELECT piece, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END AS token
         FROM state WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
-    ), j AS (
+    ), j AS MATERIALIZED (
         SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
             SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
             FROM kept WINDOW run AS (PARTITION BY piece ORDER BY pos)
