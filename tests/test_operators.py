@@ -341,3 +341,19 @@ def test_baseline_jobs_write_and_check(spark, tmp_path):
     assert checks.where("level = 'ERROR'").count() == 0
     far = {r["site_id"]: r["nearest_distance"] for r in spark.read.parquet(str(tmp_path / "park")).collect()}
     assert far[1] == 11 and far[2] > 2000
+
+
+def test_site_insights(spark):
+    from vicinity.operators import insights, ranking
+
+    counts = "transfer_count_1km nightlife_count_500m academy_count bus_count cafe_count kids_count show_count general_hospital_count warehouse_count night_pharmacy_count mart_count starbucks_count bike_count ev_count culture_count".split()
+    far = ["subway_distance", "emergency_distance", "riverside_distance"]
+    row = {"site_id": 1, "subway_lines": ["2호선"], **dict.fromkeys(counts, 0), **dict.fromkeys(far, 400.0)}
+    rows = [row | {"academy_count": 60, "bus_count": 5, "cafe_count": 5}, row | {"site_id": 2, "transfer_count_1km": 1, "nightlife_count_500m": 12}]
+    wide = spark.createDataFrame(rows)
+    first, second = ranking.CATEGORY_ORDER[0], ranking.CATEGORY_ORDER[1]
+    pct = spark.createDataFrame([(1, second, 1.0), (1, first, 20.0), (1, "nightlife", 90.0)], "site_id long, category string, pct double")
+    one, two = insights.site_insights(wide, pct).orderBy("site_id").collect()
+    assert one["lifestyles"] == ["도보생활형", "의료안심형", "생활편의형", "휴식형"]
+    assert one["strengths"] == [first, second] and one["cautions"] == []
+    assert two["strengths"] == ["transfer"] and two["cautions"] == ["nightlife_dense"]

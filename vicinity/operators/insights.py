@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import display_position
+
 # Distances and counts that make a feature, and its priority (lower is first).
 FEATURES: list[tuple[int, str, str, str]] = [
     (5, "9호선 접근", "good", "array_contains(subway_lines, '9호선')"),
@@ -32,8 +34,9 @@ LIFESTYLES: list[tuple[str, str]] = [
     ("의료안심형", "emergency_distance <= 3000"),
     ("생활편의형", "cafe_count >= 5"),
     ("문화생활형", "show_count > 0"),
-    ("육아형", "kids_count > 0 OR academy_count >= 50"),
+    ("육아형", "kids_count > 0"),
     ("휴식형", "riverside_distance <= 1500"),
+    ("육아형", "academy_count >= 50"),
 ]
 FLAGS: dict[str, str] = {
     "transfer": "transfer_count_1km > 0",
@@ -63,27 +66,37 @@ def feature_tags(limit: int = 6) -> Column:
 
 
 def lifestyles(limit: int = 4) -> Column:
-    hits = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(n)) for n, rule in LIFESTYLES]))
+    """The first ``limit`` different lifestyles whose rule holds, in the order of the rules."""
+    hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(n)) for n, rule in LIFESTYLES])))
     return F.when(F.size(hits) == 0, F.array(F.lit("균형형"))).otherwise(F.slice(hits, 1, limit))
 
 
-def site_insights(wide: DataFrame, percentiles: DataFrame) -> DataFrame:
-    """Features, lifestyles, up to four strengths (top 20 %) and cautions (from 85 %).
+def site_insights(wide: DataFrame, percentiles: DataFrame, limit: int = 4) -> DataFrame:
+    """Features, lifestyles, and up to ``limit`` strengths and cautions, each in the order of the category cards.
 
-    ``percentiles`` is long: ``(site_id, category, pct)``.
+    ``percentiles`` is long: ``(site_id, category, pct)``; a percentile of at most 20 is a strength, one of at least 85
+    a caution. Near a transfer station ``transfer`` is the first strength; ten or more nightlife places make
+    ``nightlife_dense`` the first caution. Nightlife and school environment are never cautions by their percentile.
     """
     quiet = F.col("category").isin("nightlife", "school-environment")
-    strong = F.when(F.col("pct") <= 20, F.struct("pct", "category"))
-    weak = F.when((F.col("pct") >= 85) & ~quiet, F.struct("category"))
+    entry = F.struct(display_position("category").alias("place"), "category")
     notes = percentiles.groupBy("site_id").agg(
-        F.slice(F.array_sort(F.collect_list(strong)), 1, 4).alias("_strong"),
-        F.slice(F.array_sort(F.collect_list(weak)), 1, 4).alias("_weak"),
+        F.array_sort(F.collect_list(F.when(F.col("pct") <= 20, entry))).alias("_strong"),
+        F.array_sort(F.collect_list(F.when((F.col("pct") >= 85) & ~quiet, entry))).alias("_weak"),
+    )
+    none = F.array().cast("array<string>")
+
+    def messages(rule: str, label: str, rest: str) -> Column:
+        first = F.when(F.expr(rule), F.array(F.lit(label))).otherwise(none)
+        return F.slice(F.concat(first, F.coalesce(F.transform(rest, lambda x: x["category"]), none)), 1, limit)
+
+    tagged = wide.select(
+        "site_id", feature_tags().alias("features"), lifestyles().alias("lifestyles"), "transfer_count_1km", "nightlife_count_500m"
     )
-    tagged = wide.select("site_id", feature_tags().alias("features"), lifestyles().alias("lifestyles"))
-    label = lambda c: F.coalesce(F.transform(c, lambda x: x["category"]), F.array().cast("array<string>"))
     return tagged.join(notes, "site_id", "left").select(
         "site_id", "features", "lifestyles",
-        label("_strong").alias("strengths"), label("_weak").alias("cautions"),
+        messages("transfer_count_1km > 0", "transfer", "_strong").alias("strengths"),
+        messages("nightlife_count_500m >= 10", "nightlife_dense", "_weak").alias("cautions"),
     )
 
 

@@ -455,11 +455,17 @@ def feature_flags(spark, d):
         _BASE,
         "SELECT site_id, array_to_string(list_filter(["
         + ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{label}' END" for _, label, _, r in insights.FEATURES)
-        + "], lambda x: x IS NOT NULL)[1:6], '|') AS features, coalesce(nullif(array_to_string(list_filter(["
-        + ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{n}' END" for n, r in insights.LIFESTYLES)
-        + """], lambda x: x IS NOT NULL)[1:4], '|'), ''), '균형형') AS lifestyles, coalesce(s, '') AS strengths, coalesce(c, '') AS cautions
-        FROM wide LEFT JOIN (SELECT site_id, array_to_string(list(category ORDER BY pct, category) FILTER (pct <= 20)[1:4], '|') AS s,
-        array_to_string(list(category ORDER BY category) FILTER (pct >= 85)[1:4], '|') AS c FROM scored GROUP BY 1) USING (site_id)""",
+        + """], lambda x: x IS NOT NULL)[1:6], '|') AS features, coalesce(nullif(array_to_string(list_filter([
+        CASE WHEN bus_count >= 5 AND subway_distance <= 800 THEN '도보생활형' END, CASE WHEN emergency_distance <= 3000 THEN '의료안심형' END,
+        CASE WHEN cafe_count >= 5 THEN '생활편의형' END, CASE WHEN show_count > 0 THEN '문화생활형' END, CASE WHEN kids_count > 0 THEN '육아형' END,
+        CASE WHEN riverside_distance <= 1500 THEN '휴식형' END, CASE WHEN kids_count > 0 THEN NULL WHEN academy_count >= 50 THEN '육아형' END
+        ], lambda x: x IS NOT NULL)[1:4], '|'), ''), '균형형') AS lifestyles,
+        array_to_string(list_concat(CASE WHEN transfer_count_1km > 0 THEN ['transfer'] ELSE [] END, coalesce(s, []))[1:4], '|') AS strengths,
+        array_to_string(list_concat(CASE WHEN nightlife_count_500m >= 10 THEN ['nightlife_dense'] ELSE [] END, coalesce(c, []))[1:4], '|') AS cautions
+        FROM wide LEFT JOIN (SELECT site_id, list(category ORDER BY place, category) FILTER (pct <= 20) AS s,
+        list(category ORDER BY place, category) FILTER (pct >= 85) AS c FROM (SELECT *, CASE category """
+        + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(ranking.CATEGORY_ORDER))
+        + """ ELSE 999 END AS place FROM scored) GROUP BY 1) USING (site_id)""",
         {**SCORE_CTES, "wide": _WIDE_SQL},
     ),
 )
