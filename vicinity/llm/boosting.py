@@ -68,18 +68,19 @@ class Isotonic:
     """The non-decreasing step function nearest to the labels, by pooling neighbours that are out of order."""
 
     def fit(self, margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Isotonic:
-        order = np.argsort(margin, kind="stable")
+        at, of = np.unique(margin, return_inverse=True)  # equal margins have one value
         blocks: list[list[float]] = []
-        for m, t, w in zip(margin[order], y[order], weight[order]):
-            blocks.append([t * w, w, m])
-            while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
-                total, mass, _ = blocks.pop()
+        for m, t, w in zip(at, np.bincount(of, y * weight, len(at)), np.bincount(of, weight, len(at))):
+            blocks.append([t, w, m, m])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                total, mass, _, last = blocks.pop()
                 blocks[-1][0] += total
                 blocks[-1][1] += mass
-        self.at = np.array([b[2] for b in blocks])
-        self.value = np.array([b[0] / b[1] for b in blocks])
+                blocks[-1][3] = last
+        self.at = np.array([m for b in blocks for m in b[2:]])
+        self.value = np.repeat([b[0] / b[1] for b in blocks], 2)
         return self
 
     def __call__(self, margin: np.ndarray) -> np.ndarray:
-        """Linear between the blocks' first margins, so that scores stay comparable inside a block."""
+        """Constant inside a block; linear in the gap between its last and the next block's first margin."""
         return np.clip(np.interp(margin, self.at, self.value), 0.0, 1.0)
