@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from vicinity.llm import boosting, toxicity
+from vicinity.llm import boosting, exact, toxicity
 
 
 def test_isotonic_is_constant_inside_a_block():
@@ -30,3 +30,18 @@ def test_planted_clean_rows_survive_toxicity(spark, tmp_path):
     planted = spark.createDataFrame([(1000 + k, text(int(rng.integers(20, 200)))) for k in range(200)], "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs.unionByName(planted), str(tmp_path)).collect()}
     assert set(range(1000, 1200)) <= kept and not kept & set(range(0, 800, 4))
+
+
+def test_exact_keeps_every_text(spark):
+    rows = [
+        (None, "first without id"), (None, "second without id"), (None, "second  without id"), (5, "one text of five"), (5, "other text of five"),
+        (4, "shared"), (6, "shared"), (6, "own text of six"), (None, "shared"), (5, "one text of five"),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _sha string")
+    for n in (1, 4):
+        kept = exact.drop_copies(docs.repartition(n))
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"] or 0), " ".join(r["text"].split())) for r in kept.collect())
+        assert got == [
+            (0, "first without id"), (0, "second without id"), (4, "shared"), (5, "one text of five"), (5, "other text of five"), (6, "own text of six"),
+        ]

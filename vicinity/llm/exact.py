@@ -51,7 +51,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat id and text, one."""
-    stay = copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    rows = docs.join(stay, docs[id_col].eqNullSafe(stay["_keep"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, all columns; of rows that repeat id and text, one.
+
+    Rows without id, and rows that share an id, are told apart by their texts.
+    """
+    sha = "_sha"
+    while sha in map(str.lower, docs.columns):
+        sha += "_"
+    stay = copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_keep_sha")).distinct()
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col).cast("string")), 256))
+    rows = rows.join(stay, rows[id_col].eqNullSafe(stay["_keep"]) & (rows[sha] == stay["_keep_sha"]), "left_semi")
+    return rows.dropDuplicates([id_col, sha]).drop(sha)
