@@ -7,6 +7,8 @@ size, its first row, an equal name), so a crowded block never yields all its pai
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ NAME_CONFIRMED, NAME_CANDIDATE, CONTAINED = 0.94, 0.72, 0.78
 ALIAS_THRESHOLD = 0.92
 QUICK_REVIEW = (0.80, 0.92)
 NAME_RELATED = 0.72
+#: Similarities down to which the best name is looked for, one after the other; the last one is any shared letter.
+NAME_LEVELS = (0.9, 0.6, 1e-6)
 RISK_CEILING = 0.60
 APPROVE_REVIEW = 0.78
 LINEAGE_SIMILARITY = 0.86
@@ -378,29 +382,37 @@ def trusted() -> Column:
     return (F.col("manual_override") == "Y") | (F.col("verified") == "Y") | (F.col("match_confidence") >= 0.9)
 
 
-def best_names(sites: DataFrame, cands: DataFrame, threshold: float = NAME_RELATED) -> DataFrame:
+def best_names(sites: DataFrame, cands: DataFrame) -> DataFrame:
     """The most similar candidate name per site, among its lot if that has any, else its dong.
 
-    Only similarities from the threshold on are decided on, so only those are looked for.
+    Whatever its similarity; a name that shares no letter with any candidate has none. Distinct
+    names are looked for in levels: all pairs that reach a level are found, so a name with one is
+    settled, and only the others meet the pairs of the next level.
     """
     lots = lot_blocks(sites, cands).select("site_id", "lot_count")
-    keyed = sites.join(lots, "site_id", "left")
-    on_lot = keyed.where("lot_count IS NOT NULL")
-    by_lot = cands.withColumns({"bonbun": F.col("cand_bonbun"), "bubun": F.col("cand_bubun")})
-    out = None
-    for group, right, keys in (
-        (on_lot, by_lot, ("gu", "dong_norm", "bonbun", "bubun")),
-        (keyed.where("lot_count IS NULL"), cands, ("gu", "dong_norm")),
-    ):
-        pairs = similar_pairs(group, right, "name_norm", "cand_norm", keys, threshold)
-        named = pairs.join(right.select(*keys, *_CANDIDATE), [*keys, "cand_norm"])
-        best = named.groupBy(*keys, "name_norm").agg(
-            F.max_by(F.struct(*_CANDIDATE), F.struct("similarity", "trade_count", "cand_name")).alias("best"),
+    lot, keys = F.col("lot_count").isNotNull(), ["gu", "dong_norm", "bonbun", "bubun"]
+    # A dong is the block without lot number; of equal names in a block the one of most deals can be the best.
+    no_lot = {"bonbun": F.lit(""), "bubun": F.lit("")}
+    by_lot = cands.where("cand_bonbun <> ''").withColumns({"bonbun": F.col("cand_bonbun"), "bubun": F.col("cand_bubun")})
+    names = by_lot.unionByName(cands.withColumns(no_lot)).groupBy(*keys, "cand_norm").agg(
+        F.max_by(F.struct(*_CANDIDATE), F.struct("trade_count", "cand_name")).alias("best")
+    )
+    names = cut(names)
+    keyed = sites.join(lots, "site_id", "left").withColumns({c: F.when(lot, F.col(c)).otherwise(F.lit("")) for c in no_lot})
+    keyed = cut(keyed.select("site_id", *keys, "name_norm"))
+    wanted = keyed.where("name_norm <> ''").select(*keys, "name_norm").distinct().join(names, keys, "left_semi")
+    settled = []
+    for level in NAME_LEVELS:
+        pairs = similar_pairs(wanted, names, "name_norm", "cand_norm", keys, level)
+        best = pairs.join(names, [*keys, "cand_norm"]).groupBy(*keys, "name_norm").agg(
+            F.max_by("best", F.struct("similarity", "best.trade_count", "best.cand_name")).alias("best"),
             F.max("similarity").alias("best_similarity"),
         )
-        part = group.join(best, [*keys, "name_norm"]).select("site_id", "best", "best_similarity")
-        out = part if out is None else out.unionByName(part)
-    return out
+        settled.append(cut(best))
+        wanted = cut(wanted.join(settled[-1], [*keys, "name_norm"], "left_anti"))
+        if wanted.isEmpty():
+            break
+    return keyed.join(reduce(DataFrame.unionByName, settled), [*keys, "name_norm"]).select("site_id", "best", "best_similarity")
 
 
 def audit(mapping: DataFrame, cands: DataFrame) -> DataFrame:
