@@ -45,3 +45,15 @@ def test_exact_keeps_every_text(spark):
         assert got == [
             (0, "first without id"), (0, "second without id"), (4, "shared"), (5, "one text of five"), (5, "other text of five"), (6, "own text of six"),
         ]
+
+
+def test_near_duplicates_without_id(spark):
+    base = [" ".join(f"g{g}w{k}" for k in range(60)) for g in range(4)]
+    near = lambda g, k: f"{base[g]} end{k}"
+    rows = [
+        (None, near(0, 0)), (1, near(0, 1)), (2, near(0, 2)), (None, near(1, 0)), (3, near(1, 1)), (4, near(2, 0)), (5, near(2, 1)),
+        (5, "a text of its own that shares its id with another row"), (6, near(3, 0)), (7, near(3, 1)), (None, "alone without id"), (8, ""), (9, None),
+    ]
+    kept = corpus_pipeline.drop_near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    want = [r for r in rows if r not in [(1, near(0, 1)), (2, near(0, 2)), (3, near(1, 1)), (5, near(2, 1)), (7, near(3, 1))]]
+    assert kept.columns == ["doc_id", "text"] and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
