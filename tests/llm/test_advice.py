@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from vicinity.llm import boosting, exact, toxicity
+from vicinity.llm import boosting, exact, ngram_join, toxicity
 
 
 def test_isotonic_is_constant_inside_a_block():
@@ -57,3 +57,20 @@ def test_near_duplicates_without_id(spark):
     kept = corpus_pipeline.drop_near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     want = [r for r in rows if r not in [(1, near(0, 1)), (2, near(0, 2)), (3, near(1, 1)), (5, near(2, 1)), (7, near(3, 1))]]
     assert kept.columns == ["doc_id", "text"] and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
+def test_every_similar_pair_meets():
+    """Two sets alone, whose blocks are often empty, share as many leaves as each needs in one of its bands."""
+    rng = np.random.default_rng(2)
+    np.seterr(over="ignore")
+    for percent in (50, 60, 74, 75, 80, 90):
+        for _ in range(1500):
+            small = int(rng.integers(1, 30))
+            large = rng.integers(0, 1 << 63, small * 100 // percent, dtype=np.uint64)
+            own = [np.sort(large), np.sort(large[:small])]
+            found = [ngram_join._searched(x, percent, 1) for x in own]
+            met = [(len(np.intersect1d(x, y)), n, m) for x, n in found[0] for y, m in found[1]]
+            assert any(k >= max(1, n, m) for k, n, m in met), (percent, small)
+    bands = [ngram_join._band(n) for n in range(1, 5001)]
+    for percent in range(50, 101):
+        assert max(bands[n - 1] - bands[-(-n * percent // 100) - 1] for n in range(1, 5001)) < ngram_join._roles(percent)

@@ -78,7 +78,8 @@ def _band(n: int) -> int:
 def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> tuple[np.ndarray, int]:
     """Keys of a set's leaves in band ``k``, without those of empty blocks if at most ``spare`` are empty.
 
-    With the number of them that a similar set must share: ``spare + 1`` blocks agree, some of which may have gone.
+    With the number of them that a similar set must share: ``spare + 1`` blocks agree, some of which may have gone, here
+    or, where this set lists its empty blocks, up to ``spare`` at a partner that doesn't list them.
     """
     block = ((own >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     edge = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
@@ -88,14 +89,19 @@ def _leaves(own: np.ndarray, k: int, blocks: int, spare: int) -> tuple[np.ndarra
     number = np.arange(blocks, dtype=np.uint64)
     keys = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(np.uint64) * _ODD[0] + number * _ODD[1] + np.uint64(k) * _ODD[2])
     empty = int((n == 0).sum())
-    return (keys[n > 0], spare + 1 - empty) if empty <= spare else (keys, spare + 1)
+    return (keys[n > 0], spare + 1 - empty) if empty <= spare else (keys, 1)
+
+
+def _roles(percent: int) -> int:
+    """A set's own band, and those below it in which the smaller of two similar sets can be."""
+    return 2 if percent >= 75 else 2 + math.ceil(math.log(100 / percent, BAND))
 
 
 def _searched(own: np.ndarray, percent: int, finer: int) -> list[tuple[np.ndarray, int]]:
-    """Leaves where a set meets all that may be similar: in its band, and as the larger one in the band below."""
+    """Leaves where a set meets all that may be similar: in its band, and as the larger one in those below."""
     n, k = len(own), _band(len(own))
-    found = [(np.empty(0, np.int64), 1)] * 2
-    for which, band in enumerate((k, k - 1)):
+    found = [(np.empty(0, np.int64), 1)] * _roles(percent)
+    for which, band in enumerate(range(k, k - len(found), -1)):
         if which == 0 or band >= 0 and percent * n <= 100 * _band_top(band):
             differing = _band_top(band) * (100 - percent) // percent
             spare = 0 if finer > 1 else 1 + differing // 4
@@ -149,11 +155,13 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
     Other rows: each leaf of the batch once, with one of its sets.
     """
 
+    roles = _roles(percent)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in small(batches, "_text", 4 << 20):
-            found = [x for own in _sets(batch["_text"], size, fold) for x in (_searched(own, percent, 1) if len(own) else [(np.empty(0, np.int64), 1)] * 2)]
-            ids = np.repeat(batch["_id"].to_numpy(), 2)
+            found = [x for own in _sets(batch["_text"], size, fold) for x in (_searched(own, percent, 1) if len(own) else [(np.empty(0, np.int64), 1)] * roles)]
+            ids = np.repeat(batch["_id"].to_numpy(), roles)
             number = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
             leaf = np.concatenate([x for x, _ in found]).view(np.uint64)
             order = np.argsort(leaf, kind="stable")
@@ -161,7 +169,7 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
             new = np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)]
             alone = new & np.append(new[1:], True)[: len(leaf)]
             here = np.bincount(number[~alone], minlength=len(found))
-            counts = _counted(ids, np.arange(len(ids)) % 2, np.array([n for _, n in found]), here, buckets)
+            counts = _counted(ids, np.arange(len(ids)) % roles, np.array([n for _, n in found]), here, buckets)
             rows = [(-1 - k, payload) for k, payload in counts]
             leaf, number = leaf[new], number[new]
             bucket = ((leaf >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
@@ -171,7 +179,7 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
             for k in range(buckets):
                 own, of = leaf[edge[k] : edge[k + 1]], number[edge[k] : edge[k + 1]]
                 if len(own):
-                    parts = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), ids[of].astype("<i8"), (of & 1).astype(np.int8)
+                    parts = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), ids[of].astype("<i8"), (of % roles).astype(np.int8)
                     rows.append((k, b"".join(x.tobytes() for x in parts)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["bucket", "payload"])
 
@@ -212,10 +220,10 @@ def _whole(size: int, fold: bool, percent: int):
             for own in _sets(batch["_text"], size, fold):
                 point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
                 sign = int(own.sum(dtype=np.uint64).astype(np.int64))
-                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), *(x for x, _ in _searched(own, percent, finer))))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            names = ["id", "n", "s1", "point", "own", "leaves", "below"]
+                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), [x for x, _ in _searched(own, percent, finer)]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            names = ["id", "n", "s1", "point", "own", "leaves"]
             yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=names)
 
     return read
@@ -265,9 +273,9 @@ def jaccard_components(
     able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
-    kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<long>, below array<long>"
+    kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<array<long>>"
     sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
-    entries = sets.select("id", "n", "s1", F.explode(F.expr("concat(transform(leaves, (x, i) -> struct(0 AS role, i AS block, x AS leaf)), transform(below, (x, i) -> struct(1 AS role, i AS block, x AS leaf)))")).alias("e"))
+    entries = sets.select("id", "n", "s1", F.explode(F.expr("flatten(transform(leaves, (l, r) -> transform(l, (x, i) -> struct(r AS role, i AS block, x AS leaf))))")).alias("e"))
     entries = entries.select("id", "n", "s1", "e.role", "e.block", "e.leaf")
     often = entries.groupBy("leaf").agg(F.count("*").alias("members"))
     own = Window.partitionBy("id", "s1", "role")
