@@ -1,4 +1,4 @@
-"""Distance joins: radius, nearest and k-nearest.
+"""Distance joins: radius, nearest and k-nearest (by ``pyramid``).
 
 Both sides are bucketed into bands of latitude and, inside a band, into cells of longitude at
 least as wide as the radius. The replicated side is exploded to the few cells its circle can
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEG, haversine_m, haversine_sql, whole_metres
-from ..session import cut
+from .pyramid import nearest_places
 
 _WORST_LAT = 89.0
 
@@ -128,82 +128,15 @@ def nearest_within(
     return pairs.groupBy("site_id", *by).agg(best).select("site_id", *by, "_best.*")
 
 
-def _first_radius(sites: DataFrame, pois: DataFrame) -> tuple[float, float]:
-    """A radius expected to hold a few pois, and one that reaches all of them."""
-    box = pois.agg(
-        F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng"), F.count("lat")
-    ).unionByName(sites.agg(F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng"), F.count("lat")))
-    poi_box, site_box = box.collect()
-    if not poi_box[4] or not site_box[4]:
-        return 0.0, 0.0
-    low = [min(poi_box[k], site_box[k]) for k in (0, 2)]
-    high = [max(poi_box[k], site_box[k]) for k in (1, 3)]
-    tall = (high[0] - low[0]) * METRES_PER_DEG
-    wide = (high[1] - low[1]) * METRES_PER_DEG
-    first = 2 * math.sqrt(max(tall, 1.0) * max(wide, 1.0) / poi_box[4])
-    return max(first, 100.0), tall + wide + 2
-
-
 def nearest(sites: DataFrame, pois: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The nearest poi of every site, however far (ties: smallest ``poi_id``).
-
-    Works outward: a radius holding a few pois on average settles most sites; those with none
-    go to the next, four times wider. Each round is written out, so the plan stays small.
-    Duplicate coordinates are merged first: copies of one place cost one row.
-    """
-    sites = sites.select("site_id", "lat", "lng").where("lat is not null and lng is not null")
-    pois = (
-        pois.where("lat is not null and lng is not null")
-        .groupBy("lat", "lng")
-        .agg(F.min(F.struct("poi_id", *keep)).alias("_poi"))
-        .select("lat", "lng", "_poi.*")
-    )
-    radius, reach = _first_radius(sites, pois)
-    if not radius:
-        empty = radius_join(sites, pois, 1.0)
-        return empty.select("site_id", "distance_m", "poi_id", *keep).limit(0)
-    found, left = None, sites
-    while True:
-        hit = nearest_within(left, pois, radius, keep=keep)
-        if radius >= reach:
-            return hit if found is None else found.unionByName(hit)
-        hit = cut(hit)
-        found = hit if found is None else found.unionByName(hit)
-        left = cut(left.join(hit, "site_id", "left_anti"))
-        if left.isEmpty():
-            return found
-        radius *= 4
+    """The nearest poi of every site, however far (ties: smallest ``poi_id``)."""
+    return nearest_places(sites, pois, 1, keep=keep).select("site_id", "distance_m", "poi_id", *keep)
 
 
 def knn(sites: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest other sites of each site (ties: smallest neighbour id).
-
-    A site is settled once its circle holds ``k`` others; the rest widen, as in ``nearest``.
-    """
-    sites = sites.select("site_id", "lat", "lng").where("lat is not null and lng is not null")
-    others = sites.withColumnRenamed("site_id", "neighbour_id")
-    radius, reach = _first_radius(sites, others)
-    radius = radius * math.sqrt(k)
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("distance_m", "neighbour_id"))
-    found, left = None, sites
-    while True:
-        near = (
-            radius_join(left, others, max(radius, 100.0))
-            .where(F.col("site_id") != F.col("neighbour_id"))
-            .select("site_id", "neighbour_id", "distance_m")
-            .withColumn("rank", rank)
-            .where(F.col("rank") <= k)
-        )
-        if radius >= reach:
-            return near if found is None else found.unionByName(near)
-        near = cut(near)
-        full = near.where(F.col("rank") == k).select("site_id")
-        settled = near.join(full, "site_id", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        left = cut(left.join(full, "site_id", "left_anti"))
-        if left.isEmpty():
-            return found
-        radius *= 4
+    """The ``k`` nearest other sites of each site (ties: smallest neighbour id)."""
+    others = sites.select(F.col("site_id").alias("neighbour_id"), "lat", "lng")
+    return nearest_places(sites, others, k, id_col="neighbour_id", others=True).select("site_id", "neighbour_id", "distance_m", "rank")
 
 
 def within_named(sites: DataFrame, named: DataFrame, name: str, radius_m: float = 1500) -> DataFrame:
