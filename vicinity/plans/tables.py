@@ -168,7 +168,7 @@ def _ring_rows(rings) -> list[tuple]:
     rows = []
     for k, (shared, name, ring) in enumerate(rings):
         closed = [*ring, ring[0]]
-        rows += [(name, k, shared, *a, *b) for a, b in zip(closed, closed[1:]) if a[0] != b[0]]
+        rows += [(name, k, shared, *a, *b) for a, b in zip(closed, closed[1:]) if a != b]
     return rows
 
 
