@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text as tx
-from ..functions.geo import CITY_BOUNDS, EARTH_RADIUS_M, half_even, in_bounds
+from ..functions.geo import CITY_BOUNDS, EARTH_RADIUS_M, METRES_PER_DEG, half_even, in_bounds
+from ..session import cut
+from .graph import merge_labels
 
 # Charger tokens and codes.
 DELETED_WORDS, CLOSED_WORDS = ["삭제", "폐쇄", "사용불가"], ["폐쇄", "운영중지", "사용불가", "삭제"]
@@ -112,62 +115,120 @@ def inside_complex(site_name, station_name, address) -> Column:
     return (F.length(name) >= 3) & F.contains(station, name)
 
 
+def station_pieces(rows: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
+    """``rows`` with ``piece``: parts of a name that no station can span.
+
+    A running mean of ``n`` rows lies within ``radius_m`` of the row that joined last (it moved towards it by an ``n``-th
+    of at most that). So the next row to join is within twice the radius of an earlier one, and a station never leaves
+    the rows that chain together over such steps. Cells as wide as a step hold a row and all its links in themselves
+    and their eight neighbours: a piece is a connected group of cells of one name, found without any pair of rows.
+    """
+    step = (2 * radius_m + 5) * 1.001 / METRES_PER_DEG
+    farthest = rows.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    columns = max(1, math.floor(360 * math.cos(math.radians(min(farthest + step, 89.9))) / step))
+    row, column = F.floor(F.col("lat") / step), F.pmod(F.floor(F.col("lng") * (columns / 360)), F.lit(columns))
+    placed = rows.withColumns({"_row": F.coalesce(row, F.lit(0)), "_column": F.coalesce(column, F.lit(0))})
+    keys = ["name", "_row", "_column"]
+    cells = cut(placed.select(*keys).distinct().withColumn("cell", F.monotonically_increasing_id()))
+    beside = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    near = cells.select("name", F.col("cell").alias("u"), "_row", "_column", F.explode(beside).alias("d")).select(
+        "name", "u", (F.col("_row") + F.col("d.i")).alias("_row"), F.pmod(F.col("_column") + F.col("d.j"), F.lit(columns)).alias("_column")
+    )
+    same = [near[c].eqNullSafe(cells[c]) for c in keys]
+    links = near.join(cells, same[0] & same[1] & same[2]).select("u", F.col("cell").alias("v"))
+    roots = merge_labels(links)
+    named = cells.join(roots, F.col("cell") == F.col("node"), "left").select(
+        *(F.col(c).alias(f"{c}_") for c in keys), F.coalesce("root", "cell").alias("piece")
+    )
+    same = [placed[c].eqNullSafe(named[f"{c}_"]) for c in keys]
+    return placed.join(named, same[0] & same[1] & same[2]).select(*rows.columns, "piece")
+
+
 def cluster_stations(rows: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
     """Platforms of one name within the radius of a running centre become one station.
 
-    The result depends on the order of rows (``ord``), so a name must be walked in order. Rows
-    are shuffled by name, sorted inside the partition by Spark, and streamed in Arrow batches:
-    a task holds only the stations of the name it is at, never the rows.
-    ``rows``: ``ord, station_id, name, line, lat, lng``.
+    A row joins the station of its name that was begun first among those whose centre is within the radius, else it
+    begins one; so the result depends on the order of rows (``ord``). Names are taken apart into pieces that don't
+    touch each other (``station_pieces``), and a piece is walked in order: rows are shuffled by piece, sorted by Spark,
+    and streamed in Arrow batches. A task holds the stations of one piece, filed by cells, so a row looks at those
+    nearby. ``seq`` numbers the stations of a name in the order of their first rows.
+    ``rows``: ``ord, station_id, name, line, lat, lng``; rows without coordinates belong to no station, and
+    places on both sides of the date line don't meet.
     """
-    schema = "name string, seq int, lat double, lng double, n long, lines array<string>, ids array<string>"
-    ordered = rows.select("name", "ord", "station_id", "line", "lat", "lng").repartition("name")
-    ordered = ordered.sortWithinPartitions("name", "ord")
+    schema = "name string, first long, lat double, lng double, n long, lines array<string>, ids array<string>"
+    usable = rows.select("name", F.col("ord").cast("long").alias("ord"), "station_id", "line", "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL")
+    ordered = station_pieces(cut(usable), radius_m).repartition("piece").sortWithinPartitions("piece", "ord", "station_id", "line", "lat", "lng")
     made = ordered.mapInPandas(_cluster_batches(radius_m), schema)
+    number = F.row_number().over(Window.partitionBy("name").orderBy("first")) - 1
     return made.select(
-        "name", "seq", "lat", "lng", "n", F.array_sort("lines").alias("lines"), F.array_sort("ids").alias("ids"),
+        "name", number.cast("int").alias("seq"), "lat", "lng", "n", F.array_sort("lines").alias("lines"), F.array_sort("ids").alias("ids"),
         (F.size("lines") >= 2).alias("is_transfer"),
     )
 
 
 def _cluster_batches(radius_m: float):
-    def metres(lat1, lng1, lat2, lng2):
-        from math import atan2, cos, radians, sin, sqrt
+    tall = (radius_m + 1) / METRES_PER_DEG
 
-        a = sin(radians(lat2 - lat1) / 2) ** 2
-        a += cos(radians(lat1)) * cos(radians(lat2)) * sin(radians(lng2 - lng1) / 2) ** 2
-        return round(2 * EARTH_RADIUS_M * atan2(sqrt(a), sqrt(1 - a)))
-
-    def finished(name, open_clusters):
-        return [
-            {"name": name, "seq": k, "lat": c["lat"], "lng": c["lng"], "n": c["n"],
-             "lines": sorted(c["lines"]), "ids": sorted(c["ids"])}
-            for k, c in enumerate(open_clusters)
-        ]
+    def metres(lat1, lng1, lat2, lng2):
+        a = math.sin(math.radians(lat2 - lat1) / 2) ** 2
+        a += math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+        return round(2 * EARTH_RADIUS_M * math.atan2(math.sqrt(a), math.sqrt(1 - a)))
+
+    class Piece:
+        """Stations of one piece, filed by cells at least as wide as the radius."""
+
+        def __init__(self, lat):
+            self.wide = tall / math.cos(math.radians(min(abs(lat) + 1, 89.9)))
+            self.stations, self.filed, self.reach = [], {}, abs(lat) + 1
+
+        def cell(self, lat, lng):
+            return math.floor(lat / tall), math.floor(lng / self.wide)
+
+        def home(self, lat, lng):
+            if abs(lat) > self.reach:  # the piece goes on towards a pole: wider cells
+                self.reach, self.wide = abs(lat) + 1, tall / math.cos(math.radians(min(abs(lat) + 1, 89.9)))
+                self.filed = {}
+                for k, c in enumerate(self.stations):
+                    self.filed.setdefault(self.cell(c["lat"], c["lng"]), set()).add(k)
+            i, j = self.cell(lat, lng)
+            near = (k for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for k in self.filed.get((a, b), ()))
+            return min((k for k in near if metres(self.stations[k]["lat"], self.stations[k]["lng"], lat, lng) <= radius_m), default=None)
+
+        def add(self, row):
+            k = self.home(row.lat, row.lng)
+            if k is None:
+                k = len(self.stations)
+                self.stations.append({"name": row.name, "first": row.ord, "lat": row.lat, "lng": row.lng, "n": 0, "lines": set(), "ids": set()})
+                self.filed.setdefault(self.cell(row.lat, row.lng), set()).add(k)
+            c = self.stations[k]
+            c["n"] += 1
+            if c["n"] > 1:
+                old = self.cell(c["lat"], c["lng"])
+                c["lat"] += (row.lat - c["lat"]) / c["n"]
+                c["lng"] += (row.lng - c["lng"]) / c["n"]
+                if (new := self.cell(c["lat"], c["lng"])) != old:
+                    self.filed[old].discard(k)
+                    self.filed.setdefault(new, set()).add(k)
+            c["lines"].add(row.line)
+            if row.station_id:
+                c["ids"].add(row.station_id)
+
+        def done(self):
+            return [{**c, "lines": sorted(x for x in c["lines"] if x is not None), "ids": sorted(c["ids"])} for c in self.stations]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, clusters = None, []
+        number, piece = None, None
         for batch in batches:
             done = []
             for row in batch.itertuples(index=False):
-                if row.name != name:
-                    done += finished(name, clusters)
-                    name, clusters = row.name, []
-                home = next((c for c in clusters if metres(c["lat"], c["lng"], row.lat, row.lng) <= radius_m), None)
-                if home is None:
-                    home = {"lat": row.lat, "lng": row.lng, "n": 0, "lines": set(), "ids": set()}
-                    clusters.append(home)
-                home["n"] += 1
-                if home["n"] > 1:
-                    home["lat"] += (row.lat - home["lat"]) / home["n"]
-                    home["lng"] += (row.lng - home["lng"]) / home["n"]
-                home["lines"].add(row.line)
-                if row.station_id:
-                    home["ids"].add(row.station_id)
+                if row.piece != number:
+                    done += piece.done() if piece else []
+                    number, piece = row.piece, Piece(row.lat)
+                piece.add(row)
             if done:
                 yield pd.DataFrame(done)
-        if clusters:
-            yield pd.DataFrame(finished(name, clusters))
+        if piece:
+            yield pd.DataFrame(piece.done())
 
     return run
 

@@ -685,7 +685,26 @@ def park_facilities(spark, d):
     return found.select("park", "total", "primary_group", F.array_join("tags", "|").alias("tags"))
 
 
-@query("station_clusters")
+def _metres_sql(a: str, b: str) -> str:
+    h = f"pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)"
+    return f"round_even(2 * 6371000e0 * atan2(sqrt({h}), sqrt(1 - ({h}))), 0)"
+
+
+_STATION_NEAR = f"coalesce(list_position(list_transform(st, lambda c: {_metres_sql('c', 'r')} <= 350), true), 0)"
+_STATION_WALK = f"""WITH named AS (
+  SELECT CAST(p_partkey // 4 AS VARCHAR) AS name, list({{'lat': 37.5e0 + (p_partkey // 4) / 10000e0 + p_partkey % 4 * 0.0012e0, 'lng': 127e0, 'line': p_brand}} ORDER BY p_partkey) AS rows
+  FROM part GROUP BY 1
+), walked AS (
+  SELECT name, list_reduce(rows, lambda st, r: CASE WHEN {_STATION_NEAR} = 0 THEN list_append(st, {{'lat': r.lat, 'lng': r.lng, 'n': 1::BIGINT, 'lines': [r.line]}})
+    ELSE list_transform(st, lambda c, i: CASE WHEN i = {_STATION_NEAR} THEN {{'lat': c.lat + (r.lat - c.lat) / (c.n + 1), 'lng': c.lng + (r.lng - c.lng) / (c.n + 1),
+      'n': c.n + 1, 'lines': list_append(c.lines, r.line)}} ELSE c END) END,
+    CAST([] AS STRUCT(lat DOUBLE, lng DOUBLE, n BIGINT, lines VARCHAR[])[])) AS st FROM named
+)
+SELECT name, CAST(seq - 1 AS INTEGER) AS seq, c.n AS n, round_even(c.lat * 1e7, 0) / 1e7 AS lat, array_to_string(list_sort(list_distinct(c.lines)), '/') AS lines, len(list_distinct(c.lines)) >= 2 AS is_transfer
+FROM (SELECT name, unnest(st) AS c, unnest(range(1, len(st) + 1)) AS seq FROM walked)"""
+
+
+@query("station_clusters", _STATION_WALK)
 def station_clusters(spark, d):
     """Platforms of one name near each other become one station; four rows share a name."""
     key = F.col("p_partkey")
