@@ -7,6 +7,7 @@ size, its first row, an equal name), so a crowded block never yields all its pai
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.geo import half_even
-from ..functions.similarity import similar_pairs, similarity
+from ..functions.similarity import letter_bound, pairs_by_bound, similarity, with_letters
 from ..session import cut
 from .search import containment_join
 
@@ -28,8 +29,8 @@ NAME_CONFIRMED, NAME_CANDIDATE, CONTAINED = 0.94, 0.72, 0.78
 ALIAS_THRESHOLD = 0.92
 QUICK_REVIEW = (0.80, 0.92)
 NAME_RELATED = 0.72
-#: Similarities down to which the best name is looked for, one after the other; the last one is any shared letter.
-NAME_LEVELS = (0.9, 0.6, 1e-6)
+#: Lower ends of the rounds in which the best name is looked for, by the bound of a pair; the last is any shared letter.
+NAME_BOUNDS = (0.85, 0.6, 0.35, 1e-6)
 RISK_CEILING = 0.60
 APPROVE_REVIEW = 0.78
 LINEAGE_SIMILARITY = 0.86
@@ -103,8 +104,8 @@ def _rows(df: DataFrame, match_type, confidence, verified: str, priority: int) -
 def road_branch(sites: DataFrame, cands: DataFrame, priority: int = 0) -> DataFrame:
     """Equal road address: the best by similarity, then deals, then name.
 
-    An equal name has similarity 1 and wins outright; only the other sites of a shared address
-    are measured, pair by pair as the join streams them, and folded by partial maximum.
+    An equal name has similarity 1 and wins outright; of the other sites of a shared address only
+    pairs that can be the best are measured, and folded by partial maximum.
     """
     high, low = BRANCHES["road_address_exact"]
     named = sites.where("road_norm <> ''").select("site_id", "gu", "road_norm", "name_norm")
@@ -122,10 +123,17 @@ def road_branch(sites: DataFrame, cands: DataFrame, priority: int = 0) -> DataFr
         .agg(F.max(rank(F.lit(1.0))).alias("_b"))
     )
     rest = shared.join(equal.select("site_id"), "site_id", "left_anti")
-    pairs = rest.select("gu", "road_norm", "name_norm").distinct().join(found, ["gu", "road_norm"])
+    # The pair with the most letters in common is measured first; only pairs that can reach it are measured then.
+    at = ["gu", "road_norm", "name_norm"]
+    named = cut(with_letters(rest.select(*at).distinct(), "name_norm"))
+    met = named.join(with_letters(found, "cand_norm"), at[:2]).withColumn("_bound", letter_bound("name_norm", "cand_norm"))
+    met = cut(met.drop("name_norm_letters", "cand_norm_letters"))
+    likely = met.groupBy(*at).agg(F.max_by("cand_norm", "_bound").alias("_likely"))
+    reached = cut(likely.select(*at, similarity("name_norm", "_likely").alias("_reached")))
+    able = met.join(reached, at).where(F.col("_bound") >= F.col("_reached"))
     measured = (
-        pairs.withColumn("_sim", similarity("name_norm", "cand_norm"))
-        .groupBy("gu", "road_norm", "name_norm")
+        able.withColumn("_sim", similarity("name_norm", "cand_norm"))
+        .groupBy(*at)
         .agg(F.max(rank(F.col("_sim"))).alias("_b"))
     )
     best = rest.join(measured, ["gu", "road_norm", "name_norm"]).select("site_id", "_b")
@@ -153,10 +161,11 @@ def block_branch(
         .groupBy("site_id")
         .agg(F.min(_first()).alias("_c"))
     )
-    rest = crowded.join(equal.select("site_id"), "site_id", "left_anti")
+    rest = cut(crowded.join(equal.select("site_id"), "site_id", "left_anti"))
+    beside = cands.join(rest.select(*keys).distinct(), list(keys), "left_semi")
     held = (
         containment_join(
-            rest.select("site_id", "name_norm", *keys), cands, "name_norm", "cand_norm", keys, shortest=4
+            rest.select("site_id", "name_norm", *keys), beside, "name_norm", "cand_norm", keys, shortest=4
         )
         .groupBy("site_id")
         .agg(F.min(_first()).alias("_c"))
@@ -210,6 +219,8 @@ def address_validated(cand_road, cand_bonbun, cand_bubun) -> Column:
 def cascade(sites: DataFrame, cands: DataFrame) -> DataFrame:
     """The first branch that finds anything decides; sites without one are ``unmatched``.
 
+    A branch looks only at the sites that those before it left.
+
     ``sites`` from ``prepare_sites``, ``cands`` from ``candidates``.
     """
     by_lot = cands.where("cand_bonbun <> ''").withColumns(
@@ -222,24 +233,23 @@ def cascade(sites: DataFrame, cands: DataFrame) -> DataFrame:
         }
     )
     branches = [
-        road_branch(sites, cands, 0),
-        block_branch(
-            sites.where("road_name_norm <> '' AND detail_norm <> ''"), by_number,
+        lambda left: road_branch(left, cands, 0),
+        lambda left: block_branch(
+            left.where("road_name_norm <> '' AND detail_norm <> ''"), by_number,
             ("gu", "dong_norm", "road_name_norm", "detail_norm"), "gu_dong_road_number_exact", 1,
         ),
-        block_branch(
-            sites.where("bonbun IS NOT NULL"), by_lot,
-            ("gu", "dong_norm", "bonbun", "bubun"), "gu_dong_jibun_exact", 2,
+        lambda left: block_branch(
+            left.where("bonbun IS NOT NULL"), by_lot, ("gu", "dong_norm", "bonbun", "bubun"), "gu_dong_jibun_exact", 2
         ),
-        name_branch(sites, cands, 3),
-        contains_branch(sites, cands, 4),
+        lambda left: name_branch(left, cands, 3),
+        lambda left: contains_branch(left, cands, 4),
     ]
-    merged = branches[0]
-    for branch in branches[1:]:
-        merged = merged.unionByName(branch)
-    best = merged.groupBy("site_id").agg(
-        F.min(F.struct("priority", "_c", "match_type", "match_confidence", "verified")).alias("_m")
-    )
+    left, settled = sites, []
+    for branch in branches:
+        settled.append(cut(branch(left)))
+        left = left.join(settled[-1].select("site_id"), "site_id", "left_anti")
+    merged = reduce(DataFrame.unionByName, settled)
+    best = merged.select("site_id", F.struct("_c", "match_type", "match_confidence", "verified").alias("_m"))
     chosen = sites.join(best, "site_id", "left")
     return chosen.select(
         *[c for c in sites.columns],
@@ -385,9 +395,10 @@ def trusted() -> Column:
 def best_names(sites: DataFrame, cands: DataFrame) -> DataFrame:
     """The most similar candidate name per site, among its lot if that has any, else its dong.
 
-    Whatever its similarity; a name that shares no letter with any candidate has none. Distinct
-    names are looked for in levels: all pairs that reach a level are found, so a name with one is
-    settled, and only the others meet the pairs of the next level.
+    Whatever its similarity; a name that shares no letter with any candidate has none. Pairs of
+    distinct names are measured from the greatest upper bound down, each once. The best of every
+    name so far is kept in a written table: pairs that can't reach it are left out, and a name
+    ends as soon as no pair of a later round can.
     """
     lots = lot_blocks(sites, cands).select("site_id", "lot_count")
     lot, keys = F.col("lot_count").isNotNull(), ["gu", "dong_norm", "bonbun", "bubun"]
@@ -395,24 +406,36 @@ def best_names(sites: DataFrame, cands: DataFrame) -> DataFrame:
     no_lot = {"bonbun": F.lit(""), "bubun": F.lit("")}
     by_lot = cands.where("cand_bonbun <> ''").withColumns({"bonbun": F.col("cand_bonbun"), "bubun": F.col("cand_bubun")})
     names = by_lot.unionByName(cands.withColumns(no_lot)).groupBy(*keys, "cand_norm").agg(
-        F.max_by(F.struct(*_CANDIDATE), F.struct("trade_count", "cand_name")).alias("best")
+        F.max_by(F.struct(*_CANDIDATE), F.struct("trade_count", "cand_name")).alias("_cand")
     )
-    names = cut(names)
+    names = cut(with_letters(names.where("cand_norm <> ''"), "cand_norm"))
     keyed = sites.join(lots, "site_id", "left").withColumns({c: F.when(lot, F.col(c)).otherwise(F.lit("")) for c in no_lot})
     keyed = cut(keyed.select("site_id", *keys, "name_norm"))
-    wanted = keyed.where("name_norm <> ''").select(*keys, "name_norm").distinct().join(names, keys, "left_semi")
-    settled = []
-    for level in NAME_LEVELS:
-        pairs = similar_pairs(wanted, names, "name_norm", "cand_norm", keys, level)
-        best = pairs.join(names, [*keys, "cand_norm"]).groupBy(*keys, "name_norm").agg(
-            F.max_by("best", F.struct("similarity", "best.trade_count", "best.cand_name")).alias("best"),
-            F.max("similarity").alias("best_similarity"),
-        )
-        settled.append(cut(best))
-        wanted = cut(wanted.join(settled[-1], [*keys, "name_norm"], "left_anti"))
-        if wanted.isEmpty():
+    wanted = keyed.where("name_norm <> ''").select(*keys, "name_norm").distinct()
+    # An equal name is the best at once, without measuring.
+    equal = names.drop("cand_norm_letters").withColumnRenamed("cand_norm", "name_norm").withColumn("best_similarity", F.lit(1.0))
+    state = with_letters(wanted, "name_norm").join(equal, [*keys, "name_norm"], "left").withColumnRenamed("_cand", "best")
+    state = cut(state.withColumn("best_similarity", F.coalesce("best_similarity", F.lit(0.0))))
+    high = math.inf
+    for low in NAME_BOUNDS:
+        still = state.where(F.col("best_similarity") < min(high, 1.0))
+        if still.isEmpty():
             break
-    return keyed.join(reduce(DataFrame.unionByName, settled), [*keys, "name_norm"]).select("site_id", "best", "best_similarity")
+        pairs = pairs_by_bound(still.drop("best"), names, "name_norm", "cand_norm", keys, low, high)
+        measured = pairs.where("bound >= best_similarity").withColumn("_sim", similarity("name_norm", "cand_norm"))
+        order = F.struct("_sim", "_cand.trade_count", "_cand.cand_name")
+        found = measured.groupBy(*keys, "name_norm").agg(F.max_by("_cand", order).alias("_found"), F.max("_sim").alias("_sim"))
+        ranked = lambda sim, c: F.struct(sim.alias("s"), F.coalesce(f"{c}.trade_count", F.lit(-1)).alias("n"), F.coalesce(f"{c}.cand_name", F.lit("")).alias("c"))
+        better = F.col("_sim").isNotNull() & (ranked(F.col("_sim"), "_found") > ranked(F.col("best_similarity"), "best"))
+        state = cut(
+            state.join(found, [*keys, "name_norm"], "left").select(
+                *keys, "name_norm", "name_norm_letters", F.when(better, F.col("_found")).otherwise(F.col("best")).alias("best"),
+                F.when(better, F.col("_sim")).otherwise(F.col("best_similarity")).alias("best_similarity"),
+            )
+        )
+        high = low
+    known = state.where("best_similarity > 0")
+    return keyed.join(known, [*keys, "name_norm"]).select("site_id", "best", "best_similarity")
 
 
 def audit(mapping: DataFrame, cands: DataFrame) -> DataFrame:
@@ -585,7 +608,7 @@ def reverse_audit(audited: DataFrame, sites: DataFrame, cands: DataFrame) -> Dat
         .withColumn("cand_norm", best)
         .join(masters, "cand_norm", "left")
         .join(raw_names, ["gu", "dong_norm", "cand_norm"], "left")
-        .withColumn("_sim", similarity(F.coalesce("name_norm", F.lit("")), F.coalesce("cand_norm", F.lit(""))))
+        .withColumn("_sim", similarity("name_norm", "cand_norm"))
     )
     same_name = F.col("name_norm") == F.col("cand_norm")
     others = F.when(same_name, F.lit(0)).otherwise(F.coalesce("masters", F.lit(0)))
