@@ -7,9 +7,10 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.text import GENERIC_NAMES
 from ..operators import deals, matching, search
 from ..session import once
-from . import tables as t
+from . import sql_matching, tables as t
 from .registry import query
 from .tables import with_ctes
 
@@ -463,12 +464,17 @@ def build_mapping(spark, d):
     return matching.match_sites(sites, cands, overrides, rejects)
 
 
-@query("match_mapping")
+_AUDIT_CTES = _MATCH_CTES | sql_matching.ctes(GENERIC_NAMES)
+#: The WITH of the reverse audit goes on where that of the audit ends.
+_REVERSE = f"SELECT * FROM ({sql_matching.reverse(GENERIC_NAMES)})"
+
+
+@query("match_mapping", with_ctes("", sql_matching.MAPPING, _AUDIT_CTES))
 def match_mapping(spark, d):
     return build_mapping(spark, d).select("site_id", "cand_name", "match_type", "match_confidence", "verified", "manual_override")
 
 
-@query("match_aliases")
+@query("match_aliases", with_ctes("", sql_matching.ALIASES, _AUDIT_CTES))
 def match_aliases(spark, d):
     found = matching.alias_approvals(*prepared(spark, d))
     return found.select("site_id", "name_norm", "cand_norm", "similarity")
@@ -483,19 +489,19 @@ def build_audit(spark, d):
     return matching.audit(mapping(spark, d), prepared(spark, d)[1])
 
 
-@query("match_audit")
+@query("match_audit", with_ctes("", sql_matching.AUDIT, _AUDIT_CTES))
 def match_audit(spark, d):
     return build_audit(spark, d).select(
         "site_id", "status", "reason", "evidence", "recommended_action", "lot_count", "dong_count", "best_similarity"
     )
 
 
-@query("match_reasons")
+@query("match_reasons", with_ctes("", sql_matching.REASONS, _AUDIT_CTES))
 def match_reasons(spark, d):
     return matching.reason_summary(audited(spark, d))
 
 
-@query("match_alias_report")
+@query("match_alias_report", with_ctes("", sql_matching.alias_report(GENERIC_NAMES), _AUDIT_CTES))
 def match_alias_report(spark, d):
     rows = audited(spark, d)
     alias = matching.alias_report(rows).select("site_id", "candidate", "score", "recommended_action")
@@ -503,22 +509,22 @@ def match_alias_report(spark, d):
     return alias.withColumn("report", F.lit("alias")).unionByName(quick.withColumn("report", F.lit("quick")))
 
 
-@query("match_same_lot")
+@query("match_same_lot", with_ctes("", sql_matching.SAME_LOT, _AUDIT_CTES))
 def match_same_lot(spark, d):
     return matching.same_lot_review(audited(spark, d), prepared(spark, d)[1])
 
 
-@query("match_missing_lot")
+@query("match_missing_lot", with_ctes("", sql_matching.MISSING_LOT, _AUDIT_CTES))
 def match_missing_lot(spark, d):
     return matching.missing_lot_report(audited(spark, d), match_sites_table(spark, d))
 
 
-@query("match_risks")
+@query("match_risks", with_ctes("", sql_matching.RISKS, _AUDIT_CTES))
 def match_risks(spark, d):
     return matching.risk_summary(matching.verified_audit(mapping(spark, d)))
 
 
-@query("match_reverse_audit")
+@query("match_reverse_audit", with_ctes("", _REVERSE, _AUDIT_CTES))
 def match_reverse_audit(spark, d):
     sites, cands = prepared(spark, d)
     reverse = matching.reverse_audit(audited(spark, d), sites, cands)
