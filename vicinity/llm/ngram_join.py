@@ -15,18 +15,19 @@ where enough others must agree.
 blocks must be shared. These leaves travel as packed arrays, one entry for each leaf of a batch. Only those sets get a finer tree of up to four times as many blocks, of which a set needs its D + 1 rarest: two sets that agree in all but D of their blocks share
 one of these. So sets at the rim of a large group of copies, which have many blocks of their own, don't meet it.
 
-*Pairs.* A leaf is not expanded into all its pairs. Its most connected member is compared with the others first;
-linked members are then one component, and only pairs across components of a leaf are still open. After a few such
-rounds, or at once when they are few, all open pairs are looked at, so no link between components is lost. A pair is
-taken in the rarest leaf that it shares, unless too many rarer blocks differ already; it must pass the bound of summed
-minima over ``POINT`` coordinates, then the exact sets are compared.
+*Pairs.* A leaf is not expanded into its pairs. Its most connected member is compared with the others first. After
+every round all links so far are merged into components, and a leaf whose members left are of one component is done. In
+the next rounds a few members of each leaf, drawn by a hash, eight times as many each time, are compared with those of
+other components, and leave the leaf: all their pairs in it are settled then. So every pair of a leaf is compared or
+already connected in the end, and the members of a group of copies are compared with a few of it, not with each other.
+A pair must not differ in too many rarer blocks and must pass the bound of summed minima over ``POINT`` coordinates,
+then the exact sets are compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -244,9 +245,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(least.format("size(array_intersect(oa, ob))")).select("a", "b").distinct())
 
 
+def _ranked_members(sets: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, leaf, members, degree, e0 .. e3)``: the leaves in which a set is searched, and which rarer blocks differ.
+
+    At the rarest leaf that two sets share, all rarer blocks of both differ; too many of them rule the pair out there.
+    """
+    entries = sets.select("id", "n", "s1", F.explode(F.expr("flatten(transform(leaves, (l, r) -> transform(l, (x, i) -> struct(r AS role, i AS block, x AS leaf))))")).alias("e"))
+    entries = entries.select("id", "n", "s1", "e.role", "e.block", "e.leaf")
+    often = entries.groupBy("leaf").agg(F.count("*").alias("members"))
+    own = Window.partitionBy("id", "s1", "role")
+    order = own.orderBy("members", "leaf")
+    bit = "CASE WHEN pmod(block, 256) DIV 64 = {0} THEN shiftleft(1L, block % 64) ELSE 0L END"
+    earlier = [F.coalesce(F.bit_or(F.expr(bit.format(k))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"e{k}") for k in range(4)]
+    ranked = entries.join(often, "leaf").select(
+        "id", "n", "leaf", "members", F.row_number().over(order).alias("place"), F.sum("members").over(own).alias("degree"), *earlier
+    )
+    return cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).drop("place"))
+
+
+#: Members of a leaf that are compared in a round, for each one of the round before.
+FANOUT = 8
+#: The round in which a member of a leaf is compared with the rest: a few of them in the first, then ever more.
+_ROUND = f"greatest(1, cast(ceil(log({FANOUT}, (pmod(xxhash64(id, 7), 1048576) + 1) / 1048576D * members)) AS int))"
+
+
+def _links(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Components ``(node, root)`` of the sets that link, or None if none do."""
+    differing = " + ".join(f"bit_count(e{k} | f{k})" for k in range(4))
+    possible = F.expr(f"{differing} <= (n + m) * {100 - percent} DIV {100 + percent} AND {100 + percent} * least(n, m) >= {percent} * (n + m)")
+    bits = [F.col(f"e{k}").alias(f"f{k}") for k in range(4)]
+    members, known, turn = ranked.withColumn("turn", F.expr(_ROUND)), None, 0
+    while True:
+        labelled = members.withColumn("comp", F.col("id")) if known is None else members.join(
+            known, members["id"] == known["node"], "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+        labelled = cut(labelled)
+        parts = labelled.groupBy("leaf", "comp").agg(F.max(F.struct("degree", "id", F.col("n").alias("m"), *bits)).alias("top"))
+        leaves = cut(parts.groupBy("leaf").agg(F.max("top").alias("top"), F.count("*").alias("comps")).where("comps > 1"))
+        if leaves.isEmpty():
+            return known
+        live = labelled.join(leaves.select("leaf"), "leaf", "left_semi")
+        if turn == 0:
+            tops = leaves.select("leaf", F.col("top.id").alias("other"), F.col("top.id").alias("other_comp"), *(f"top.{c}" for c in ("m", "f0", "f1", "f2", "f3")))
+        else:
+            tops = live.where(F.col("turn") == turn).select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("m"), *bits)
+        met = live.join(tops, (live["leaf"] == tops["leaf"]) & F.expr("comp <> other_comp") & possible)
+        pairs = cut(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        found = _linked(pairs, sets, percent)
+        if not found.isEmpty():
+            links = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if known is not None:
+                links = links.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            known = merge_labels(links)
+        members = live.drop("comp") if turn == 0 else live.where(F.col("turn") > turn).drop("comp")
+        release(ranked.sparkSession)
+        turn += 1
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, fold: bool = True,
-    rounds: int = 4,
 ) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)``: components of documents that link by the Jaccard of their shingles.
 
@@ -275,50 +331,7 @@ def jaccard_components(
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<array<long>>"
     sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
-    entries = sets.select("id", "n", "s1", F.explode(F.expr("flatten(transform(leaves, (l, r) -> transform(l, (x, i) -> struct(r AS role, i AS block, x AS leaf))))")).alias("e"))
-    entries = entries.select("id", "n", "s1", "e.role", "e.block", "e.leaf")
-    often = entries.groupBy("leaf").agg(F.count("*").alias("members"))
-    own = Window.partitionBy("id", "s1", "role")
-    order = own.orderBy("members", "leaf")
-    bit = "CASE WHEN pmod(block, 256) DIV 64 = {0} THEN shiftleft(1L, block % 64) ELSE 0L END"
-    earlier = [F.coalesce(F.bit_or(F.expr(bit.format(k))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"e{k}") for k in range(4)]
-    ranked = entries.join(often, "leaf").select(
-        "id", "n", "leaf", "members", F.row_number().over(order).alias("place"), F.sum("members").over(own).alias("degree"), *earlier
-    )
-    ranked = cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).drop("members", "place"))
-    release(spark)
-    # At the rarest leaf that two sets share, all rarer blocks of both differ; too many of them rule the pair out there.
-    differing = " + ".join(f"bit_count(e{k} | f{k})" for k in range(4))
-    possible = F.expr(f"{differing} <= (n + m) * {100 - percent} DIV {100 + percent} AND {100 + percent} * least(n, m) >= {percent} * (n + m)")
-    links, open_members, rank, label = [], ranked, F.col("degree"), F.col("id")
-    for turn in range(rounds + 1):
-        open_members = cut(open_members.withColumn("comp", label))
-        parts = open_members.groupBy("leaf", "comp").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "id", F.col("n").alias("m"), *(F.col(f"e{k}").alias(f"f{k}") for k in range(4)))).alias("top"))
-        leaves = parts.groupBy("leaf").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max("top").alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        leaves = cut(leaves.select("leaf", "rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("open"), F.col("top.id").alias("other"), *(f"top.{c}" for c in ("m", "f0", "f1", "f2", "f3"))))
-        n_open, n_members = leaves.agg(F.sum("open"), F.sum("rows")).first()
-        if not n_open:
-            break
-        last = turn == rounds or n_open <= 50 * n_members
-        live = open_members.join(leaves.select("leaf"), "leaf", "left_semi")
-        if last:
-            other = live.select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("m"), *(F.col(f"e{k}").alias(f"f{k}") for k in range(4)))
-            met = live.join(other, (live["leaf"] == other["leaf"]) & F.expr("comp < other_comp") & possible)
-        else:
-            met = live.join(leaves, (live["leaf"] == leaves["leaf"]) & F.expr("id <> other") & possible)
-        pairs = cut(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        links.append(_linked(pairs, sets, percent))
-        release(spark)
-        if last:
-            break
-        # Members of one label are linked through it; more than that isn't needed to leave their pairs out.
-        ends = [x.select(F.col(u).alias("id"), F.col(v).alias("to")) for x in links for u, v in (("a", "b"), ("b", "a"))]
-        near = reduce(DataFrame.unionByName, ends).groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("label"))
-        open_members = live.select(*ranked.columns).join(near, "id", "left")
-        label, rank = F.coalesce("label", "id"), F.xxhash64("id", F.lit(turn))
-    known = None
-    if links:
-        known = cut(merge_labels(reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    known = _links(_ranked_members(sets, percent), sets, percent)
     result = base.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     if known is not None:
         result = result.join(known, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("root", "rep"))
