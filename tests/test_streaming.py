@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from vicinity.operators import events, snapshots
@@ -90,6 +91,53 @@ def test_a_date_in_two_batches_and_a_replay(spark, tmp_path):
     assert [r["count"] for r in snapshots.read_snapshots(spark, out).collect()] == [42]
 
 
+def test_closed_days_count_visitors_exactly(spark, tmp_path):
+    """Late rows within the watermark count, later ones don't, and a restart in between changes nothing."""
+    path = str(tmp_path / "out")
+
+    def run(name, rows):
+        _write(tmp_path / "in", name, rows)
+        days = clicks.closed_days(clicks.event_stream(clicks.read_clicks(spark, str(tmp_path / "in"), files_per_batch=1), "seed"))
+        query = days.writeStream.format("parquet").outputMode("append").option("path", path)
+        query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+
+    day = [{**_click(f"2024-01-10T{k % 12:02d}:30:00Z", "page_view"), "ip": f"10.0.{k % 300}.1"} for k in range(1000)]
+    run("a.json", day)
+    late = [{**_click("2024-01-10T11:00:00Z", "page_view"), "ip": f"10.0.{k}.1"} for k in (5, 700)]
+    run("b.json", [*late, {**_click("2024-01-11T12:00:00Z", "page_view"), "ip": "10.0.1.1"}])
+    run("c.json", [_click("2024-01-14T12:00:00Z", "page_view")])
+    run("d.json", [{**_click("2024-01-10T11:00:00Z", "page_view"), "ip": "10.9.9.9"}])
+    run("e.json", [_click("2024-01-25T12:00:00Z", "page_view")])
+    got = {str(r["day"]): (r["page_views"], r["visitors"]) for r in spark.read.parquet(path).collect()}
+    assert got == {"2024-01-10": (1002, 301), "2024-01-11": (1, 1), "2024-01-14": (1, 1)}
+
+
+def test_a_crash_before_the_commit_and_both_writers_in_one_folder(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    kind = "layer string, i int, j int, count long"
+    cells = spark.createDataFrame([("cafe", 1, 1, 5), ("cafe", 1, 2, 1)], kind)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(snapshots, "commit", crash)
+        with pytest.raises(RuntimeError):
+            snapshots.append_snapshot(cells, path, "2024-01-01")
+    assert not snapshots.has_snapshot(spark, path, "2024-01-01") and snapshots.read_snapshots(spark, path).isEmpty()
+    assert snapshots.append_snapshot(cells.where("j = 1"), path, "2024-01-01")
+    assert not snapshots.append_snapshot(cells, path, "2024-01-01")
+    dated = [("2024-01-01", "cafe", 1, 1, 40), ("2024-01-02", "bus", 3, 3, 7)]
+    spark.createDataFrame(dated, f"taken_on string, {kind}").selectExpr("cast(taken_on AS date) AS taken_on", "layer", "i", "j", "count").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(f"taken_on date, {kind}").parquet(str(tmp_path / "in"))
+        clicks.accumulate_snapshots(stream, path, str(tmp_path / "check")).awaitTermination(120)
+    got = {(str(r["taken_on"]), r["layer"], r["j"]): r["count"] for r in snapshots.read_snapshots(spark, path).collect()}
+    assert got == {("2024-01-01", "cafe", 1): 45, ("2024-01-02", "bus", 3): 7}
+    assert snapshots.append_snapshot(cells, path, "2024-01-03") and not snapshots.append_snapshot(cells, path, "2024-01-02")
+    assert sorted(str(r["taken_on"]) for r in snapshots.list_snapshots(snapshots.read_snapshots(spark, path)).collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+
+
 def test_missing_district_does_not_win(spark):
     from vicinity.operators import search
 

@@ -16,27 +16,49 @@ def snapshot_layers(cells: DataFrame) -> DataFrame:
         F.count("*").alias("located_cells"), F.sum("count").alias("total_count")
     )
 
-def has_snapshot(spark, path: str, taken_on: str) -> bool:
-    """Whether the date is there already; only the folder names of the partitions are looked at."""
+def stage_and_commit(cells: DataFrame, path: str, batch: str) -> None:
+    """Writes dated cells under ``taken_on`` and ``batch``, then says so in the manifest; readers see only what it names.
+
+    A writer that dies before the commit leaves files that nobody reads and that the next try with the same ``batch``
+    replaces. Doing it again with the same cells changes nothing.
+    """
+    staged = cells.withColumn("batch", F.lit(batch))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("taken_on", "batch").parquet(path)
+    commit(staged.select(F.col("taken_on").cast("string").alias("taken_on"), "batch").distinct(), path, batch)
+
+def commit(entries: DataFrame, path: str, batch: str) -> None:
+    """One folder of the manifest per batch, which Spark's committer puts in place as a whole."""
+    entries.coalesce(1).write.mode("overwrite").json(f"{path}/_commits/batch-{batch}")
+
+def committed(spark, path: str) -> DataFrame:
+    """``(taken_on, batch)`` of everything that was written to its end."""
+    kinds = "taken_on string, batch string"
     try:
-        history = spark.read.parquet(path)
+        return spark.read.schema(kinds).json(f"{path}/_commits/*")
     except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], kinds)
         raise
-    return not history.where(F.col("taken_on") == F.lit(taken_on).cast("date")).limit(1).isEmpty()
+
+def has_snapshot(spark, path: str, taken_on: str) -> bool:
+    """Whether the date was committed; only the manifest is looked at."""
+    day = F.lit(taken_on).cast("date")
+    return not committed(spark, path).where(F.col("taken_on").cast("date") == day).limit(1).isEmpty()
 
 def append_snapshot(cells: DataFrame, path: str, taken_on: str) -> bool:
     """Adds a dated snapshot unless the date exists; True when it was written."""
     if has_snapshot(cells.sparkSession, path, taken_on):
         return False
-    dated = cells.withColumn("taken_on", F.lit(taken_on).cast("date"))
-    dated.write.mode("append").partitionBy("taken_on").parquet(path)
+    stage_and_commit(cells.withColumn("taken_on", F.lit(taken_on).cast("date")), path, f"whole-{taken_on}")
     return True
 
 def read_snapshots(spark, path: str) -> DataFrame:
-    """All dated snapshots under ``path``; what several micro-batches brought for one cell is added up."""
-    history = spark.read.parquet(path)
+    """All committed snapshots under ``path``; what several batches brought for one cell is added up."""
+    done = committed(spark, path).select(F.col("taken_on").cast("date").alias("taken_on"), "batch").distinct()
+    if done.isEmpty():
+        return spark.createDataFrame([], "taken_on date, layer string, i int, j int, count double")
+    history = spark.read.parquet(path).withColumns({"taken_on": F.col("taken_on").cast("date"), "batch": F.col("batch").cast("string")})
+    history = history.join(done, ["taken_on", "batch"], "left_semi")
     return history.groupBy("taken_on", "layer", "i", "j").agg(F.sum("count").alias("count"))
 
 def list_snapshots(history: DataFrame) -> DataFrame:

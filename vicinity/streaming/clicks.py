@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.display import local_day, visitor_hash
 from ..functions.rules import is_bot
 from ..operators.events import PAGE, RESULT, SEARCH
+from ..operators.snapshots import stage_and_commit
 
 CLICK_SCHEMA = (
     "ts timestamp, event_type string, ip string, user_agent string, path string, apartment string, apartment_gu string, "
@@ -47,22 +49,45 @@ def write_events(events: DataFrame, path: str, checkpoint: str, seconds: int = 1
     return trigger.start()
 
 
+def _daily(zone_hours: int) -> Column:
+    return F.window("ts", "1 day", startTime=f"{24 - zone_hours} hours")
+
+
+def _kpis(events: DataFrame) -> DataFrame:
+    one = lambda *kinds: F.when(F.col("event_type").isin(*kinds), 1).otherwise(0)
+    return events.withColumns({"_page": one(PAGE), "_search": one(RESULT, SEARCH)})
+
+
 def daily_kpis(events: DataFrame, late: str = "1 day", zone_hours: int = 9) -> DataFrame:
-    """Counts per local day as tumbling windows; rows later than the watermark are dropped.
+    """Running counts per local day as tumbling windows; rows later than the watermark are dropped.
 
-    Visitors are approximate here, since an exact count would keep every visitor in state; the
-    batch report counts them exactly.
+    Fit for every output mode, so a day can be watched as it grows; visitors are approximate for that. ``closed_days``
+    counts them exactly once a day is over.
     """
-    window = F.window("ts", "1 day", startTime=f"{24 - zone_hours} hours")
-    one = lambda *kinds: F.sum(F.when(F.col("event_type").isin(*kinds), 1).otherwise(0))
-    sums = events.withWatermark("ts", late).groupBy(window).agg(
-        one(PAGE).alias("page_views"), one(RESULT, SEARCH).alias("searches"),
-        F.approx_count_distinct("visitor_hash").alias("visitors"),
+    sums = _kpis(events).withWatermark("ts", late).groupBy(_daily(zone_hours)).agg(
+        F.sum("_page").alias("page_views"), F.sum("_search").alias("searches"), F.approx_count_distinct("visitor_hash").alias("visitors"),
     )
     day = F.to_date(F.col("window.start") + F.expr(f"INTERVAL {zone_hours} HOURS"))
     return sums.select(day.alias("day"), "page_views", "searches", "visitors")
 
 
+def closed_days(events: DataFrame, late: str = "1 day", zone_hours: int = 9) -> DataFrame:
+    """Exact counts of every local day that the watermark has passed (append mode).
+
+    Two windows in a row: the first keeps one entry of state for each day and visitor, however often they click, and
+    hands them on when the day is closed; the second adds a day up. Both are dropped at the watermark. A visitor
+    without hash is counted in the sums, not as a visitor, like in the batch report.
+    """
+    per_visitor = _kpis(events).withWatermark("ts", late).groupBy(_daily(zone_hours), "visitor_hash").agg(
+        F.sum("_page").alias("_page"), F.sum("_search").alias("_search")
+    )
+    per_day = per_visitor.groupBy(F.window(F.window_time("window"), "1 day", startTime=f"{24 - zone_hours} hours")).agg(
+        F.sum("_page").alias("page_views"), F.sum("_search").alias("searches"), F.count("visitor_hash").alias("visitors")
+    )
+    day = F.to_date(F.col("window.start") + F.expr(f"INTERVAL {zone_hours} HOURS"))
+    return per_day.select(day.alias("day"), "page_views", "searches", "visitors")
+
+
 def combo_counts(events: DataFrame, event_type: str = SEARCH) -> DataFrame:
     """Running count per combination (complete mode)."""
     return events.where(F.col("event_type") == event_type).groupBy("combo_key").agg(F.count("*").alias("count"))
@@ -71,15 +96,15 @@ def combo_counts(events: DataFrame, event_type: str = SEARCH) -> DataFrame:
 def accumulate_snapshots(cells: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Dated snapshots from a stream of ``(taken_on, layer, i, j, count)``.
 
-    Each micro-batch is written under its date and its own number, and a replay overwrites just that; so a date may
-    arrive in any number of batches. ``snapshots.read_snapshots`` adds the batches of a date up.
+    Each micro-batch is staged and committed under the stream's and its own number, and a replay overwrites just that;
+    so a date may arrive in any number of batches, and ``snapshots.append_snapshot`` may write to the same folder.
+    ``snapshots.read_snapshots`` adds the batches of a date up.
     """
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def add(batch: DataFrame, batch_id: int) -> None:
         sums = batch.groupBy("taken_on", "layer", "i", "j").agg(F.sum("count").alias("count"))
-        sums.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("taken_on", "batch").parquet(path)
+        stage_and_commit(sums, path, f"{stream}-{batch_id}")
 
     return (
         cells.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
