@@ -12,6 +12,8 @@ the corner, whatever the size of the polygon or of the map.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +48,16 @@ def _begin(number: str) -> str:
     return f"({number} * side - {_OFFSET!r}D)"
 
 
-def _sized(edges: DataFrame) -> DataFrame:
-    """Edges with the level of their polygon and the side of its tiles."""
+def _sized(edges: DataFrame, widest: float | None) -> DataFrame:
+    """Edges with the level of their polygon and the side of its tiles, at most ``widest`` degrees."""
+    coarsest = COARSEST if widest is None else min(max(COARSEST, math.ceil(-math.log2(widest))), FINEST)
     extent = F.greatest(
         F.max(F.greatest("lat1", "lat2")) - F.min(F.least("lat1", "lat2")),
         F.max(F.greatest("lng1", "lng2")) - F.min(F.least("lng1", "lng2")),
     )
     shape = edges.groupBy(*_RING).agg(F.count("*").alias("_n"), extent.alias("_extent"))
     wanted = F.log2(F.greatest(F.sqrt("_n") / 2, F.lit(1.0)) / F.greatest("_extent", F.lit(1e-9)))
-    level = F.least(F.greatest(F.floor(wanted), F.lit(COARSEST)), F.lit(FINEST)).cast("int")
+    level = F.least(F.greatest(F.floor(wanted), F.lit(coarsest)), F.lit(FINEST)).cast("int")
     shape = shape.select(*(F.col(c).alias(f"_{c}") for c in _RING), level.alias("level"), F.pow(F.lit(2.0), -level).alias("side"))
     same = [edges[c].eqNullSafe(shape[f"_{c}"]) for c in _RING]
     return edges.join(shape, same[0] & same[1] & same[2]).drop(*(f"_{c}" for c in _RING))
@@ -65,13 +68,13 @@ def _at(lat: str) -> str:
     return f"(lng1 + ({lat} - lat1) / (lat2 - lat1) * (lng2 - lng1))"
 
 
-def tiles_of(edges: DataFrame) -> DataFrame:
+def tiles_of(edges: DataFrame, widest: float | None = None) -> DataFrame:
     """``(level, row, col, zones)``: what each tile knows of the polygons that reach it.
 
     A zone has ``shared, ord, polygon``, ``inside`` (of the upper right corner) and the ``edges`` that pass the tile.
     """
     keys = [*_RING, "level"]
-    edges = _sized(edges).selectExpr("*", "least(lat1, lat2) AS low", "greatest(lat1, lat2) AS high")
+    edges = _sized(edges, widest).selectExpr("*", "least(lat1, lat2) AS low", "greatest(lat1, lat2) AS high")
     rows = edges.selectExpr("*", f"explode(sequence({_number('low')}, {_number('high')})) AS row")
     rows = rows.selectExpr("*", f"greatest(low, {_begin('row')}) AS _from", f"least(high, {_begin('(row + 1)')}) AS _to")
     ends = [f"if(lat1 = lat2, lng{k}, {_at(c)})" for k, c in ((1, "_from"), (2, "_to"))]
@@ -94,13 +97,14 @@ def tiles_of(edges: DataFrame) -> DataFrame:
     return every.groupBy("level", "row", "col").agg(F.array_sort(F.collect_list(zone)).alias("zones"))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, strip_deg: float | None = None) -> DataFrame:
     """Every point with ``zones``: the polygons that contain it, normal ones first, then by order.
 
     ``edges`` also has ``shared`` (boolean). Points in no polygon, or without coordinates, get an empty array. Points meet
-    one tile for each size of tile (at most ``FINEST - COARSEST + 1``) and are not multiplied.
+    one tile for each size of tile (at most ``FINEST - COARSEST + 1``) and are not multiplied. ``strip_deg`` is the widest
+    that a tile may be.
     """
-    tiles = cut(tiles_of(edges))
+    tiles = cut(tiles_of(edges, strip_deg))
     levels = sorted(r["level"] for r in tiles.select("level").distinct().collect())
     over = "e.lng1 + (lat - e.lat1) / (e.lat2 - e.lat1) * (e.lng2 - e.lng1)"
     beside = f"if((e.lat1 <= lat AND lat < e.lat2) OR (e.lat2 <= lat AND lat < e.lat1), lng < {over} AND {over} <= _right, false)"
