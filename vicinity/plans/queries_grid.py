@@ -371,17 +371,24 @@ def viewport_points(spark, d):
     return points.withColumns({"lat": half_even("lat", 6), "lng": half_even("lng", 6)})
 
 
+#: From the one cell outwards: its sites, its places, and the district it lies in.
+_CELL_CTES = {
+    "cell": f"SELECT {SQL_CI} AS i, {SQL_CJ} AS j FROM (SELECT 37.5501e0 AS lat, 126.9502e0 AS lng)",
+    "own": f"SELECT *, d2 <= 250000e0 AS in_core FROM (SELECT s.*, i, j, {t.SQL_D2} AS d2 FROM site s, cell) WHERE d2 <= 1000000e0",
+    "beside": f"SELECT layer, subtype, r, {t.SQL_D2} AS d2 FROM (SELECT p.*, {t._RADIUS_CASE} AS r, i, j FROM poi p, cell) WHERE EXISTS (SELECT 1 FROM own)",
+}
+
+
 @query(
     "cell_detail",
     with_ctes(
-        GRID_CTES + " cov near",
-        f"""SELECT 'coverage' AS part, layer AS key, subtype AS detail, CAST(count AS BIGINT) AS n FROM cov SEMI JOIN cell USING (i, j)
-        UNION ALL SELECT 'nearest', layer, '', distance_m FROM near SEMI JOIN cell USING (i, j)
-        UNION ALL SELECT 'zone', gu, dong, site_count FROM zone SEMI JOIN cell USING (i, j)
-        UNION ALL SELECT 'site', name, in_core::VARCHAR, site_id FROM (SELECT s.name, m.in_core, m.site_id
-        FROM member m SEMI JOIN cell USING (i, j) JOIN site s USING (site_id)
-        ORDER BY m.in_core DESC, s.name LIMIT 60)""",
-        {"cell": f"SELECT {SQL_CI} AS i, {SQL_CJ} AS j FROM (SELECT 37.5501e0 AS lat, 126.9502e0 AS lng)"},
+        "site poi district_edge raster",
+        """SELECT 'coverage' AS part, layer AS key, subtype AS detail, count(*) AS n FROM beside WHERE d2 <= CAST(r AS DOUBLE) * r GROUP BY layer, subtype
+        UNION ALL SELECT 'nearest', layer, '', CAST(round_even(sqrt(min(d2)), 0) AS INT) FROM beside WHERE layer IN ('hospital', 'subway') AND d2 <= 9000000 GROUP BY layer
+        UNION ALL SELECT 'zone', coalesce((SELECT polygon FROM raster SEMI JOIN cell USING (i, j)), first(gu ORDER BY d2, site_id)), first(dong ORDER BY d2, site_id), count(*)
+        FROM own HAVING count(*) > 0
+        UNION ALL SELECT 'site', name, in_core::VARCHAR, site_id FROM (SELECT * FROM own ORDER BY in_core DESC, name LIMIT 60)""",
+        _CELL_CTES,
     ),
 )
 def cell_detail(spark, d):

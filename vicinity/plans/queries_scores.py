@@ -28,6 +28,9 @@ SCORE_CTES = {
       FROM (SELECT *, (CASE category WHEN 'hangang' THEN below ELSE n-below-ties END + 0.5e0*ties)/n*100 AS p FROM (
       SELECT *, rank() OVER (PARTITION BY category ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY category, v) AS ties,
       count(*) OVER (PARTITION BY category) AS n FROM melted))""",
+    "everything": """SELECT site_id, category, value, pct, score FROM (
+      SELECT site_id, category FROM metric UNPIVOT INCLUDE NULLS (v FOR category IN (academy, hospital, bus, subway, cafe, hangang)))
+      LEFT JOIN scored USING (site_id, category)""",
 }
 _DOMAIN_CASE = "CASE category " + " ".join(f"WHEN '{c}' THEN '{areas.CATEGORY_DOMAIN[c]}'" for c in DIRECTIONS) + " END"
 _WEIGHT_CASE = "CASE domain " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in areas.DOMAIN_WEIGHTS.items()) + " END"
@@ -98,11 +101,11 @@ def domains(spark, d):
 
 @query(
     "midrank_all_metrics",
-    with_ctes(_BASE, "SELECT * FROM scored", SCORE_CTES),
+    with_ctes(_BASE, "SELECT * FROM everything", SCORE_CTES),
 )
 def midrank_all_metrics(spark, d):
-    found = build_scores(spark, d).where("value IS NOT NULL")
-    return found.select("site_id", "category", "value", "pct", "score")
+    """Missing values have no rank, but stay rows."""
+    return build_scores(spark, d).select("site_id", "category", "value", "pct", "score")
 
 
 _WEIGHTED = "CAST(round_even(coalesce(sum(score * w) / nullif(sum(w), 0), 0), 0) AS INT)"
@@ -339,13 +342,12 @@ def area_scopes(spark, d):
     with_ctes(
         _BASE,
         """SELECT category, a_score, b_score, CASE WHEN a_score > b_score THEN 'a' WHEN b_score > a_score THEN 'b' WHEN a_score = b_score THEN 'tie' END AS winner
-        FROM (SELECT category, score AS a_score FROM scored WHERE site_id = 3) JOIN (SELECT category, score AS b_score FROM scored WHERE site_id = 17) USING (category)""",
+        FROM (SELECT category, score AS a_score FROM everything WHERE site_id = 3) JOIN (SELECT category, score AS b_score FROM everything WHERE site_id = 17) USING (category)""",
         SCORE_CTES,
     ),
 )
 def compare_sites(spark, d):
-    long = scores(spark, d).where("value IS NOT NULL")
-    return ranking.compare_sites(long, F.col("site_id") == 3, F.col("site_id") == 17)
+    return ranking.compare_sites(scores(spark, d), F.col("site_id") == 3, F.col("site_id") == 17)
 
 
 @query(
@@ -366,17 +368,18 @@ def comparison_wins(spark, d):
     with_ctes(
         _BASE,
         f"""SELECT site_id, domain, category_count, poi_count, max_score, categories FROM (
-        SELECT site_id, {_DOMAIN_CASE} AS domain, count(*) AS category_count, CAST(sum(value) AS BIGINT) AS poi_count, max(score) AS max_score,
-        string_agg(category, ',' ORDER BY score DESC, category) AS categories FROM scored GROUP BY 1, 2)""",
+        SELECT site_id, {_DOMAIN_CASE} AS domain, count(value) AS category_count, CAST(sum(value) AS BIGINT) AS poi_count, max(score) AS max_score,
+        coalesce(string_agg(category, ',' ORDER BY score DESC, category) FILTER (value IS NOT NULL), '') AS categories FROM everything GROUP BY 1, 2)""",
         SCORE_CTES,
     ),
 )
 def domain_summaries(spark, d):
-    rows = scores(spark, d).where("value IS NOT NULL").withColumn("count", F.col("value").cast("long"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "category")))
+    """Per site and domain; a category without a value is no part of it, a domain without any stays a row."""
+    rows = scores(spark, d).withColumn("count", F.col("value").cast("long"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct((-F.col("score")).alias("s"), "category"))))
     domain = F.element_at(F.create_map(*[F.lit(x) for kv in areas.CATEGORY_DOMAIN.items() for x in kv]), F.col("category"))
     return rows.groupBy("site_id", domain.alias("domain")).agg(
-        F.count("*").alias("category_count"), F.sum("count").alias("poi_count"), F.max("score").alias("max_score"),
+        F.count("value").alias("category_count"), F.sum("count").alias("poi_count"), F.max("score").alias("max_score"),
         F.array_join(F.transform(listed, lambda x: x["category"]), ",").alias("categories"),
     )
 
@@ -499,14 +502,14 @@ def score_highlights(spark, d):
         WHEN raw BETWEEN 0 AND 100 THEN round_even(raw, 0)
         ELSE CASE WHEN n >= 10 THEN 90 WHEN n >= 5 THEN 75 WHEN n >= 3 THEN 55 WHEN n >= 1 THEN 35 ELSE 10 END END AS INT) AS shown FROM (
         SELECT site_id, category, CASE WHEN site_id % 4 = 0 THEN pct END AS p, CASE WHEN site_id % 4 = 1 THEN 'school-environment' ELSE category END AS k,
-        value * 3 AS dist, CASE WHEN site_id % 4 = 2 THEN score + 0.5e0 END AS raw, value AS n FROM scored)""",
+        value * 3 AS dist, CASE WHEN site_id % 4 = 2 THEN score + 0.5e0 END AS raw, value AS n FROM everything)""",
         SCORE_CTES,
     ),
 )
 def score_fallback(spark, d):
     """The fallback chain: percentile, school rule, raw score, count, each for a quarter of the sites."""
     turn = F.col("site_id") % 4
-    rows = scores(spark, d).where("value IS NOT NULL").select(
+    rows = scores(spark, d).select(
         "site_id", "category", F.when(turn == 0, F.col("pct")).alias("p"), F.lit(None).cast("double").alias("own"),
         F.when(turn == 1, "school-environment").otherwise(F.col("category")).alias("k"), (F.col("value") * 3).alias("dist"),
         F.when(turn == 2, F.col("score") + 0.5).alias("raw"), F.col("value").alias("n"),
@@ -520,12 +523,12 @@ def score_fallback(spark, d):
         _BASE,
         "SELECT site_id, string_agg(category, ',' ORDER BY CASE category "
         + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(ranking.CATEGORY_ORDER))
-        + " ELSE 99 END) AS shown FROM scored GROUP BY 1",
+        + " ELSE 99 END) AS shown FROM everything GROUP BY 1",
         SCORE_CTES,
     ),
 )
 def category_order(spark, d):
-    rows = scores(spark, d).where("value IS NOT NULL")
+    rows = scores(spark, d)
     listed = F.array_sort(F.collect_list(F.struct(ranking.display_position("category").alias("p"), "category")))
     return rows.groupBy("site_id").agg(
         F.array_join(F.transform(listed, lambda x: x["category"]), ",").alias("shown")

@@ -196,14 +196,13 @@ _ORDER_SQL = "CASE label " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumera
     array_to_string(list_filter([{", ".join(repr(x) for x in rules.BUS_LABEL_ORDER)}], lambda x: list_contains(list(label), x)), '|') AS types,
     first(label ORDER BY {_ORDER_SQL}) AS primary_type FROM (SELECT *, {_LABEL_SQL} AS label FROM (
     SELECT *, {_BUS_SQL} AS kind FROM (SELECT l_suppkey, route, upper(trim(route)) AS r FROM (
-    SELECT l_suppkey, {sql_pick(ROUTES, 'l_partkey', 7)} AS route FROM lineitem WHERE l_partkey // 7 % {len(ROUTES)} % 3 = l_suppkey % 3))))
+    SELECT l_suppkey, {sql_pick(ROUTES, 'turn')} AS route FROM (SELECT l_suppkey, l_partkey // 21 * 3 + l_suppkey % 3 AS turn FROM lineitem)))))
     GROUP BY 1""",
 )
 def classify_bus_routes(spark, d):
-    """Stops serve the routes whose number fits theirs; types in priority order."""
-    turn = F.floor(F.col("l_partkey") / 7) % len(ROUTES)
-    rows = t.read(spark, d, "lineitem").where(turn % 3 == F.col("l_suppkey") % 3)
-    routes = rows.select("l_suppkey", pick(ROUTES, "l_partkey", 7).alias("route")).groupBy("l_suppkey").agg(
+    """Stops serve a third of the routes, by their number; types in priority order."""
+    rows = t.read(spark, d, "lineitem").withColumn("turn", F.floor(F.col("l_partkey") / 21) * 3 + F.col("l_suppkey") % 3)
+    routes = rows.select("l_suppkey", pick(ROUTES, "turn").alias("route")).groupBy("l_suppkey").agg(
         F.collect_set("route").alias("r")
     )
     return routes.select(
@@ -471,14 +470,14 @@ def display_texts(spark, d):
 
 @query(
     "combo_keys",
-    """SELECT event_id, 'bus=' || (event_id % 5) || ';cafe=' || (user_id % 4) AS weights,
+    """SELECT event_id, concat_ws(';', CASE WHEN event_id % 5 <> 3 THEN 'bus=' || (event_id % 5) END, CASE WHEN user_id % 4 <> 3 THEN 'cafe=' || (user_id % 4) END) AS weights,
     CASE WHEN event_id % 2 = 0 THEN 'area=60_85,u60;' ELSE '' END || 'gu=' || event_type AS filters,
     substr(sha256((user_id || '.0.0.1') || '|' || event_type || '|seed|' || strftime(ts, '%Y-%m-%d')), 1, 16) AS visitor,
-    CAST(ts + INTERVAL 9 HOUR AS DATE) AS local_day FROM events WHERE event_id % 5 <> 3 AND user_id % 4 <> 3""",
+    CAST(ts + INTERVAL 9 HOUR AS DATE) AS local_day FROM events""",
 )
 def combo_keys(spark, d):
-    """Weight and filter combinations of clicks whose weights are both off the default."""
-    rows = t.read(spark, d, "events").where("event_id % 5 <> 3 AND user_id % 4 <> 3")
+    """Weight and filter combinations of clicks; weights at the default leave no pair."""
+    rows = t.read(spark, d, "events")
     weights = F.create_map(
         F.lit("cafe"), (F.col("user_id") % 4).cast("int"), F.lit("bus"), (F.col("event_id") % 5).cast("int"), F.lit("park"), F.lit(3)
     )
