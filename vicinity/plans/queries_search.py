@@ -222,8 +222,8 @@ def serving_table(spark, d):
     "lookup_site",
     with_ctes(
         "poi",
-        """SELECT 'key' AS how, max(poi_id) AS ord FROM poi WHERE name = (SELECT name FROM poi WHERE poi_id = 1) AND brand = 'Brand#17' AND subtype = 'ECONOMY'
-        UNION ALL SELECT 'name', min(poi_id) FROM poi WHERE name = 'red widget'""",
+        """SELECT 'key' AS how, max(poi_id) AS ord FROM poi WHERE name = 'red widget' AND brand = 'Brand#17' AND subtype = 'ECONOMY' HAVING count(*) > 0
+        UNION ALL SELECT 'name', min(poi_id) FROM poi WHERE name = 'red widget' HAVING count(*) > 0""",
     ),
 )
 def lookup_site(spark, d):
@@ -428,20 +428,21 @@ def source_status(spark, d):
         UNION ALL SELECT 'radius_order:a_count_300m<=a_count_500m', 'WARN', count(*) FILTER (site_id % 4 <> 0 AND 2 > site_id % 3) FROM site
         UNION ALL SELECT 'percent_range:pct', 'ERROR', count(*) FILTER (site_id % 6 <> 0 AND site_id % 120 > 100) FROM site UNION ALL SELECT 'percent_empty:pct', 'WARN', count(*) FILTER (site_id % 6 = 0) FROM site
         UNION ALL SELECT 'primary_metric_invalid', 'ERROR', 0 UNION ALL SELECT 'primary_metric_empty', 'WARN', count(*) FILTER (site_id % 6 = 0) FROM site
-        UNION ALL SELECT 'row_count', 'WARN', abs(count(*) - 1500) FROM site UNION ALL SELECT 'rows_present', 'ERROR', 0
+        UNION ALL SELECT 'row_count', 'WARN', greatest((SELECT count(*) FROM poi) - count(*), 0) FROM site UNION ALL SELECT 'rows_present', 'ERROR', 0
         UNION ALL SELECT 'duplicate_names', 'WARN', count(*) FROM (SELECT gu FROM site GROUP BY 1 HAVING count(*) > 1))""",
     ),
 )
 def dq_report(spark, d):
     """The checks over the sites, with defects planted by key."""
-    rows = t.site(spark, d).selectExpr(
+    sites = t.site(spark, d)
+    rows = sites.selectExpr(
         "gu AS name", "lat", "lng", "CASE WHEN site_id % 10 = 3 THEN '{broken' WHEN site_id % 10 = 4 THEN '' ELSE '[]' END AS note",
         "CASE WHEN site_id % 4 = 0 THEN -1 ELSE 2 END AS a_count_300m", "site_id % 3 AS a_count_500m", "100 AS near_distance",
         "CASE WHEN site_id % 6 <> 0 THEN cast(site_id % 120 AS double) END AS pct",
     )
     spec = quality.TableSpec(
         "metrics", required=["name", "gu", "lat", "lng"], primary_metric="pct", json_columns=["note"],
-        radius_rules=[("a_count_300m", "a_count_500m")], percent_columns=["pct"], expected_rows=1500,
+        radius_rules=[("a_count_300m", "a_count_500m")], percent_columns=["pct"], expected_rows=quality.expected_rows([sites, t.poi(spark, d)]),
         bounds=(37.4, 37.5, 126.76, 127.19),
     )
     return quality.dq_checks(rows, spec)
