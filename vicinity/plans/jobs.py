@@ -15,6 +15,7 @@ from ..operators.grid import Grid
 from ..operators.scoring import mid_rank
 from ..session import cut
 from ..sources.sinks import write_baseline
+from . import category_tables
 from .registries import CATEGORIES, Category
 
 NEAREST_LAYERS = ("subway", "school", "hospital", "pharmacy", "child_zone")
@@ -82,12 +83,17 @@ def bake_scores(table: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     return table
 
 
-def category_baseline(sites: DataFrame, pois: DataFrame, category: Category) -> DataFrame:
-    """One category's table: counts per radius, subtype columns, nearest, items, baked score.
+def category_baseline(sites: DataFrame, pois: DataFrame | Mapping[str, DataFrame], category: Category) -> DataFrame:
+    """One category's table: counts per radius, subtype columns, nearest, items, its own columns, baked score.
 
-    Counts, subtypes and nearest come from one join; the item list needs names and has its own.
-    ``pois``: ``poi_id, name, subtype, lat, lng``.
+    ``pois``: ``poi_id, name, subtype, lat, lng``, or a mapping with these as ``places`` and what else the category needs
+    (see ``category_tables``). Counts share a join, subtypes, nearest and the item list have one each.
     """
+    sources = pois if isinstance(pois, Mapping) else {"places": pois}
+    if category.key in category_tables.INSTEAD:
+        own = category_tables.INSTEAD[category.key](sites, sources)
+        return bake_scores(cut(sites.join(own, "site_id", "left")), {category.metric: category.better})
+    pois = sources["places"]
     key = category.key
     out = sites
     if category.radii:
@@ -112,10 +118,12 @@ def category_baseline(sites: DataFrame, pois: DataFrame, category: Category) ->
             sites.select("site_id", "lat", "lng"), pois, category.item_radius, category.items, rounding=category.rounding
         )
         out = out.join(listed.select("site_id", F.to_json("items").alias("items_json")), "site_id")
+    if category.key in category_tables.BESIDE:
+        out = out.join(category_tables.BESIDE[category.key](sites, sources), "site_id", "left")
     return bake_scores(cut(out), {category.metric: category.better})
 
 
-def baseline_jobs(sites: DataFrame, pois: Mapping[str, DataFrame], folder: str) -> dict[str, Callable[[], DataFrame]]:
+def baseline_jobs(sites: DataFrame, pois: Mapping[str, DataFrame | Mapping[str, DataFrame]], folder: str) -> dict[str, Callable[[], DataFrame]]:
     """A job per category with a source: builds its table, writes it and opens what was written."""
 
     def job(category: Category) -> Callable[[], DataFrame]:
@@ -136,10 +144,11 @@ def run_jobs(spark: SparkSession, jobs: Mapping[str, Callable[[], DataFrame | No
         try:
             made = job()
             rows = made.count() if made is not None else None
-            report.append((name, "success", rows, None, round(time.time() - started, 3)))
+            columns = ",".join(made.columns) if made is not None else None
+            report.append((name, "success", rows, columns, None, round(time.time() - started, 3)))
         except Exception as error:
             last = traceback.format_exception_only(error)[-1].strip()
-            report.append((name, "failed", None, last, round(time.time() - started, 3)))
-    return spark.createDataFrame(report, "job string, status string, rows long, error string, seconds double")
+            report.append((name, "failed", None, None, last, round(time.time() - started, 3)))
+    return spark.createDataFrame(report, "job string, status string, rows long, columns string, error string, seconds double")
 
 
