@@ -63,11 +63,6 @@ def area_label(area) -> Column:
     )
 
 
-def score_text(percentile) -> Column:
-    score = half_even(clamp(F.lit(100.0) - col(percentile).cast("double")))
-    return F.when(col(percentile).isNull(), "-").otherwise(F.concat(score.cast("int").cast("string"), F.lit("점")))
-
-
 def percentile_score(percentile) -> Column:
     value = col(percentile).cast("double")
     return F.coalesce(half_even(clamp(F.lit(100.0) - value)), F.lit(0.0)).cast("int")

@@ -16,7 +16,6 @@ LAT_M_PER_DEG = 111000.0
 LNG_M_PER_DEG = 88800.0
 CITY_BOUNDS = (37.40, 37.72, 126.76, 127.19)
 POI_MARGIN_DEG = 0.035
-COUNTRY_BOUNDS = (33.0, 39.5, 124.0, 132.0)
 
 METRES_PER_DEG = math.pi * EARTH_RADIUS_M / 180
 D_LAT = CELL_M / LAT_M_PER_DEG
@@ -58,13 +57,6 @@ def half_even(value, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale
 
 
-def planar_sq(lat1, lng1, lat2, lng2) -> Column:
-    """Squared metres on the fixed-scale plane the grid uses."""
-    dy = (col(lat1) - col(lat2)) * LAT_M_PER_DEG
-    dx = (col(lng1) - col(lng2)) * LNG_M_PER_DEG
-    return dx * dx + dy * dy
-
-
 def cell_i(lat) -> Column:
     return F.floor((col(lat) - LAT_ORIGIN) / D_LAT).cast("int")
 

@@ -471,7 +471,6 @@ JEONSE_BUCKETS = [
 ]
 DOMAIN_GRADES = [(80, "S"), (65, "A"), (50, "B"), (35, "C")]
 CATEGORY_GRADES = [(90, "S"), (70, "A"), (40, "B"), (15, "C")]
-CATEGORY_WORDS = {"S": "매우 우수", "A": "우수", "B": "평균 수준", "C": "평균 이하", "D": "부족"}
 SCORE_CLASSES = [(70, "score-good"), (40, "score-normal")]
 PERCENTILE_WORDS = [
     (5, "서울시 최상위권입니다"), (20, "서울시 기준 우수한 편입니다"), (60, "서울시 평균 수준입니다"),

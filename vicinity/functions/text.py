@@ -237,8 +237,7 @@ def compact_list(names, limit: int = 2, max_chars: int = 34) -> Column:
 
 
 # --- Name evidence for matching -----------------------------------------------------------
-# Roman numerals as digits, and names too common to prove anything.
-ROMAN_DIGITS = {"ⅰ": "1", "ⅱ": "2", "ⅲ": "3", "ⅳ": "4", "ⅴ": "5"}
+# Names too common to prove anything.
 GENERIC_NAMES = [
     "아파트", "apt", "래미안", "자이", "푸르지오", "힐스테이트", "현대", "롯데캐슬", "아이파크",
     "주공", "한신", "삼성", "대우", "벽산", "동아", "신동아", "두산",

@@ -14,11 +14,6 @@ TILE = 256
 _J_OFFSET = 1 << 30
 
 
-def cell_label(i: str = "i", j: str = "j"):
-    """A cell as one sortable long; the order is that of ``(i, j)``."""
-    return F.expr(f"shiftleft(cast({i} AS bigint), 31) + {j} + {_J_OFFSET}")
-
-
 def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     """Labels the cells of one tile by their component's smallest cell inside the tile."""
     left = set(zip(pdf["i"].tolist(), pdf["j"].tolist()))

@@ -260,7 +260,3 @@ def park_facilities(rows: DataFrame) -> DataFrame:
         "park", "total", "groups",
         rules.primary_facility_group(F.map_keys("groups")).alias("primary_group"), shown.alias("tags"),
     )
-
-
-def round_coordinates(lat, lng, digits: int = 7) -> tuple[Column, Column]:
-    return half_even(lat, digits), half_even(lng, digits)

@@ -84,9 +84,3 @@ def typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
 
 def read_csv_any(spark: SparkSession, path: str, schema: T.StructType | str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     return typed(read_csv_raw(spark, path, encodings), schema)
-
-
-def first_column(df: DataFrame, *names: str):
-    """The first non-empty of the columns that exist among ``names``."""
-    ordered = [F.col(f"`{n}`") for n in names if n in df.columns]
-    return tx.first_of(*ordered) if ordered else F.lit(None).cast("string")
