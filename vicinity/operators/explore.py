@@ -29,6 +29,7 @@ PRIORITY_SUBTYPES: dict[str, list[str]] = {
     "warehouse_mart": rules.MART_GROUPS["warehouse_mart"][1],
     "cafe": [name for name, _ in rules.BRAND_RULES["cafe"]],
 }
+CULTURE_COLUMNS = dict(zip(PRIORITY_SUBTYPES["culture"], ("performance_count", "exhibition_count", "sports_count", "kids_count", "experience_count")))
 PARK_PRESENCE_M = {"일반공원": 1000, "한강공원": 3000, "대형공원": 3000}
 TEXT_KEYS = (
     "gu", "dong", "line", "station", "assigned_elementary", "school", "household", "price_type", "price",
@@ -55,6 +56,57 @@ def presence(distance: str, subtype: str) -> Column:
     return F.coalesce((F.col(distance) <= PARK_PRESENCE_M[subtype]).cast("int"), F.lit(0))
 
 
+def stat_columns(category: str, subtype: str) -> tuple[str, str]:
+    """The columns of a derived wish: its count and its nearest distance."""
+    return f"{category}_{subtype}_count", f"{category}_{subtype}_nearest"
+
+
+def derived_wish(category: str, subtype: str) -> Priority:
+    return Priority(category, subtype, *stat_columns(category, subtype))
+
+
+def _stats(category: str, found: Mapping[str, tuple[Column, Column]]) -> list[Column]:
+    out = []
+    for subtype, (count, near) in found.items():
+        names = stat_columns(category, subtype)
+        out += [F.coalesce(count.cast("long"), F.lit(0)).alias(names[0]), near.cast("double").alias(names[1])]
+    return out
+
+
+def medical_stats(table: DataFrame, walk_m: int = 500) -> DataFrame:
+    """Counts and nearest distances of medical wishes by ``site_id``.
+
+    Emergency rooms and general hospitals are reached by car and have columns of their own. Specialties are counted on
+    foot: the column ``<specialty>_count_500m`` where there is one with a value, else the items within ``walk_m``; the
+    nearest always comes from the items (``medical_items``: array with ``subtype, distance``).
+    """
+    emergency, general, *clinics = PRIORITY_SUBTYPES["medical"]
+    found = {
+        emergency: (F.col("emergency_count_1km"), F.col("nearest_emergency_distance")),
+        general: (F.col("superior_hospital_count_5km"), F.col("nearest_superior_hospital_distance")),
+    }
+    for name in clinics:
+        walked = F.filter("medical_items", lambda x: x["distance"] <= walk_m)
+        near = F.filter(walked, lambda x: F.trim(x["subtype"]) == name)  # noqa: B023 - used at once
+        counted = F.greatest(F.size(near), F.lit(0))
+        column = f"{name}_count_500m"
+        count = F.coalesce(F.col(column).cast("long"), counted) if column in table.columns else counted
+        found[name] = (count, F.array_min(F.transform(near, lambda x: x["distance"])))
+    return table.select("site_id", *_stats("medical", found))
+
+
+def culture_stats(table: DataFrame) -> DataFrame:
+    """Counts of culture wishes by ``site_id``; all share the nearest place of culture."""
+    near = F.col("nearest_culture_distance")
+    return table.select("site_id", *_stats("culture", {name: (F.col(c), near) for name, c in CULTURE_COLUMNS.items()}))
+
+
+def park_stats(table: DataFrame) -> DataFrame:
+    """Presence (0 or 1) and distance of park wishes by ``site_id``, from the nearest park of each kind."""
+    columns = dict(zip(PRIORITY_SUBTYPES["park"], ("park_distance", "hangang_distance", "big_park_distance")))
+    return table.select("site_id", *_stats("park", {name: (presence(c, name), F.col(c)) for name, c in columns.items()}))
+
+
 def parse_priorities(texts: Sequence[str], subtypes: Mapping[str, Sequence[str]] = PRIORITY_SUBTYPES) -> list[tuple[str, str]]:
     """``category:subtype`` texts in order; unknown ones and repeated subtypes are dropped."""
     kept: dict[str, str] = {}

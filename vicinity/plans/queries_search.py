@@ -415,6 +415,38 @@ def source_status(spark, d):
     return compare(current, previous).select("key", "state")
 
 
+_MEDICAL, _CULTURE, _PARK = (explore.PRIORITY_SUBTYPES[k] for k in ("medical", "culture", "park"))
+
+
+@query(
+    "derived_stats",
+    f"""SELECT c_custkey AS site_id, c_custkey % 4 AS "medical_{_MEDICAL[0]}_count", CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 900)::DOUBLE END AS "medical_{_MEDICAL[0]}_nearest",
+    c_custkey % 3 AS "medical_{_MEDICAL[1]}_count", CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 4000)::DOUBLE END AS "medical_{_MEDICAL[1]}_nearest",
+    CASE WHEN c_custkey % 5 = 0 THEN 7 ELSE (c_custkey % 700 <= 500)::BIGINT END AS "medical_{_MEDICAL[2]}_count", CASE WHEN c_custkey % 700 <= 500 THEN (c_custkey % 700)::DOUBLE END AS "medical_{_MEDICAL[2]}_nearest",
+    (c_custkey % 600 <= 500)::BIGINT + (c_custkey % 600 + 50 <= 500)::BIGINT AS "medical_{_MEDICAL[3]}_count", CASE WHEN c_custkey % 600 <= 500 THEN (c_custkey % 600)::DOUBLE END AS "medical_{_MEDICAL[3]}_nearest",
+    """
+    + ", ".join(f"c_custkey % {k + 2} AS \"culture_{x}_count\", (c_custkey % 1500)::DOUBLE AS \"culture_{x}_nearest\"" for k, x in enumerate(_CULTURE))
+    + ", "
+    + ", ".join(
+        f"(c_custkey % {m} <= {explore.PARK_PRESENCE_M[x]})::BIGINT AS \"park_{x}_count\", (c_custkey % {m})::DOUBLE AS \"park_{x}_nearest\"" for m, x in zip((1400, 3500, 3200), _PARK)
+    )
+    + " FROM customer",
+)
+def derived_stats(spark, d):
+    """Counts and nearest distances behind the wishes for medicine, culture and parks."""
+    key = F.col("c_custkey")
+    item = lambda name, metres: F.struct(F.lit(name).alias("subtype"), metres.cast("double").alias("distance"))
+    items = F.array(item(f" {_MEDICAL[2]}", key % 700), item(_MEDICAL[3], key % 600 + 50), item(_MEDICAL[3], key % 600))
+    table = t.read(spark, d, "customer").select(
+        key.alias("site_id"), (key % 4).alias("emergency_count_1km"), F.when(key % 4 > 0, key % 900).alias("nearest_emergency_distance"),
+        (key % 3).alias("superior_hospital_count_5km"), F.when(key % 3 > 0, key % 4000).alias("nearest_superior_hospital_distance"),
+        items.alias("medical_items"), F.when(key % 5 == 0, 7).alias(f"{_MEDICAL[2]}_count_500m"), (key % 1500).alias("nearest_culture_distance"),
+        *((key % (k + 2)).alias(c) for k, c in enumerate(explore.CULTURE_COLUMNS.values())),
+        (key % 1400).alias("park_distance"), (key % 3500).alias("hangang_distance"), (key % 3200).alias("big_park_distance"),
+    )
+    return explore.medical_stats(table).join(explore.culture_stats(table), "site_id").join(explore.park_stats(table), "site_id")
+
+
 # --- Data quality ---------------------------------------------------------------------------------
 @query(
     "dq_report",
