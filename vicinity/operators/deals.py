@@ -228,12 +228,17 @@ def capped_deals(deals: DataFrame, cap: int = ROWS_PER_TAB) -> DataFrame:
 
 
 def detail_payloads(deals: DataFrame) -> DataFrame:
-    """One JSON payload per site: area tabs, and capped deals by area."""
+    """One JSON payload per site: area tabs, and capped deals by area.
+
+    A deal shows its ``dong`` and ``apartment_name`` where ``deals`` has these columns, else blanks.
+    """
     tabs = area_tabs(area_counts(deals))
     tab = F.struct(
-        "place", "area_label", "count", count_text("count").alias("count_label"), "sale_count",
-        "jeonse_count", "monthly_count", "is_primary",
+        "place", "area_label", "count", count_text("count").alias("count_label"),
+        *(c for kind in ("sale", "jeonse", "monthly") for c in (f"{kind}_count", count_text(f"{kind}_count").alias(f"{kind}_count_label"))),
+        "is_primary",
     )
+    own = lambda name: (F.coalesce(F.trim(name), F.lit("")) if name in deals.columns else F.lit(""))
     tab_lists = tabs.groupBy("site_id").agg(F.array_sort(F.collect_list(tab)).alias("_tabs"))
     kind = F.element_at(
         F.create_map(*[F.lit(x) for x in ("sale", "매매", "jeonse", "전세", "monthly", "월세")]), F.col("filter_type")
@@ -242,7 +247,7 @@ def detail_payloads(deals: DataFrame) -> DataFrame:
         F.datediff(F.lit(datetime.date(2100, 1, 1)), "deal_date").alias("_age"), (-_kind_rank()).alias("_kind"), "rank",
         kind.alias("type"), "filter_type", date_text("deal_date").alias("date"),
         F.when(F.col("transaction_type") == "trade", money_text("deal_amount")).otherwise(rent_text("deposit_amount", "monthly_rent")).alias("price"),
-        "area_label", floor_text("floor").alias("floor"),
+        "area_label", floor_text("floor").alias("floor"), own("dong").alias("dong"), own("apartment_name").alias("apt_name"),
     )
     by_area = capped_deals(deals).groupBy("site_id", "area_label").agg(
         F.transform(

@@ -223,23 +223,27 @@ def deal_cap(spark, d):
     "deal_details",
     with_ctes(
         "deal",
-        f"""SELECT site_id, count(*) AS tabs, count(*) FILTER (is_primary) AS primary_tabs, any_value(n) AS rows, first(area_label ORDER BY place) AS first_label
-        FROM tabs JOIN (SELECT site_id, count(*) AS n FROM ({_CAPPED}) WHERE rank <= 80 GROUP BY 1) USING (site_id) GROUP BY 1""",
+        f"""SELECT site_id, count(*) AS tabs, count(*) FILTER (is_primary) AS primary_tabs, any_value(n) AS rows, first(area_label ORDER BY place) AS first_label,
+        first(format('{{:,}}', sale_count) || '/' || format('{{:,}}', jeonse_count) || '/' || format('{{:,}}', monthly_count) ORDER BY place) AS first_counts,
+        'dong' || (site_id % 7) || ' apt' || site_id AS named FROM tabs JOIN (SELECT site_id, count(*) AS n FROM ({_CAPPED}) WHERE rank <= 80 GROUP BY 1) USING (site_id) GROUP BY 1""",
         {"counts": _COUNTS, "tabs": _TABS},
     ),
 )
 def deal_details(spark, d):
     """The JSON payloads, read back and counted."""
     schema = (
-        "struct<area_tabs: array<struct<area_label: string, is_primary: boolean>>, "
-        "transactions_by_area: map<string, array<struct<price: string, date: string>>>>"
+        "struct<area_tabs: array<struct<area_label: string, is_primary: boolean, sale_count_label: string, jeonse_count_label: string, monthly_count_label: string>>, "
+        "transactions_by_area: map<string, array<struct<price: string, date: string, dong: string, apt_name: string>>>>"
     )
-    parsed = deals.detail_payloads(t.deal(spark, d)).select("site_id", F.from_json("payload", schema).alias("p"))
+    named = {"dong": F.concat(F.lit("dong"), (F.col("site_id") % 7).cast("string")), "apartment_name": F.concat(F.lit("apt"), F.col("site_id").cast("string"))}
+    parsed = deals.detail_payloads(t.deal(spark, d).withColumns(named)).select("site_id", F.from_json("payload", schema).alias("p"))
     rows = F.aggregate(F.map_values("p.transactions_by_area"), F.lit(0).cast("long"), lambda n, x: n + F.size(x))
     return parsed.select(
         "site_id", F.size("p.area_tabs").cast("long").alias("tabs"),
         F.size(F.filter("p.area_tabs", lambda x: x["is_primary"])).cast("long").alias("primary_tabs"),
         rows.alias("rows"), F.get("p.area_tabs", F.lit(0))["area_label"].alias("first_label"),
+        F.concat_ws("/", *(F.get("p.area_tabs", F.lit(0))[f"{k}_count_label"] for k in ("sale", "jeonse", "monthly"))).alias("first_counts"),
+        F.array_join(F.array_distinct(F.transform(F.flatten(F.map_values("p.transactions_by_area")), lambda x: F.concat_ws(" ", x["dong"], x["apt_name"]))), "|").alias("named"),
     )
 
 
