@@ -2,8 +2,9 @@
 
 Every run of ``size`` words of a test item is a seed. A fixed-size bitmap of the seeds (its size doesn't depend on the
 benchmark) is sent to the tasks and only thins out what is shuffled; the seeds themselves are joined. Passages around
-hits are kept as word hashes, so texts are read once and never shuffled. A seed that is frequent in the corpus opens an
-alignment only together with another one of the same item nearby.
+hits are kept as word hashes, so texts are read once and never shuffled. A rare seed opens an alignment at once. A seed
+that is frequent in the corpus opens one too, but first the words that passage and item have in common are counted:
+a score needs as many matches as that share of the item's words, so no pair that could reach it is left out.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def contaminated(
     Words are runs of letters and digits in lower case. ``score`` is the Smith-Waterman score (match 2, mismatch and gap
     -1) as a share of the item's score with itself; pairs from ``least`` on are returned, ``start`` and ``end`` count
     words of the document. A seed is rare when at most ``rare_docs`` passages or the share ``rare_share`` of all rows
-    hold it. An item of fewer words than ``size`` is one seed. Missing or empty texts and items have no passage; rows
+    hold it; frequent ones find the same passages at less cost. An item of fewer words than ``size`` is one seed. Missing or empty texts and items have no passage; rows
     with a missing id count as one document with a missing id; repeated rows and items with equal texts are reported
     alike. Other columns aren't read.
     """
@@ -180,13 +181,14 @@ def contaminated(
     rare = met.select("id", "start", "gram").distinct().groupBy("gram").agg((F.count("*") <= bound).alias("rare"))
     # passages that begin within one item's length of each other share a window
     met = met.join(rare, "gram").withColumn("window", F.floor((F.col("place") - F.col("item_place")) / F.col("n")))
-    open_pairs = met.groupBy("id", "start", "item_id", "n", "window").agg(F.max("rare").alias("rare"), F.min("gram").alias("a"), F.max("gram").alias("b"))
-    open_pairs = open_pairs.where("rare OR a <> b").select("id", "start", "item_id", "n", "window")
+    open_pairs = met.groupBy("id", "start", "item_id", "n", "window").agg(F.max("rare").alias("rare"))
     slack = F.floor(F.col("n") / 4) + 8
     first = F.greatest(F.lit(0), F.col("window") * F.col("n") - slack - F.col("start"))
     ready = open_pairs.join(passages.select("id", "start", "words"), ["id", "start"]).join(items.select("item_id", "item"), "item_id")
     ready = ready.withColumn("from", first.cast("int")).withColumn("offset", F.col("start") + F.col("from"))
-    ready = ready.select("id", "item_id", "offset", F.slice("words", F.col("from") + 1, (2 * F.col("n") + 2 * slack).cast("int")).alias("passage"), "item")
+    ready = ready.withColumn("passage", F.slice("words", F.col("from") + 1, (2 * F.col("n") + 2 * slack).cast("int")))
+    common = F.size(F.filter("item", lambda x: F.array_contains("passage", x)))
+    ready = ready.where(F.col("rare") | (common >= least * F.col("n"))).select("id", "item_id", "offset", "passage", "item")
     scored = ready.mapInArrow(_aligned, empty).where(F.col("score") >= least)
     best = scored.groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), F.col("end").alias("e"))).alias("m"))
     return best.select(F.when(F.col("id") != no_id, F.col("id")).alias(id_col), "item_id", (-F.col("m.s")).alias("start"), F.col("m.e").alias("end"), F.col("m.score").alias("score"))
