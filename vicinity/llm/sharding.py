@@ -15,13 +15,17 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     ``limit``. A missing id hashes like the empty text, a missing text has no bytes. One text above the limit, or rows
     that share one id, stay together in a shard above it. Columns of the same names are replaced.
     """
-    rows = docs.drop("shard", "shard_depth", "shard_row_bytes").withColumns({
-        "_h": hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
-        "shard_row_bytes": F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")),
-    })
-    placed = split(rows.withColumnRenamed("depth", "_own_depth") if "depth" in rows.columns else rows, limit, "shard_row_bytes", "_h")
-    placed = placed.withColumn("shard", bucket_name(F.col("_h"), F.col("depth"))).withColumnRenamed("depth", "shard_depth").drop("_h")
-    return placed.withColumnRenamed("_own_depth", "depth") if "depth" in rows.columns else placed
+    names = [c for c in docs.columns if c not in ("shard", "shard_depth", "shard_row_bytes")]
+    rows = docs.select(  # under names of its own, no column of the input meets one of the directory
+        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)),
+        hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"),
+        F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")).alias("shard_row_bytes"),
+    )
+    placed = split(rows, limit, "shard_row_bytes", "_h")
+    return placed.select(
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), bucket_name(F.col("_h"), F.col("depth")).alias("shard"),
+        F.col("depth").alias("shard_depth"), "shard_row_bytes",
+    )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
