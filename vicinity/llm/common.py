@@ -61,11 +61,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_rows(df: DataFrame, order: str, most: int) -> list:
-    """At most ``most`` rows in a fixed pseudo-random order; the only rows that a fit brings to the driver."""
-    return df.orderBy(F.xxhash64(order), order).limit(most).collect()
-
-
 # --- words of Arrow text columns -------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
