@@ -20,8 +20,9 @@ every round all links so far are merged into components, and a leaf whose member
 the next rounds a few members of each leaf, drawn by a hash, eight times as many each time, are compared with those of
 other components, and leave the leaf: all their pairs in it are settled then. So every pair of a leaf is compared or
 already connected in the end, and the members of a group of copies are compared with a few of it, not with each other.
-A pair must not differ in too many rarer blocks and must pass the bound of summed minima over ``POINT`` coordinates,
-then the exact sets are compared.
+A pair must not differ in too many rarer blocks, nor in the parity of too many coordinates (each stands for a shingle
+that only one of them has), and must pass the bound of summed minima over ``POINT`` coordinates; then the exact sets are
+compared.
 """
 
 from __future__ import annotations
@@ -221,10 +222,11 @@ def _whole(size: int, fold: bool, percent: int):
             for own in _sets(batch["_text"], size, fold):
                 point = np.bincount(((own >> np.uint64(8)) % np.uint64(POINT)).astype(np.int64), minlength=POINT)
                 sign = int(own.sum(dtype=np.uint64).astype(np.int64))
-                rows.append((len(own), sign, point.astype(np.int32), own.view(np.int64), [x for x, _ in _searched(own, percent, finer)]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            names = ["id", "n", "s1", "point", "own", "leaves"]
+                odd = np.packbits((point & 1).astype(bool), bitorder="little").view("<i8")
+                rows.append((len(own), sign, point.astype(np.int32), odd, own.view(np.int64), [x for x, _ in _searched(own, percent, finer)]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            names = ["id", "n", "s1", "point", "odd", "own", "leaves"]
             yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(x, t) for x, t in zip(columns, kinds))], names=names)
 
     return read
@@ -246,7 +248,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _ranked_members(sets: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, leaf, members, degree, e0 .. e3)``: the leaves in which a set is searched, and which rarer blocks differ.
+    """``(id, n, leaf, members, degree, e0 .. e3, o0 .. o3)``: the leaves in which a set is searched, which rarer blocks
+    differ, and which coordinates are odd.
 
     At the rarest leaf that two sets share, all rarer blocks of both differ; too many of them rule the pair out there.
     """
@@ -258,9 +261,11 @@ def _ranked_members(sets: DataFrame, percent: int) -> DataFrame:
     bit = "CASE WHEN pmod(block, 256) DIV 64 = {0} THEN shiftleft(1L, block % 64) ELSE 0L END"
     earlier = [F.coalesce(F.bit_or(F.expr(bit.format(k))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"e{k}") for k in range(4)]
     ranked = entries.join(often, "leaf").select(
-        "id", "n", "leaf", "members", F.row_number().over(order).alias("place"), F.sum("members").over(own).alias("degree"), *earlier
+        "id", "s1", "n", "leaf", "members", F.row_number().over(order).alias("place"), F.sum("members").over(own).alias("degree"), *earlier
     )
-    return cut(ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).drop("place"))
+    few = ranked.where(F.expr(f"members > 1 AND place <= n * {100 - percent} DIV {percent} + 1")).drop("place")
+    odd = sets.select("id", "s1", *(F.col("odd")[k].alias(f"o{k}") for k in range(4)))
+    return cut(few.join(odd, ["id", "s1"]).drop("s1"))
 
 
 #: Members of a leaf that are compared in a round, for each one of the round before.
@@ -272,20 +277,26 @@ _ROUND = f"greatest(1, cast(ceil(log({FANOUT}, (pmod(xxhash64(id, 7), 1048576) +
 def _links(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Components ``(node, root)`` of the sets that link, or None if none do."""
     differing = " + ".join(f"bit_count(e{k} | f{k})" for k in range(4))
-    possible = F.expr(f"{differing} <= (n + m) * {100 - percent} DIV {100 + percent} AND {100 + percent} * least(n, m) >= {percent} * (n + m)")
-    bits = [F.col(f"e{k}").alias(f"f{k}") for k in range(4)]
+    apart = " + ".join(f"bit_count(o{k} ^ g{k})" for k in range(4))
+    most = f"(n + m) * {100 - percent} DIV {100 + percent}"
+    possible = F.expr(f"{differing} <= {most} AND {apart} <= {most} AND {100 + percent} * least(n, m) >= {percent} * (n + m)")
+    bits = [F.col(f"{own}{k}").alias(f"{other}{k}") for own, other in (("e", "f"), ("o", "g")) for k in range(4)]
     members, known, turn = ranked.withColumn("turn", F.expr(_ROUND)), None, 0
     while True:
-        labelled = members.withColumn("comp", F.col("id")) if known is None else members.join(
-            known, members["id"] == known["node"], "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
-        labelled = cut(labelled)
+        if turn == 0:  # every set is on its own, and the members are written already
+            labelled = members.withColumn("comp", F.col("id"))
+        elif known is None:
+            labelled = cut(members.withColumn("comp", F.col("id")))
+        else:
+            named = members.join(known, members["id"] == known["node"], "left")
+            labelled = cut(named.withColumn("comp", F.coalesce("root", "id")).drop("node", "root"))
         parts = labelled.groupBy("leaf", "comp").agg(F.max(F.struct("degree", "id", F.col("n").alias("m"), *bits)).alias("top"))
         leaves = cut(parts.groupBy("leaf").agg(F.max("top").alias("top"), F.count("*").alias("comps")).where("comps > 1"))
         if leaves.isEmpty():
             return known
         live = labelled.join(leaves.select("leaf"), "leaf", "left_semi")
         if turn == 0:
-            tops = leaves.select("leaf", F.col("top.id").alias("other"), F.col("top.id").alias("other_comp"), *(f"top.{c}" for c in ("m", "f0", "f1", "f2", "f3")))
+            tops = leaves.select("leaf", F.col("top.id").alias("other"), F.col("top.id").alias("other_comp"), "top.m", *(f"top.{x}{k}" for x in "fg" for k in range(4)))
         else:
             tops = live.where(F.col("turn") == turn).select("leaf", F.col("id").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("m"), *bits)
         met = live.join(tops, (live["leaf"] == tops["leaf"]) & F.expr("comp <> other_comp") & possible)
@@ -296,7 +307,11 @@ def _links(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
             if known is not None:
                 links = links.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v")))
             known = merge_labels(links)
-        members = live.drop("comp") if turn == 0 else live.where(F.col("turn") > turn).drop("comp")
+        if turn == 0:
+            settled = leaves.select("leaf", "top.id", F.col("top.m").alias("n"), *(F.col(f"top.{x}{k}").alias(f"{own}{k}") for own, x in (("e", "f"), ("o", "g")) for k in range(4)))
+            members = live.drop("comp").join(settled, settled.columns, "left_anti")
+        else:
+            members = live.where(F.col("turn") > turn).drop("comp")
         release(ranked.sparkSession)
         turn += 1
 
@@ -329,7 +344,7 @@ def jaccard_components(
     able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
-    kinds = "id long, n long, s1 long, point array<int>, own array<long>, leaves array<array<long>>"
+    kinds = "id long, n long, s1 long, point array<int>, odd array<long>, own array<long>, leaves array<array<long>>"
     sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
     known = _links(_ranked_members(sets, percent), sets, percent)
     result = base.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
