@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm import bpe, decontaminate, exact, ngram_join, toxicity
@@ -17,7 +17,7 @@ from vicinity.llm.common import cut, release, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Alignment and tokens can't be said in SQL; tests compare every stage with a plain version of it.
+#: Alignment and tokens can't be said in SQL; tests hold the stages and their operators against plain versions.
 ORACLE_SQL = None
 
 #: Near duplicates: words in a shingle, and the similarity in percent.
@@ -35,36 +35,28 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Stands for a row by id and text (64 bits), so that rows without id, or that share one, are told apart."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates, the smallest id stays; texts without words stay all.
 
     A missing id sorts first. Rows without id, and rows that share an id, are documents of their own by their texts.
     """
-    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
-    if not shared.isEmpty():
-        return _drop_near_rows(docs)
-    groups = ngram_join.jaccard_components(docs, size=SHINGLE, percent=SIMILAR)
-    gone = groups.where("doc_id > component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
-
-
-def _drop_near_rows(docs: DataFrame) -> DataFrame:
-    """The same for ids that don't tell rows apart: every pair of id and text gets a number, written once."""
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    numbers = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha")).distinct()
-    numbers = cut(numbers.withColumn("_row", F.monotonically_increasing_id()))
-    own = docs["doc_id"].eqNullSafe(numbers["_id"]) & (sha == numbers["_sha"])
-    texts = cut(docs.join(numbers, own).select("_row", "text"))
-    groups = ngram_join.jaccard_components(texts, id_col="_row", size=SHINGLE, percent=SIMILAR).select("_row", "component_id")
-    first = F.min_by("_row", F.struct("_id", "_sha")).alias("_row")
-    stay = groups.join(numbers, "_row").groupBy("component_id").agg(first).join(numbers, "_row").select("_id", "_sha")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (sha == stay["_sha"]), "left_semi")
+    keyed = docs.select(_row_key(docs).alias("key"), F.col("doc_id").alias("id"), "text")
+    groups = ngram_join.jaccard_components(keyed, id_col="key", size=SHINGLE, percent=SIMILAR).select("key", "component_id")
+    first = F.min_by("key", F.struct("id", "key")).alias("stays")
+    stay = groups.join(keyed.select("key", "id"), "key").groupBy("component_id").agg(first).select("stays")
+    return docs.join(stay, _row_key(docs) == stay["stays"], "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark, whole or edited, go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Documents that hold a passage of the benchmark, whole or edited, go; others with the same id, or none, stay."""
+    keyed = docs.select(_row_key(docs).alias("key"), "text")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("key").alias("found")).distinct()
+    return docs.join(found, _row_key(docs) == found["found"], "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
