@@ -190,7 +190,9 @@ def _searches(size: int, fold: bool, percent: int, buckets: int):
 
 def _meet(buckets: int):
     def count(sent: pa.Table) -> pa.Table:
-        """How many leaves of a bucket each set shares."""
+        """How many leaves of a bucket each set shares; rows of a negative bucket are such counts already."""
+        if (bucket := sent["bucket"][0].as_py()) < 0:
+            return pa.table([pa.array([-1 - bucket] * len(sent), pa.int32()), sent["payload"]], names=["share", "payload"])
         keys, ids, roles = [], [], []
         for payload in sent["payload"].to_pylist():
             n = len(payload) // 15
@@ -337,16 +339,16 @@ def jaccard_components(
     classes = cut(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     total = text_bytes(texts, "_text")
     sent = texts.mapInArrow(_searches(size, fold, percent, parts := number_of(total, 16 << 20, shares)), "bucket int, payload binary")
-    sent = cut(sent)
-    counts = sent.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet(parts), "share int, payload binary")
-    counts = counts.unionByName(sent.where("bucket < 0").select((-1 - F.col("bucket")).alias("share"), "payload"))
+    counts = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet(parts), "share int, payload binary")
     able = counts.groupBy("share").applyInArrow(_able, "id long")
     able = cut(able.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     release(spark)
     sets = texts.join(able.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     kinds = "id long, n long, s1 long, point array<int>, odd array<long>, own array<long>, leaves array<array<long>>"
     sets = bucketed(sets.mapInArrow(_whole(size, fold, percent), kinds), "id", shares, distinct=["id", "s1"])
-    known = _links(_ranked_members(sets, percent), sets, percent)
+    ranked = _ranked_members(sets, percent)
+    release(spark)
+    known = _links(ranked, sets, percent)
     result = base.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     if known is not None:
         result = result.join(known, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("root", "rep"))
