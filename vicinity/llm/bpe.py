@@ -1,9 +1,9 @@
 """Byte-level BPE by recursive DuckDB queries inside each partition.
 
 A text is cut by the tokenizer's pattern, and every cut is encoded on its own, so a task encodes each distinct piece
-once. Pieces become rows of (piece, position, token). The recursive query joins neighbours with the merge table and
-contracts the leftmost pair of the smallest rank in each piece, until a piece has no pair left. An aggregation in order
-of the positions joins the tokens' bytes again.
+once. A piece becomes a row with the lists of its tokens and of the ranks of its pairs. The recursive query contracts
+the leftmost pair of the smallest rank in each piece, joins the new token and its two neighbours with the merge table,
+and goes on until a piece has no pair left. An aggregation in order of the positions joins the tokens' bytes again.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +25,25 @@ from .common import small
 #: Pieces that a worker remembers, pieces in one query, and the largest vocabulary file that is sent to the tasks.
 REMEMBERED, AT_ONCE, LARGEST = 240_000, 32_000, 64 << 20
 
-_ENCODE = """
+#: Stands for a pair that is no token.
+_NONE = (1 << 31) - 1
+
+_ENCODE = f"""
 WITH RECURSIVE state AS (
-    (WITH j AS MATERIALIZED (
-        SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
-            SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
-            FROM pieces WINDOW run AS (PARTITION BY piece ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.after
-    ), b AS (SELECT piece, min((merged::BIGINT << 32) + pos) AS best FROM j WHERE merged IS NOT NULL GROUP BY piece)
-    SELECT j.*, b.best FROM j LEFT JOIN b ON b.piece = j.piece)
+    SELECT piece, tokens, pairs, list_min(pairs) AS best FROM pieces
     UNION ALL
-    (WITH kept AS (
-        SELECT piece, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END AS token
-        FROM state WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
-    ), j AS MATERIALIZED (
-        SELECT p.piece, p.pos, p.before, p.token, m.merged FROM (
-            SELECT piece, pos, token, lag(pos) OVER run AS before, lead(token) OVER run AS after
-            FROM kept WINDOW run AS (PARTITION BY piece ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.after
-    ), b AS (SELECT piece, min((merged::BIGINT << 32) + pos) AS best FROM j WHERE merged IS NOT NULL GROUP BY piece)
-    SELECT j.*, b.best FROM j LEFT JOIN b ON b.piece = j.piece)
+    (WITH chosen AS (
+        SELECT *, list_position(pairs, best) AS i FROM state WHERE best < {_NONE}
+    ), contracted AS (
+        SELECT c.piece, c.tokens[1:i - 1] || [c.best] || c.tokens[i + 2:] AS tokens,
+            CASE WHEN i > 1 THEN c.pairs[1:i - 2] || [coalesce(x.merged, {_NONE}), coalesce(y.merged, {_NONE})] || c.pairs[i + 2:]
+                ELSE [coalesce(y.merged, {_NONE})] || c.pairs[3:] END AS pairs
+        FROM chosen c LEFT JOIN merges x ON x.pair = (c.tokens[i - 1]::BIGINT << 32) + c.best
+        LEFT JOIN merges y ON y.pair = (c.best::BIGINT << 32) + c.tokens[i + 2]
+    )
+    SELECT piece, tokens, pairs, list_min(pairs) AS best FROM contracted)
 )
-SELECT piece, pos, token FROM state WHERE best IS NULL
+SELECT piece, tokens FROM state WHERE best = {_NONE}
 """
 _DECODE = "SELECT t.piece, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.piece ORDER BY t.piece"
 
@@ -86,7 +84,13 @@ class Tables:
         self.ranks = vocabulary.ranks
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        merges = pa.table(dict(zip(("l", "r", "merged"), vocabulary.merges)))
+        left, right, merged = vocabulary.merges
+        merges = pa.table({"pair": (left.astype(np.int64) << 32) + right, "merged": merged})
+        byte_of = np.full(max(self.ranks.values()) + 1, -1)
+        byte_of[self.of_byte] = np.arange(256)
+        two = (byte_of[left] >= 0) & (byte_of[right] >= 0)
+        self.of_bytes = np.full((256, 256), _NONE, np.int32)
+        self.of_bytes[byte_of[left[two]], byte_of[right[two]]] = merged[two]
         tokens = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merges), ("vocabulary", tokens)):
             self.con.register("given", rows)
@@ -100,17 +104,20 @@ class Tables:
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the piece and token, in order. A piece that is a token stays one, as every encoder does it."""
         whole = [(k, self.ranks[p]) for k, p in enumerate(pieces) if p in self.ranks]
-        rest = [k for k, p in enumerate(pieces) if p not in self.ranks]
+        rest = [k for k, p in enumerate(pieces) if p not in self.ranks and p]
         raw = np.frombuffer(b"".join(pieces[k] for k in rest), np.uint8)
-        lengths = np.array([len(pieces[k]) for k in rest], np.int64)
-        number = np.repeat(np.array(rest, np.int64), lengths)
-        pos = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.con.register("pieces", pa.table({"piece": number, "pos": pos, "token": self.of_byte[raw]}))
-        done = self.con.sql(_ENCODE).to_arrow_table()
+        edge = np.cumsum([0, *(len(pieces[k]) for k in rest)])
+        pairs = np.full(len(raw), _NONE, np.int32)
+        pairs[:-1] = self.of_bytes[raw[:-1], raw[1:]]
+        pairs[edge[1:] - 1] = _NONE
+        lists = {k: pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for k, x in (("tokens", self.of_byte[raw]), ("pairs", pairs))}
+        self.con.register("pieces", pa.table({"piece": np.array(rest, np.int64)} | lists))
+        done = self.con.sql(_ENCODE).to_arrow_table().combine_chunks()
         self.con.unregister("pieces")
-        piece = np.concatenate([done["piece"].to_numpy(), np.array([k for k, _ in whole], np.int64)])
-        token = np.concatenate([done["token"].to_numpy(), np.array([t for _, t in whole], np.int32)])
-        order = np.lexsort((np.concatenate([done["pos"].to_numpy(), np.zeros(len(whole), np.int64)]), piece))
+        lengths = pc.list_value_length(done["tokens"]).to_numpy()
+        piece = np.concatenate([np.repeat(done["piece"].to_numpy(), lengths), np.array([k for k, _ in whole], np.int64)])
+        token = np.concatenate([pc.list_flatten(done["tokens"]).to_numpy(), np.array([t for _, t in whole], np.int32)])
+        order = np.argsort(piece, kind="stable")
         return piece[order], token[order].astype("<u4")
 
     def forget(self) -> None:
