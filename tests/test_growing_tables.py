@@ -43,3 +43,22 @@ def test_blocks_of_the_lot_are_not_broadcast(spark):
         1: ("가나다라12", "gu_dong_jibun_exact_ambiguous"), 2: ("가나다라20", "gu_dong_jibun_exact_candidate"),
         3: ("가나다라14", "gu_dong_jibun_exact_name_confirmed"),
     }
+
+
+def test_pairs_of_a_lot_are_not_shuffled(spark):
+    sites = spark.createDataFrame(
+        [(1, "가12", "구", "동", "7", ""), (2, "나", "구", "동", "7", ""), (3, "동다3", "구", "동", "7", ""), (3, "동다3", "구2", "동", "7", ""), (4, "라", "구", "동", None, "")],
+        "site_id long, name_norm string, gu string, dong_norm string, bonbun string, bubun string",
+    )
+    rows = [("구", "동", "7", "", "동가012"), ("구", "동", "7", "", "동가012"), ("구", "동", "7", "", "가13"), ("구2", "동", "7", "", "가13"), ("구", "동", "8", "", "나")]
+    cands = spark.createDataFrame(rows, "gu string, dong_norm string, cand_bonbun string, cand_bubun string, cand_norm string")
+    found = matching.lot_evidence(sites, cands)
+    want = {
+        (1, "가12", "동가012", False, False, "가012"), (1, "가12", "가13", True, False, "가13"), (2, "나", "동가012", False, True, "가012"),
+        (2, "나", "가13", False, True, "가13"), (3, "동다3", "동가012", True, False, "가012"), (3, "동다3", "가13", True, False, "가13"),
+    }
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # The pairs of sites with one row are made last: nothing is dealt out again above their join.
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert "Union" in top and "Join Inner" in top

@@ -251,13 +251,22 @@ def number_tokens(normalized) -> Column:
     return F.array_sort(F.array_distinct(trimmed))
 
 
-def number_conflict(a, b) -> Column:
-    left, right = number_tokens(a), number_tokens(b)
+def tokens_conflict(left, right) -> Column:
+    """Both names have numbers, and not the same ones; ``number_tokens`` of each name, taken once."""
+    left, right = col(left), col(right)
     return (F.size(left) > 0) & (F.size(right) > 0) & (left != right)
 
 
+def tokens_asymmetry(left, right) -> Column:
+    return (F.size(col(left)) > 0) != (F.size(col(right)) > 0)
+
+
+def number_conflict(a, b) -> Column:
+    return tokens_conflict(number_tokens(a), number_tokens(b))
+
+
 def number_asymmetry(a, b) -> Column:
-    return (F.size(number_tokens(a)) > 0) != (F.size(number_tokens(b)) > 0)
+    return tokens_asymmetry(number_tokens(a), number_tokens(b))
 
 
 def strip_dong(normalized_name, normalized_dong) -> Column:

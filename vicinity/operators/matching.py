@@ -280,6 +280,28 @@ def lot_blocks(sites: DataFrame, cands: DataFrame) -> DataFrame:
     ).select("site_id", "lot_count", "lot_first")
 
 
+def lot_evidence(sites: DataFrame, cands: DataFrame) -> DataFrame:
+    """Every site with every name on its lot: numbers that disagree or that one name lacks, and the name without its dong.
+
+    What belongs to one name is found once for it. Names are made distinct before they meet, so pairs are not shuffled;
+    only sites with several rows on lots are, as their pairs may repeat.
+    """
+    keys = ["gu", "dong_norm", "bonbun", "bubun"]
+    lots = cands.select("gu", "dong_norm", F.col("cand_bonbun").alias("bonbun"), F.col("cand_bubun").alias("bubun"), "cand_norm").distinct()
+    names = lots.withColumns({"_numbers": tx.number_tokens("cand_norm"), "stripped": tx.strip_dong("cand_norm", "dong_norm")})
+    own = sites.select("site_id", "name_norm", *keys).where(" AND ".join(f"{c} IS NOT NULL" for c in keys)).distinct()
+    often = own.groupBy("site_id").agg(F.count("*").alias("_n")).where("_n > 1").select("site_id")
+    columns = ["site_id", "name_norm", "cand_norm", "conflict", "asymmetry", "stripped"]
+
+    def paired(some: DataFrame) -> DataFrame:
+        met = spread(some.withColumn("_own", tx.number_tokens("name_norm"))).join(spread(names), keys)
+        found = {"conflict": tx.tokens_conflict("_own", "_numbers"), "asymmetry": tx.tokens_asymmetry("_own", "_numbers")}
+        return met.withColumns(found).select(*columns, "dong_norm")
+
+    once = paired(own.join(often, "site_id", "left_anti"))
+    return once.unionByName(paired(own.join(often, "site_id", "left_semi")).distinct()).select(columns)
+
+
 def alias_approvals(sites: DataFrame, cands: DataFrame) -> DataFrame:
     """Aliases safe enough to approve unseen.
 

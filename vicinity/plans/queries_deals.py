@@ -622,12 +622,4 @@ def resolve_school(spark, d):
 )
 def name_evidence(spark, d):
     """Numbers and neighbourhood prefixes in the names of one lot."""
-    sites, cands = prepared(spark, d)
-    pairs = sites.join(
-        cands.withColumns({"bonbun": F.col("cand_bonbun"), "bubun": F.col("cand_bubun")}).drop("road_norm"),
-        ["gu", "dong_norm", "bonbun", "bubun"],
-    ).select("site_id", "name_norm", "cand_norm", "dong_norm").distinct()
-    return pairs.select(
-        "site_id", "name_norm", "cand_norm", tx.number_conflict("name_norm", "cand_norm").alias("conflict"),
-        tx.number_asymmetry("name_norm", "cand_norm").alias("asymmetry"), tx.strip_dong("cand_norm", "dong_norm").alias("stripped"),
-    )
+    return matching.lot_evidence(*prepared(spark, d))
