@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from vicinity.operators import baseline, circles, radius
+from vicinity.operators import areas, baseline, circles, radius
 
 
 def metres(a, b):
@@ -90,3 +90,28 @@ def test_the_inside_of_a_circle_is_not_measured(monkeypatch):
     assert sum(tested) < 0.2 * found.sum()
     full = [int((np.rint(circles._metres(chord(s, np.full(40_000, k), p, np.arange(40_000)))) <= 2500).sum()) for k in range(200)]
     assert found.tolist() == full
+
+
+def test_kinds_that_nobody_listed(frames, tiles):
+    sites, pois, s, p = frames
+    got = {(r["site_id"], r["subtype"]): (r["count"], r["nearest_distance"], r["priority"]) for r in areas.subtype_chips(s, p, 1500, ["c"]).collect()}
+    want = {}
+    for i, a in enumerate(sites):
+        for _, kind, *q in pois:
+            if (m := round(metres(a, q))) <= 1500:
+                n, near, place = want.get((i, kind or "기타"), (0, m, 1 if kind == "c" else 9999))
+                want[i, kind or "기타"] = (n + 1, min(near, m), place)
+    assert got == want
+
+
+def test_lines(spark, frames, tiles):
+    sites, pois, s, _ = frames
+    stations = [(k, lat, lng, [str(k % 40), str(k % 3), None][: k % 4]) for k, _, lat, lng in pois]
+    p = spark.createDataFrame(stations, "poi_id long, lat double, lng double, lines array<string>")
+    got = {r["site_id"]: r for r in baseline.line_counts(s, p, (300, 1000)).collect()}
+    for i, a in enumerate(sites):
+        for r in (300, 1000):
+            near = [x[3] for x in stations if round(metres(a, x[1:3])) <= r]
+            want = (len({y for x in near for y in x if y}), sum(len(x) > 1 for x in near), len(near))
+            assert tuple(got[i][f"{stem}_count_{r}m"] for stem in ("line", "transfer", "station")) == want
+    assert got[900]["line_count_300m"] == 0
