@@ -1,7 +1,11 @@
 """Tables that grow with the data stay away from the driver, and joins on them give the same rows."""
 
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
+from vicinity.functions import similarity
 from vicinity.functions.similarity import pairs_by_bound
 from vicinity.operators import matching, search
 from vicinity.session import cut
@@ -62,3 +66,31 @@ def test_pairs_of_a_lot_are_not_shuffled(spark):
     # The pairs of sites with one row are made last: nothing is dealt out again above their join.
     top = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
     assert "Union" in top and "Join Inner" in top
+
+
+def test_pairs_that_can_be_the_best_are_found_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("가나다라마12") for _ in range(rng.randint(0, 8)))
+    left, right = [("k" if n % 3 else "m", word()) for n in range(90)], [("k" if n % 4 else "m", word() + "라") for n in range(80)]
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    a, b = spark.createDataFrame(left, "k string, x string"), spark.createDataFrame(right, "k string, y string")
+    for names, others in ((512, 4096), (7, 5)):
+        monkeypatch.setattr(similarity, "_NAMES_AT_ONCE", names)
+        monkeypatch.setattr(similarity, "_OTHERS_AT_ONCE", others)
+        got = [tuple(r) for r in similarity.reachable_pairs(a, b, "x", "y", ("k",)).collect()]
+        assert len(got) == len(set(got))
+        every = {(k, x, y) for k, x in left for m, y in right if k == m}
+        for k, x in set(left):
+            best = max(ratio(x, y) for m, x2, y in every if (m, x2) == (k, x))
+            assert {y for m, x2, y in every if (m, x2) == (k, x) and ratio(x, y) == best} <= {y for m, x2, y in got if (m, x2) == (k, x)}
+        named = [g for g in got if g[1]]
+        assert len(named) < len([e for e in every if e[1]]) / 2
+
+
+def test_shared_road_address_takes_the_most_similar_then_most_deals(spark):
+    cand = "cand_name string, cand_road string, cand_jibun string, cand_norm string, cand_bonbun string, cand_bubun string, trade_count long, rent_count long, gu string, road_norm string"
+    rows = [("A", "r", "", "푸른마을", "", "", 1, 0, "구", "r"), ("B", "r", "", "푸른마을", "", "", 5, 0, "구", "r"), ("C", "r", "", "마을회관", "", "", 9, 0, "구", "r")]
+    sites = spark.createDataFrame([(1, "구", "r", "푸른마을2"), (2, "구", "r", ""), (3, "구", "r", "xyz"), (4, "구", "r", "마을회관")],
+                                  "site_id long, gu string, road_norm string, name_norm string")
+    got = {r["site_id"]: (r["_c"]["cand_name"], r["match_type"][19:]) for r in matching.road_branch(sites, spark.createDataFrame(rows, cand)).collect()}
+    assert got == {1: ("B", "score_verified"), 2: ("C", "score_verified"), 3: ("C", "score_verified"), 4: ("C", "name_confirmed")}
