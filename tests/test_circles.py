@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vicinity.operators import areas, baseline, circles, radius
 
@@ -115,3 +116,23 @@ def test_lines(spark, frames, tiles):
             want = (len({y for x in near for y in x if y}), sum(len(x) > 1 for x in near), len(near))
             assert tuple(got[i][f"{stem}_count_{r}m"] for stem in ("line", "transfer", "station")) == want
     assert got[900]["line_count_300m"] == 0
+
+
+def test_routes_around(spark, frames, tiles):
+    sites, pois, s, _ = frames
+    rng = random.Random(1)
+    stops = [(k, lat, lng) for k, _, lat, lng in pois]
+    served = [(k, rng.choice([f"{n}" for n in range(150)] + [None])) for k, *_ in stops for _ in range(4)]
+    kind = lambda name: "one" if len(name or "") == 1 else "two" if len(name or "") == 2 else None
+    size = F.length("route_name")
+    found = baseline.route_access(
+        s, spark.createDataFrame(stops, "node_id long, lat double, lng double"), spark.createDataFrame(served, "node_id long, route_name string"),
+        F.when(size == 1, "one").when(size == 2, "two"), ("one", "two"), radius_m=700, preview=5,
+    )
+    got = {r["site_id"]: r for r in found.collect()}
+    for i, a in enumerate(sites):
+        near = {k for k, *q in stops if metres(a, q) <= 700}
+        names = sorted({n for k, n in served if k in near}, key=lambda n: (n is not None, n or ""))
+        kinds = [sum(kind(n) == t for n in names) for t in ("one", "two")]
+        assert [got[i][c] for c in ("route_count", "one_count", "two_count")] == [len(names), *kinds]
+        assert got[i]["available_routes"] == (", ".join(n for n in names[:5] if n) if names else None)
