@@ -136,3 +136,10 @@ def test_routes_around(spark, frames, tiles):
         kinds = [sum(kind(n) == t for n in names) for t in ("one", "two")]
         assert [got[i][c] for c in ("route_count", "one_count", "two_count")] == [len(names), *kinds]
         assert got[i]["available_routes"] == (", ".join(n for n in names[:5] if n) if names else None)
+
+
+def test_lists_are_kept(spark, frames):
+    _, pois, s, p = frames
+    listed = p.withColumn("marks", F.array(F.lit("a"), F.coalesce("subtype", F.lit("-"))))
+    got = radius.nearest_within(s, listed, 300, keep=("marks",)).where("site_id = 0").first()
+    assert got["marks"] == ["a", pois[got["poi_id"]][1] or "-"]
